@@ -28,7 +28,7 @@ from claimlens.operators.prep import (
     stratified_folds,
     stratified_split,
 )
-from claimlens.session import ensure_checkpoint_dir
+from claimlens.session import ensure_checkpoint_dir, stored
 
 KEYS = ("desynpuf_id", "clm_id")
 ENSEMBLE = MODELS[:4]
@@ -78,9 +78,12 @@ def prepare(
     """Impute, select, scale and split a training frame.
 
     ``fit_on='all'`` fits the preparation on every row, ``'train'`` on the training part only.
-    ``materialize`` writes both parts to the checkpoint folder once, since every fit reads them
-    many times; the copy outlives lost executors.
+    ``materialize`` writes the frame and both parts to the shared scratch folder, since every fit
+    reads them many times.
     """
+    keep = stored if materialize else (lambda df: df)
+    ensure_checkpoint_dir(frame.sparkSession)
+    frame = keep(frame)
     split = stratified_split(frame, keys=keys, seed=settings.seed)
     basis = split.filter(~F.col("is_test")) if fit_on == "train" else frame
     fitted = fit_preparation(basis, feature_names(frame, keys))
@@ -89,10 +92,7 @@ def prepare(
         SQLTransformer(statement=fitted.statement(scaled)),
         VectorAssembler(inputCols=scaled, outputCol="features"),
     ]
-    rows = PipelineModel(stages).transform(split).select(*keys, "label", "is_test", "features")
-    if materialize:
-        ensure_checkpoint_dir(frame.sparkSession)
-        rows = rows.checkpoint()
+    rows = keep(PipelineModel(stages).transform(split).select(*keys, "label", "is_test", "features"))
     train, test = rows.filter(~F.col("is_test")), rows.filter("is_test")
     classes = {r.label: r for r in class_weights(train).collect()}
     counts = {label: r.n for label, r in classes.items()}
@@ -103,9 +103,7 @@ def prepare(
     train = stratified_folds(train, keys=keys, folds=settings.folds, seed=settings.seed + 1).withColumns(
         {"weight": weight, "positive_weight": F.when(F.col("label") == 1, weights.get(1, 1.0)).otherwise(1.0)}
     )
-    if materialize:
-        train = train.checkpoint()
-    return Prepared(target, fitted.features, stages, train, test, counts, weights)
+    return Prepared(target, fitted.features, stages, keep(train), test, counts, weights)
 
 
 def estimator(name: str, prepared: Prepared, settings: Settings = Settings()):

@@ -39,7 +39,7 @@ def value_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def crosstab(df: DataFrame, rows: str, columns: str, values: Sequence[str]) -> DataFrame:
     """Counts of each row value by column value. ``values`` lists the column values, so no job runs to find them."""
     known = df.filter(F.col(rows).isNotNull() & F.col(columns).isNotNull())
-    return known.groupBy(rows).pivot(columns, list(values)).agg(F.count("*")).na.fill(0, list(values))
+    return known.groupBy(rows).pivot(columns, list(values)).agg(F.count(F.lit(1))).na.fill(0, list(values))
 
 
 def _ranges(df: DataFrame, columns: Sequence[str], bins: int | str) -> DataFrame:

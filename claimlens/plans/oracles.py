@@ -281,14 +281,14 @@ def all_sql() -> dict[str, str]:
         f"SELECT '{SHORT[a]} & {SHORT[b]}' AS pair, count(*) FILTER (WHERE {a} = 1 AND {b} = 1) AS n FROM people"
         for a, b in pairs
     )
-    anova = " UNION ALL ".join(
-        f"""SELECT '{c}' AS feature, sum(n * (mean - grand) * (mean - grand)) / (max(k) - 1) AS between_ms,
-            sum(n * variance) / (max(total) - max(k)) AS within_ms
-            FROM (SELECT *, count(*) OVER () AS k, sum(n) OVER () AS total, sum(n * mean) OVER () / sum(n) OVER () AS grand
-                  FROM (SELECT label, count({c}) AS n, avg({c}) AS mean, var_pop({c}) AS variance FROM imputed GROUP BY label))"""
-        for c in FRAME_COLUMNS
-    )
-    scores_f = f"(SELECT feature, round(CASE WHEN within_ms > 0 THEN between_ms / within_ms END, 4) AS f_score FROM ({anova}))"
+    scores_f = """(
+        SELECT feature, round(CASE WHEN within_ms > 0 THEN between_ms / within_ms END, 4) AS f_score FROM (
+          SELECT feature, sum(n * (mean - grand) * (mean - grand)) / (count(*) - 1) AS between_ms,
+                 sum(n * variance) / (sum(n) - count(*)) AS within_ms
+          FROM (SELECT *, sum(n * mean) OVER (PARTITION BY feature) / sum(n) OVER (PARTITION BY feature) AS grand
+                FROM (SELECT feature, label, count(value) AS n, avg(value) AS mean, var_pop(value) AS variance
+                      FROM (UNPIVOT imputed ON * EXCLUDE (desynpuf_id, clm_id, label) INTO NAME feature VALUE value)
+                      GROUP BY feature, label)) GROUP BY feature))"""
     plans = ", ".join(f"('{t}', '{'; '.join(i)}', '{m}', '{f}')" for t, i, m, f in PLANS)
     raw_amount = "CASE WHEN clm_id % 211 = 0 THEN 'n/a' ELSE CAST(clm_pmt_amt AS VARCHAR) END AS clm_pmt_amt"
     clean_amount = "CASE WHEN clm_id % 211 <> 0 THEN round(CAST(clm_pmt_amt AS DOUBLE), 2) END"

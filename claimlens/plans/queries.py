@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
@@ -23,6 +22,7 @@ from claimlens.operators import claims as claims_ops
 from claimlens.operators import dashboard, evaluation, features, insights, labels, models, prep, profile, progression
 from claimlens.plans.pipeline import train_horizon
 from claimlens.plans.tables import YEARS, Tables
+from claimlens.session import scratch_folder, stored
 from claimlens.sources import readers
 from claimlens.sources.registry import Registry, latest_versions
 
@@ -365,27 +365,27 @@ def profile_table(t: Tables) -> DataFrame:
 
 @register
 def impute_median(t: Tables) -> DataFrame:
-    frame = _frame(t)
+    frame = stored(_frame(t))
     return rounded(prep.fit_medians(frame, FEATURES).impute(frame).select("clm_id", *FEATURES))
 
 
 @register
 def standard_scale(t: Tables) -> DataFrame:
-    frame = _frame(t)
+    frame = stored(_frame(t))
     fitted = prep.fit_scaling(frame, prep.fit_medians(frame, FEATURES))
     return rounded(fitted.scale(fitted.impute(frame)).select("clm_id", *FEATURES), 4)
 
 
 @register
 def anova_f_scores(t: Tables) -> DataFrame:
-    frame = _frame(t)
+    frame = stored(_frame(t))
     imputed = prep.fit_medians(frame, prep.feature_names(frame)).impute(frame)
     return rounded(prep.anova_f_scores(imputed, prep.feature_names(frame)), 4)
 
 
 @register
 def select_k_best(t: Tables) -> DataFrame:
-    frame = _frame(t)
+    frame = stored(_frame(t))
     imputed = prep.fit_medians(frame, prep.feature_names(frame)).impute(frame)
     return rounded(prep.select_k_best(prep.anova_f_scores(imputed, prep.feature_names(frame)), 10), 4)
 
@@ -401,12 +401,12 @@ def class_weights(t: Tables) -> DataFrame:
 
 @register
 def stratified_split(t: Tables) -> DataFrame:
-    return prep.stratified_split(_labels_only(t))
+    return prep.stratified_split(stored(_labels_only(t)))
 
 
 @register
 def cv_folds(t: Tables) -> DataFrame:
-    return prep.stratified_folds(_labels_only(t))
+    return prep.stratified_folds(stored(_labels_only(t)))
 
 
 # Evaluation of the fixed score
@@ -424,7 +424,7 @@ def best_threshold(t: Tables) -> DataFrame:
 
 @register
 def classification_metrics(t: Tables) -> DataFrame:
-    predictions = t.predictions()
+    predictions = stored(t.predictions())
     cutoffs = evaluation.best_threshold(evaluation.threshold_sweep(predictions))
     return rounded(evaluation.classification_metrics(predictions, cutoffs))
 
@@ -441,22 +441,22 @@ def roc_curve(t: Tables) -> DataFrame:
 
 @register
 def auc_by_model(t: Tables) -> DataFrame:
-    return rounded(evaluation.auc_by_model(evaluation.model_metrics(t.predictions())))
+    return rounded(evaluation.auc_by_model(evaluation.model_metrics(stored(t.predictions()))))
 
 
 @register
 def best_model(t: Tables) -> DataFrame:
-    return rounded(evaluation.best_model(evaluation.model_metrics(t.predictions())))
+    return rounded(evaluation.best_model(evaluation.model_metrics(stored(t.predictions()))))
 
 
 @register
 def performance_summary(t: Tables) -> DataFrame:
-    return evaluation.performance_summary(evaluation.model_metrics(t.predictions()))
+    return evaluation.performance_summary(evaluation.model_metrics(stored(t.predictions())))
 
 
 @register
 def readmission_rates(t: Tables) -> DataFrame:
-    predictions = t.predictions()
+    predictions = stored(t.predictions())
     return rounded(evaluation.readmission_rates(predictions, evaluation.model_metrics(predictions)))
 
 
@@ -470,19 +470,19 @@ def risk_tiers(t: Tables) -> DataFrame:
 
 @register
 def risk_tier_counts(t: Tables) -> DataFrame:
-    predictions = t.predictions()
+    predictions = stored(t.predictions())
     return insights.risk_tier_counts(predictions, evaluation.roc_auc(predictions))
 
 
 @register
 def treatment_costs(t: Tables) -> DataFrame:
-    predictions = t.predictions()
+    predictions = stored(t.predictions())
     return rounded(insights.treatment_costs(insights.risk_tier_counts(predictions, evaluation.roc_auc(predictions))), 2)
 
 
 @register
 def treatment_plan(t: Tables) -> DataFrame:
-    predictions = t.predictions().filter(F.col("target") == "readmit_30")
+    predictions = stored(t.predictions().filter(F.col("target") == "readmit_30"))
     tiered = insights.risk_tiers(evaluation.best_predictions(predictions, evaluation.best_model(evaluation.roc_auc(predictions))))
     return insights.treatment_plan(tiered).select(
         "clm_id", "tier", F.array_join("interventions", "; ").alias("interventions"), "monitoring", "follow_up"
@@ -491,7 +491,7 @@ def treatment_plan(t: Tables) -> DataFrame:
 
 @register
 def executive_summary(t: Tables) -> DataFrame:
-    predictions = t.predictions()
+    predictions = stored(t.predictions())
     metrics = evaluation.roc_auc(predictions)
     costs = insights.treatment_costs(insights.risk_tier_counts(predictions, metrics))
     return insights.executive_summary(t.beneficiaries(conditions=False), t.inpatient(), metrics, None, costs)
@@ -541,15 +541,9 @@ def model_mlp(t: Tables) -> DataFrame:
     return _scored(t, "Multilayer Perceptron")
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder beside the checkpoints, which all executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/claimlens-{spark.sparkContext.applicationId}" if shared else tempfile.mkdtemp(prefix="claimlens-")
-
-
 @register
 def train_horizon_metrics(t: Tables) -> DataFrame:
-    registry = Registry(t.spark, _scratch(t.spark))
+    registry = Registry(t.spark, scratch_folder(t.spark))
     names = ["Logistic Regression", "Random Forest"]
     return train_horizon(_frame(t), "readmit_30", registry, names, QUICK, force=True).metrics
 

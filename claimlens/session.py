@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -42,3 +43,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder name beside the checkpoints, which all executors share."""
+    return f"{ensure_checkpoint_dir(spark)}/claimlens-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a frame that is read many times as a parquet table and read it back.
+
+    Unlike a cache it outlives lost executors, and unlike a checkpoint later reads are pruned to
+    the columns they need.
+    """
+    folder = scratch_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
