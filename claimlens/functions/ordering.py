@@ -15,6 +15,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def long_form(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), data_type: str = "double") -> DataFrame:
+    """(by…, variable, value) rows of the filled cells, all columns cast to one type."""
+    cells = df.select(*by, *[F.col(f"`{c}`").cast(data_type).alias(c) for c in columns])
+    long = cells.unpivot(list(by), [f"`{c}`" for c in columns], "variable", "value")
+    filled = F.col("value").isNotNull()
+    return long.filter(filled & ~F.isnan("value") if data_type == "double" else filled)
+
+
 @dataclass(frozen=True)
 class Position:
     """A 0-based place in the sorted values: ``at`` maps their number to it, ``share`` is its share of all rows."""
@@ -51,11 +59,7 @@ def order_statistics(
     """
     by = list(by)
     names = list(positions)
-    pairs = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in columns])
-    values = (
-        df.select(*by, F.inline(pairs))
-        .filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    )
+    values = long_form(df, columns, by)
 
     slack = 3.0 / accuracy
     lows = [max(positions[n].share - slack, 0.0) for n in names]

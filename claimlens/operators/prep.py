@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from claimlens.columns import NON_FEATURE_PARTS, NON_FEATURES, horizon_label, numeric_columns
 from claimlens.functions.expressions import stable_hash
-from claimlens.functions.ordering import Position, last_of_first, order_statistics, quantile
+from claimlens.functions.ordering import Position, long_form, last_of_first, order_statistics, quantile
 
 SEED = 42
 MAX_FEATURES = 50
@@ -92,15 +92,18 @@ def fit_medians(df: DataFrame, columns: Sequence[str]) -> Preparation:
 
 def fit_scaling(df: DataFrame, fitted: Preparation) -> Preparation:
     """Means and population deviations of the imputed columns, from one aggregation."""
-    imputed = fitted.impute(df)
-    names = fitted.features
-    row = imputed.agg(
-        *[F.avg(quoted(c)).alias(f"m{i}") for i, c in enumerate(names)],
-        *[F.stddev_pop(quoted(c)).alias(f"s{i}") for i, c in enumerate(names)],
-    ).first()
-    means = {c: row[f"m{i}"] for i, c in enumerate(names)}
-    deviations = {c: row[f"s{i}"] or 1.0 for i, c in enumerate(names)}
-    return Preparation(fitted.medians, means, deviations)
+    rows = (
+        long_form(fitted.impute(df), fitted.features)
+        .groupBy("variable")
+        .agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("deviation"))
+        .collect()
+    )
+    found = {r.variable: (r["mean"], r.deviation or 1.0) for r in rows}
+    return Preparation(
+        fitted.medians,
+        {c: found[c][0] for c in fitted.features},
+        {c: found[c][1] for c in fitted.features},
+    )
 
 
 def fit_preparation(df: DataFrame, columns: Sequence[str], max_features: int = MAX_FEATURES) -> Preparation:
@@ -115,16 +118,10 @@ def fit_preparation(df: DataFrame, columns: Sequence[str], max_features: int = M
 
 def anova_f_scores(df: DataFrame, columns: Sequence[str], label: str = "label") -> DataFrame:
     """One-way ANOVA F of each feature over the classes; null where it is undefined."""
-    per_class = df.groupBy(label).agg(
-        *[
-            F.struct(
-                F.count(quoted(c)).alias("n"), F.avg(quoted(c)).alias("mean"), F.var_pop(quoted(c)).alias("variance")
-            ).alias(c)
-            for c in columns
-        ]
-    )
-    long = per_class.unpivot([label], [f"`{c}`" for c in columns], "feature", "stats").select(
-        label, "feature", "stats.*"
+    long = (
+        long_form(df, columns, by=[label])
+        .groupBy(label, F.col("variable").alias("feature"))
+        .agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("variance"))
     )
     overall = long.groupBy("feature").agg(
         F.sum("n").alias("_rows"), F.count("*").alias("_classes"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_mean")

@@ -9,20 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimlens.functions.ordering import order_statistics, quantile
+from claimlens.functions.ordering import long_form, order_statistics, quantile
 
 QUARTILES = {"q1": quantile(0.25), "median": quantile(0.5), "q3": quantile(0.75)}
 
 
-def _long(df: DataFrame, columns: Sequence[str], data_type: str) -> DataFrame:
-    """(variable, value) rows of the filled cells."""
-    cells = [F.struct(F.lit(c).alias("variable"), F.col(c).cast(data_type).alias("value")) for c in columns]
-    return df.select(F.inline(F.array(*cells))).filter(F.col("value").isNotNull())
-
-
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """How often each value of each column occurs. All columns share one scan and one aggregation."""
-    return _long(df, columns, "string").groupBy("variable", "value").agg(F.count("*").alias("n"))
+    return long_form(df, columns, data_type="string").groupBy("variable", "value").agg(F.count("*").alias("n"))
 
 
 def value_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -54,7 +48,7 @@ def _ranges(df: DataFrame, columns: Sequence[str], bins: int | str) -> DataFrame
         width = F.when(by_quartiles > 0, F.least(by_quartiles, by_count)).otherwise(by_count)
         number = F.when(spread > 0, F.ceil(spread / width)).otherwise(1).cast("int")
     else:
-        stats = _long(df, columns, "double").groupBy("variable").agg(F.min("value").alias("least"), F.max("value").alias("most"))
+        stats = long_form(df, columns).groupBy("variable").agg(F.min("value").alias("least"), F.max("value").alias("most"))
         number = F.lit(int(bins))
     half = F.when(F.col("least") == F.col("most"), 0.5).otherwise(0.0)
     return stats.select(
@@ -70,7 +64,7 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int | str = 20) -> Da
     ranges = _ranges(df, columns, bins)
     place = F.floor((F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * F.col("bins"))
     counts = (
-        _long(df, columns, "double")
+        long_form(df, columns)
         .join(F.broadcast(ranges), "variable")
         .groupBy("variable", F.least(place, F.col("bins") - 1).cast("int").alias("bin"))
         .agg(F.count("*").alias("n"))
@@ -87,7 +81,7 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int | str = 20) -> Da
 
 def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Mean and exact median per numeric column."""
-    means = _long(df, columns, "double").groupBy("variable").agg(F.avg("value").alias("mean"))
+    means = long_form(df, columns).groupBy("variable").agg(F.avg("value").alias("mean"))
     medians = order_statistics(df, columns, {"median": quantile(0.5)})
     return medians.join(F.broadcast(means), "variable").select("variable", "n", "mean", "median")
 
@@ -131,7 +125,7 @@ def box_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     above = F.col("value") >= F.col("q1") - reach
     below = F.col("value") <= F.col("q3") + reach
     return (
-        _long(df, columns, "double")
+        long_form(df, columns)
         .join(F.broadcast(quartiles), "variable")
         .groupBy("variable", "n", "q1", "median", "q3")
         .agg(
