@@ -28,10 +28,12 @@ def days_to_readmit(
     known = F.col(patient).isNotNull() & F.col(admit).isNotNull()
     keyed = claims.withColumn("_claim", F.struct(*order))
     ahead = Window.partitionBy(patient).orderBy(admit)
+    # One order column aggregates by hash; a struct of several has to be sorted.
+    last = F.struct(F.max(order[0]).alias(order[0])) if len(order) == 1 else F.max("_claim")
     last_of_day = (
         keyed.filter(known)
         .groupBy(patient, admit)
-        .agg(F.max("_claim").alias("_claim"))
+        .agg(last.alias("_claim"))
         .select(patient, admit, "_claim", F.lead(admit).over(ahead).alias("_next"), F.lit(True).alias("_last"))
     )
     copies = Window.partitionBy(patient, admit, "_claim").orderBy(patient)

@@ -43,8 +43,9 @@ def _ranges(df: DataFrame, columns: Sequence[str], bins: int | str) -> DataFrame
             df, columns, {"least": quantile(0.0), "most": quantile(1.0), "q1": QUARTILES["q1"], "q3": QUARTILES["q3"]}
         )
         spread = F.col("most") - F.col("least")
-        by_count = spread / (F.log2(F.col("n").cast("double")) + 1)
-        by_quartiles = 2 * (F.col("q3") - F.col("q1")) / F.cbrt(F.col("n").cast("double"))
+        rows = F.col("n").cast("double")
+        by_count = spread / (F.log2(rows) + 1)
+        by_quartiles = 2 * (F.col("q3") - F.col("q1")) / F.cbrt(rows)
         width = F.when(by_quartiles > 0, F.least(by_quartiles, by_count)).otherwise(by_count)
         number = F.when(spread > 0, F.ceil(spread / width)).otherwise(1).cast("int")
     else:

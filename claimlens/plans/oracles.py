@@ -263,7 +263,8 @@ def _hash(seed: int) -> str:
 
 CLAIM_COLUMNS = f"clm_id, desynpuf_id, claim_type, admit_date, year, age, {_r('clm_pmt_amt', 2)}"
 _AUTO_BINS = """CASE WHEN hi > lo THEN ceil((hi - lo) / CASE WHEN q3 > q1
-    THEN least(2 * (q3 - q1) / cbrt(n), (hi - lo) / (log2(n) + 1)) ELSE (hi - lo) / (log2(n) + 1) END) ELSE 1 END"""
+    THEN least(2 * (q3 - q1) / cbrt(n), (hi - lo) / (log2(n) + 1))
+    ELSE (hi - lo) / (log2(n) + 1) END) ELSE 1 END"""
 
 
 def all_sql() -> dict[str, str]:

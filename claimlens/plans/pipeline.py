@@ -53,12 +53,12 @@ def train_horizon(
         scored.append(models.score(fitted[name], prepared.test, target, name))
         if cross_validation:
             folds.append(models.cross_validate(name, prepared, settings))
-    metrics = evaluation.model_metrics(union(scored))
+    metrics = evaluation.model_metrics(registry.save_predictions(union(scored), target))
     if cross_validation:
         metrics = metrics.join(models.cross_validated(union(folds)), ["target", "model"], "left")
     else:
         metrics = metrics.withColumns({"cv_mean": F.col("auc"), "cv_std": F.lit(0.0)})
-    registry.save_results(metrics, union(scored))
+    registry.save_metrics(metrics)
     stored_metrics, stored_predictions = registry.load_results(target)
     aucs = {r.model: r.auc for r in stored_metrics.select("model", "auc").collect()}
     for name, model in fitted.items():

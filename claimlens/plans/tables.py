@@ -30,14 +30,22 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def claims(self, codes: bool = False, stay: bool = False) -> DataFrame:
-        """One claim per order, with the codes and the length of stay if asked for."""
+    def claims(self, codes: bool = False, stay: bool = False, side: str | None = None) -> DataFrame:
+        """One claim per order, with the codes and the length of stay if asked for.
+
+        ``side`` keeps one claim type by the order status itself, a filter the scan can use.
+        """
         key, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
-        out = self.read("orders").select(
+        orders, inpatient = self.read("orders"), F.col("o_orderstatus").isin("F", "P")
+        if side == "Inpatient":
+            orders = orders.filter(inpatient)
+        elif side == "Outpatient":
+            orders = orders.filter(~inpatient | F.col("o_orderstatus").isNull())
+        out = orders.select(
             key.alias("clm_id"),
             F.col("o_custkey").alias("desynpuf_id"),
             F.when(key % 499 != 0, day).alias("admit_date"),
-            F.when(F.col("o_orderstatus").isin("F", "P"), "Inpatient").otherwise("Outpatient").alias("claim_type"),
+            F.when(inpatient, "Inpatient").otherwise("Outpatient").alias("claim_type"),
             F.col("o_totalprice").cast("decimal(18,2)").alias("clm_pmt_amt"),
         )
         if stay:
@@ -75,14 +83,13 @@ class Tables:
         )
 
     def inpatient(self, **options) -> DataFrame:
-        return self.claims(**options).filter(F.col("claim_type") == "Inpatient")
+        return self.claims(side="Inpatient", **options)
 
     def raw_inpatient(self, **options) -> DataFrame:
         return self._raw(self.inpatient(stay=True, **options)).withColumnRenamed("_start", "clm_admsn_dt")
 
     def raw_outpatient(self, **options) -> DataFrame:
-        side = self.claims(stay=True, **options).filter(F.col("claim_type") == "Outpatient")
-        return self._raw(side).withColumnRenamed("_start", "clm_from_dt").drop("clm_utlztn_day_cnt")
+        return self._raw(self.claims(stay=True, side="Outpatient", **options)).withColumnRenamed("_start", "clm_from_dt").drop("clm_utlztn_day_cnt")
 
     @staticmethod
     def _raw(claims: DataFrame) -> DataFrame:

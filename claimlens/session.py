@@ -15,10 +15,12 @@ SETTINGS = {
 }
 
 
-def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
+def local_session(
+    cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g", more: dict[str, str] | None = None
+) -> SparkSession:
     """A local session for tests and the benchmark. On a cluster use the cluster's own session."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("claimlens")
-    for key, value in SETTINGS.items():
+    for key, value in {**SETTINGS, **(more or {})}.items():
         builder = builder.config(key, value)
     spark = (
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))

@@ -64,9 +64,14 @@ class Registry:
         rows = self.latest().filter(F.col("target") == target).collect()
         return {r.model: (PipelineModel.load(r.path), list(r.features)) for r in rows}
 
-    def save_results(self, metrics: DataFrame, predictions: DataFrame) -> None:
-        """Store metrics and predictions, replacing earlier ones of the same horizons."""
-        write_results(predictions, self._folder("results/predictions"))
+    def save_predictions(self, predictions: DataFrame, target: str) -> DataFrame:
+        """Store the predictions of a horizon and return them as stored, so they are scored once."""
+        path = self._folder("results/predictions")
+        write_results(predictions, path)
+        return self.spark.read.parquet(path).filter(F.col("target") == target)
+
+    def save_metrics(self, metrics: DataFrame) -> None:
+        """Store metrics, replacing earlier ones of the same horizons. Written after the predictions."""
         write_results(metrics, self._folder("results/metrics"))
 
     def load_results(self, target: str) -> tuple[DataFrame, DataFrame] | None:

@@ -11,7 +11,9 @@ from claimlens.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(cores=8, shuffle_partitions=4)
+    # The tests run many small plans once each, so compiling them well does not pay.
+    quick = {"spark.driver.extraJavaOptions": "-XX:TieredStopAtLevel=1", "spark.sql.codegen.wholeStage": "false"}
+    session = local_session(cores=8, shuffle_partitions=2, more=quick)
     yield session
     session.stop()
 
