@@ -48,9 +48,12 @@ def order_statistics(
     by: Sequence[str] = (),
     accuracy: int = 10_000,
     whole_below: int = 100_000,
+    also: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Exact order statistics per column: (by…, variable, n, one column per position).
 
+    ``also`` adds plain aggregates of ``value``, taken along in the first pass.
+
     First pass: a mergeable quantile sketch gives a narrow value interval around each wanted place.
     Second pass: rows outside the intervals are only counted, values inside are counted per distinct
     value, both combined before the shuffle. The final window therefore sees a few 1/accuracy of
@@ -59,6 +62,8 @@ def order_statistics(
     """
     by = list(by)
     names = list(positions)
+    also = also or {}
+    group = [*by, "variable", "n", *also]
     values = long_form(df, columns, by)
 
     slack = 3.0 / accuracy
@@ -79,8 +84,9 @@ def order_statistics(
             F.min("value").alias("least"),
             F.max("value").alias("most"),
             F.percentile_approx("value", lows + highs, accuracy).alias("sketch"),
+            *[aggregate.alias(name) for name, aggregate in also.items()],
         )
-        .select(*by, "variable", "n", edges(0, "least").alias("low"), edges(1, "most").alias("high"))
+        .select(*group, edges(0, "least").alias("low"), edges(1, "most").alias("high"))
     )
 
     inside = reduce(
@@ -90,8 +96,8 @@ def order_statistics(
     passed = reduce(lambda a, b: a + b, [(F.col("value") > F.col("high")[i]).cast("int") for i in range(len(names))])
     counted = (
         values.join(F.broadcast(intervals), [*by, "variable"])
-        .select(*by, "variable", "n", "value", passed.alias("passed"), F.when(inside, F.col("value")).alias("kept"))
-        .groupBy(*by, "variable", "n", "passed", "kept")
+        .select(*group, "value", passed.alias("passed"), F.when(inside, F.col("value")).alias("kept"))
+        .groupBy(*group, "passed", "kept")
         .agg(F.count("*").alias("rows"), F.min("value").alias("place"))
     )
     upto = Window.partitionBy(*by, "variable").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
@@ -106,7 +112,7 @@ def order_statistics(
         place = positions[name].at(F.col("n"))
         found.append(pick(F.floor(place)).alias(f"{name}_low"))
         found.append(pick(F.ceil(place)).alias(f"{name}_high"))
-    picked = ranked.groupBy(*by, "variable", "n").agg(*found)
+    picked = ranked.groupBy(*group).agg(*found)
 
     def value(name: str) -> Column:
         place = positions[name].at(F.col("n"))
@@ -115,7 +121,7 @@ def order_statistics(
         failure = F.raise_error(F.lit(f"{name}: outside its interval, raise accuracy")).cast("double")
         return F.when(missed, failure).otherwise(low + (high - low) * (place - F.floor(place)))
 
-    return picked.select(*by, "variable", "n", *[value(n).alias(n) for n in names])
+    return picked.select(*group, *[value(n).alias(n) for n in names])
 
 
 def running_sums(df: DataFrame, by: Sequence[str], order: str, bucket: Column, sums: Sequence[str]) -> DataFrame:

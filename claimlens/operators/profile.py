@@ -82,9 +82,7 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int | str = 20) -> Da
 
 def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Mean and exact median per numeric column."""
-    means = long_form(df, columns).groupBy("variable").agg(F.avg("value").alias("mean"))
-    medians = order_statistics(df, columns, {"median": quantile(0.5)})
-    return medians.join(F.broadcast(means), "variable").select("variable", "n", "mean", "median")
+    return order_statistics(df, columns, {"median": quantile(0.5)}, also={"mean": F.avg("value")})
 
 
 def density(df: DataFrame, column: str, points: int = 200) -> DataFrame:
