@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from claimlens.columns import MODELS
 from claimlens.functions.expressions import risk_tier
-from claimlens.operators.evaluation import roc_auc
+from claimlens.operators.evaluation import best_model, roc_auc
 from claimlens.operators.prep import (
     SEED,
     class_weights,
@@ -216,6 +216,24 @@ def high_risk_factors(models: dict[str, Model], names: Sequence[str], spark: Spa
     return None
 
 
+def best_model_insight(
+    metrics: DataFrame, fitted: dict[str, Model], names: Sequence[str], top_n: int = 10
+) -> DataFrame:
+    """The best model of a horizon with its AUC and, if it ranks features, its top features."""
+    best = best_model(metrics).select("target", "model", "auc")
+    parts = [
+        feature_importance(model, names, metrics.sparkSession, top_n).withColumn("model", F.lit(name))
+        for name, model in fitted.items()
+        if name in ENSEMBLE[1:]
+    ]
+    if not parts:
+        return best
+    ranked = parts[0]
+    for part in parts[1:]:
+        ranked = ranked.unionByName(part)
+    return best.join(F.broadcast(ranked), "model", "left")
+
+
 def check_features(df: DataFrame, required: Sequence[str]) -> tuple[list[str], list[str]]:
     """(missing, unused) column names of a frame to score."""
     have = set(df.columns)

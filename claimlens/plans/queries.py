@@ -20,7 +20,7 @@ from claimlens.columns import (
 from claimlens.functions.expressions import lenient_amount, lenient_date, strict_date
 from claimlens.operators import claims as claims_ops
 from claimlens.operators import dashboard, evaluation, features, insights, labels, models, prep, profile, progression
-from claimlens.plans.pipeline import train_horizon
+from claimlens.plans import pipeline
 from claimlens.plans.tables import YEARS, Tables
 from claimlens.session import scratch_folder, stored
 from claimlens.sources import readers
@@ -542,10 +542,10 @@ def model_mlp(t: Tables) -> DataFrame:
 
 
 @register
-def train_horizon_metrics(t: Tables) -> DataFrame:
+def train_horizon(t: Tables) -> DataFrame:
     registry = Registry(t.spark, scratch_folder(t.spark))
     names = ["Logistic Regression", "Random Forest"]
-    return train_horizon(_frame(t), "readmit_30", registry, names, QUICK, force=True).metrics
+    return pipeline.train_horizon(_frame(t), "readmit_30", registry, names, QUICK, force=True).metrics
 
 
 @register

@@ -11,7 +11,7 @@ from claimlens.operators import evaluation, models
 from claimlens.plans.pipeline import evaluate_saved, train_horizon
 from claimlens.sources.registry import Registry
 
-FEW = models.Settings(trees=5, forest_depth=4, boosting_depth=3, regression_iterations=50, perceptron_iterations=15, folds=3)
+FEW = models.Settings(trees=5, forest_depth=4, boosting_depth=3, regression_iterations=50, perceptron_iterations=15, folds=3, hidden=(16, 8))
 TARGET = "readmit_30"
 
 
@@ -77,6 +77,16 @@ def test_importances_rank_the_informative_features(spark, prepared):
     assert models.high_risk_factors({}, [], spark) is None
 
 
+def test_best_model_insight(spark, prepared):
+    names = ["Logistic Regression", "Random Forest"]
+    fitted = {n: models.fit_model(n, prepared, FEW) for n in names}
+    metrics = spark.createDataFrame([(TARGET, names[0], 0.6), (TARGET, names[1], 0.9)], "target string, model string, auc double")
+    rows = models.best_model_insight(metrics, fitted, prepared.names, 2).collect()
+    assert len(rows) == 2 and {r.model for r in rows} == {names[1]} and {r.feature for r in rows} == {"a", "b"}
+    only = models.best_model_insight(metrics.filter("auc < 0.9"), fitted, prepared.names).collect()
+    assert [(r.model, r.feature) for r in only] == [(names[0], None)]
+
+
 def test_save_load_and_score(spark, prepared, frame, tmp_path):
     registry = Registry(spark, str(tmp_path))
     model = models.fit_model("Logistic Regression", prepared, FEW)
