@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimlens.llm import exact, pii, quality, toxicity
+from claimlens.llm import bpe, exact, pii, quality, tiling, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,6 +57,16 @@ def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.pseudonymised(table(spark, folder, "documents").select("doc_id", "text"), DEMONSTRATION_KEY)
 
 
+@register
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return tiling.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@register
+def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digests(table(spark, folder, "documents"), *bpe.public_vocabulary(spark))
+
+
 @register
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))

@@ -18,6 +18,8 @@ WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+PLAIN = LOWER.copy()
+PLAIN[[b for b in range(128) if not chr(b).isalnum()]] = 0x20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -108,9 +110,10 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES, most: in
             first = last
 
 
-def words(s: Slice, lower: bool = False) -> Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a slice, with A-Z lower-cased first if asked."""
-    data = LOWER[s.data] if lower else s.data
+def words(s: Slice, lower: bool = False, plain: bool = False) -> Words:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of a slice; ``lower``: after lower-casing A-Z; ``plain``: also after
+    reading ASCII punctuation as blanks."""
+    data = PLAIN[s.data] if plain else LOWER[s.data] if lower else s.data
     if not len(data):
         empty = np.zeros(0, np.int64)
         return Words(np.zeros(0, np.uint64), empty, empty, np.zeros(len(s) + 1, np.int64))
