@@ -7,8 +7,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from claimlens.llm import bpe, exact, pii, quality, tiling, toxicity
+from claimlens.llm import bpe, exact, pii, quality, substring, suffixes, tiling, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,6 +43,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@register
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = substring.without_earlier(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @register
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -72,6 +79,12 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@register
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = suffixes.without_repeats(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 ORACLE_SQL = {
     "op4_exact_dedup": """
 WITH judged AS (
