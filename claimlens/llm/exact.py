@@ -43,7 +43,7 @@ class DigestIndex:
     def append(self, docs: DataFrame) -> DataFrame:
         """Judge a batch of documents, append its new digests, and return one row per document.
 
-        Columns: doc_id, keep_id, group_size, kept, text_sha256. Of equal texts the row with the most
+        Columns: doc_id, keep_id, group_size, kept, text_sha256, n_points. Of equal texts the row with the most
         code points, then the smallest doc_id, stays; if an earlier batch has the text, its row stays.
         group_size counts the batch's documents. Null texts are empty texts, and empty texts are equal.
         Rows repeated with id and text are one document; a null id loses ties. Other columns are ignored.
@@ -80,11 +80,13 @@ class DigestIndex:
             "group_size",
             (F.col("old").isNull() & mine).alias("kept"),
             F.lower(F.hex("digest")).alias("text_sha256"),
+            "n_points",
         )
 
 
 def deduplicated(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The documents whose row stays, one row for each id, with all their columns."""
-    keep = decisions.filter("kept").select(F.col("doc_id").alias("_keep"))
-    rows = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    """The documents whose row stays, with all their columns; of rows repeated with id and text, one."""
+    keep = decisions.filter("kept").select("doc_id", F.unhex("text_sha256").alias("digest"), "n_points")
+    own, points = F.unhex(F.sha2(normalised(docs["text"]), 256)), F.length(F.coalesce(docs["text"], F.lit("")))
+    same = docs["doc_id"].eqNullSafe(keep["doc_id"]) & (own == keep["digest"]) & (points == keep["n_points"])
+    return docs.join(keep, same, "left_semi").dropDuplicates(["doc_id", "text"])

@@ -242,11 +242,11 @@ def pseudonymised(docs: DataFrame, key: str, back: bool = False, text: str = "te
     likely = column.rlike("[0-9@]")
     found = F.when(likely, F.regexp_extract_all(column, F.lit(FOUND), 0)).otherwise(F.array().cast("array<string>"))
     moved = F.transform(found, lambda m: F.struct(m.alias("old"), pseudonym(m, key, back).alias("new")))
-    marked = docs.withColumn("_found", F.when(column.isNotNull(), moved))
+    marked = docs.withColumn("__candidates__", F.when(column.isNotNull(), moved))
     pieces = F.split(column, FOUND, -1)
     joined = F.array_join(
-        F.zip_with(pieces, F.col("_found"), lambda p, x: F.concat(p, F.coalesce(x["new"], x["old"], F.lit("")))), ""
+        F.zip_with(pieces, F.col("__candidates__"), lambda p, x: F.concat(p, F.coalesce(x["new"], x["old"], F.lit("")))), ""
     )
-    n = F.coalesce(F.size(F.filter("_found", lambda x: x["new"].isNotNull())), F.lit(0))
-    changed = marked.withColumns({"n_replaced": F.when(F.col("_found").isNull(), 0).otherwise(n), text: F.when(F.size("_found") > 0, joined).otherwise(column)})
-    return changed.drop("_found")
+    n = F.coalesce(F.size(F.filter("__candidates__", lambda x: x["new"].isNotNull())), F.lit(0))
+    changed = marked.withColumns({"n_replaced": F.when(F.col("__candidates__").isNull(), 0).otherwise(n), text: F.when(F.size("__candidates__") > 0, joined).otherwise(column)})
+    return changed.drop("__candidates__")

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import bpe, exact, pii, quality, substring, suffixes, tiling, toxicity
+from claimlens.llm import bpe, exact, ngram_join, pii, quality, substring, suffixes, tiling, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,6 +43,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@register
+def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.similar(table(spark, folder, "documents"))
+
+
 @register
 def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = substring.without_earlier(table(spark, folder, "documents"))
@@ -56,7 +61,7 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 @register
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return exact.DigestIndex(spark).append(table(spark, folder, "documents"))
+    return exact.DigestIndex(spark).append(table(spark, folder, "documents")).drop("n_points")
 
 
 @register

@@ -146,48 +146,78 @@ def leaks(block: Block, hashes: np.ndarray, seeds: np.ndarray, places: np.ndarra
             yield item, len(units), total, len(found)
 
 
+def blocks_of(benchmark: DataFrame, block_bytes: int) -> Iterator[Block]:
+    """The benchmark cut by hash of its ids into blocks of about ``block_bytes``, one after the other."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.col("text").isNotNull())
+    size = items.select(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    n = max(1, -(-size // block_bytes))
+    for number in range(n):
+        yield block_of(items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == number).toArrow())
+
+
+def judged(block: Block, batch: pa.RecordBatch, share: float, text: str = "text") -> Iterator[tuple[int, int, int, int, int]]:
+    """(row, item index, words of the item, covered words, tiles) of all leaks into the rows of a batch."""
+    if not len(block.seeds):
+        return
+    numbered = pa.RecordBatch.from_arrays([pa.array(np.arange(len(batch))), batch.column(batch.schema.get_field_index(text))], names=["row", "text"])
+    for s in slices(iter([numbered]), key="row"):
+        w = words(s, plain=True)
+        h, whole = grams(w, LEAST)
+        at = np.minimum(np.searchsorted(block.seeds, h), len(block.seeds) - 1)
+        places = np.flatnonzero(whole & (block.seeds[at] == h))
+        doc = np.searchsorted(w.offsets, places, "right") - 1
+        for k in np.unique(doc):
+            first, own = w.offsets[k], places[doc == k]
+            for found in leaks(block, w.hashes[first : w.offsets[k + 1]], h[own], own - first, share):
+                yield int(s.ids[k]), *found
+
+
+RESULT = pa.schema(
+    [
+        ("doc_id", pa.int64()),
+        ("item_id", pa.int64()),
+        ("item_words", pa.int32()),
+        ("covered_words", pa.int32()),
+        ("n_tiles", pa.int32()),
+        ("coverage", pa.float64()),
+    ]
+)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, item_words, covered_words, n_tiles, coverage) where coverage reaches ``share``.
 
     Whole texts; null and empty texts and items leak nothing, nor do items of fewer than ``LEAST`` words.
-    Repeated rows are judged one by one and repeat their result. Other columns are not read.
+    Repeated rows are judged one by one and repeat their result; a null id stays null. Other columns are not read.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.col("text").isNotNull())
-    size = items.select(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    n = max(1, -(-size // block_bytes))
-    schema = "doc_id long, item_id long, item_words int, covered_words int, n_tiles int, coverage double"
-    names = [f.split()[0] for f in schema.split(", ")]
     out = None
-    for number in range(n):
-        mine = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == number) if n > 1 else items
-        shared = spark.sparkContext.broadcast(block_of(mine.toArrow()))
+    for block in blocks_of(benchmark, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def rows(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block, found = shared.value, []
-            if not len(block.seeds):
-                return
-            for s in slices(batches):
-                w = words(s, plain=True)
-                h, whole = grams(w, LEAST)
-                at = np.minimum(np.searchsorted(block.seeds, h), len(block.seeds) - 1)
-                places = np.flatnonzero(whole & (block.seeds[at] == h))
-                doc = np.searchsorted(w.offsets, places, "right") - 1
-                for k in np.unique(doc):
-                    first = w.offsets[k]
-                    own = places[doc == k]
-                    for item, size, total, count in leaks(block, w.hashes[first : w.offsets[k + 1]], h[own], own - first, share):
-                        found.append((s.ids[k], block.ids[item], size, total, count, total / size))
-            columns = list(zip(*found, strict=True)) or [()] * len(names)
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t, from_pandas=True) for c, t in zip(columns, types, strict=True)], names=names)
-
+            items = shared.value
+            for batch in batches:
+                found = list(judged(items, batch, share))
+                ids = batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))
+                columns = [[items.ids[f[1]] for f in found], *[[f[k] for f in found] for k in (2, 3, 4)], [f[3] / f[2] for f in found]]
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, t) for c, t in zip(columns, RESULT.types[1:], strict=True)]], schema=RESULT)
+
+        schema = "doc_id long, item_id long, item_words int, covered_words int, n_tiles int, coverage double"
         part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, schema)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) -> DataFrame:
-    """The documents into which no item leaks, with all their columns."""
-    bad = contaminated(docs, benchmark, share).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("_bad"), "left_anti")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` into which no item leaks, with all their columns; rows are judged in place."""
+    for block in blocks_of(benchmark, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def rows(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(len(batch), bool)
+                keep[[f[0] for f in judged(shared.value, batch, share)]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(rows, docs.schema)
+    return docs

@@ -264,7 +264,16 @@ def classify(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2
     )
 
 
-def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The documents whose score stays below the threshold, with all their columns and repeated rows."""
-    bad = classify(docs, labels, threshold=threshold).filter("predicted = 1").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("_bad"), "left_anti")
+def accepted(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose score stays below the threshold, with all their columns.
+
+    Rows are judged in place: none is moved, and repeated rows and null ids are judged like all others.
+    """
+    model = fit(docs, labels, remainder("doc_id", modulus) == held)
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([shared.value.score(t.as_py()) < threshold for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(rows, docs.schema)
