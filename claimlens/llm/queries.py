@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import bpe, exact, ngram_join, pii, quality, substring, suffixes, tiling, toxicity
+from claimlens.llm import bpe, exact, mixing, ngram_join, pii, quality, substring, suffixes, tiling, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,6 +84,11 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@register
+def op9_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.scored(table(spark, folder, "documents"))
+
+
 @register
 def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = suffixes.without_repeats(table(spark, folder, "documents"))

@@ -126,8 +126,8 @@ def numbers(ids: np.ndarray) -> np.ndarray:
     return np.array([NEVER if x is None or x != x else int(x) for x in ids], np.int64)
 
 
-def in_blocks(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, block): blocks of neighbouring rows of the files that ``docs`` reads.
+def in_blocks(docs: DataFrame, size: int = BLOCK_ROWS) -> DataFrame:
+    """(doc_id, text, block): blocks of ``size`` neighbouring rows of the files that ``docs`` reads.
 
     A frame that is not a plain read of files is written to the shared scratch folder first.
     """
@@ -138,7 +138,7 @@ def in_blocks(docs: DataFrame) -> DataFrame:
         rows.schema  # noqa: B018  fails here if there is no such column
     except AnalysisException:
         rows = stored(rows).select("doc_id", "text", *[F.col(c).alias(c.split(".")[1]) for c in place])
-    block = F.xxhash64("file_path", F.floor(F.col("row_index") / BLOCK_ROWS))
+    block = F.xxhash64("file_path", F.floor(F.col("row_index") / size))
     return rows.select("doc_id", "text", block.alias("block"))
 
 
