@@ -11,7 +11,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from claimlens.plans.queries import REGISTERED
-from claimlens.session import local_session
+from claimlens.session import clear_scratch, local_session
 
 HEADLINE = [
     "readmission_totals",
@@ -33,7 +33,13 @@ HEADLINE = [
     "stratified_split",
     "threshold_sweep",
     "roc_auc",
+    "roc_curve",
     "treatment_costs",
+    "diagnosis_features",
+    "impute_median",
+    "anova_f_scores",
+    "kde_age",
+    "model_lr",
 ]
 
 
@@ -52,6 +58,7 @@ def main() -> None:
     for name in names:
         run(name)
         seconds[name] = round(statistics.median(run(name) for _ in range(3)), 3)
+        clear_scratch(spark)
     print(
         json.dumps(
             {
@@ -59,6 +66,7 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
+                "cores": cores,
                 "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
             }
         )

@@ -7,13 +7,17 @@ only small, already aggregated rows meet in a single window.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimlens.session import stored
+
 
 def long_form(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), data_type: str = "double") -> DataFrame:
     """(by…, variable, value) rows of the filled cells, all columns cast to one type."""
@@ -41,108 +45,122 @@ def last_of_first(share: float) -> Position:
     return Position(share, lambda n: F.greatest(F.round(n * F.lit(float(share))) - 1, F.lit(0.0)))
 
 
+EDGES = 1000
+_SHARES = [i / EDGES for i in range(1, EDGES)]
+
+
+def _edges(df: DataFrame, columns: Sequence[str]) -> dict[str, list[float]]:
+    """Sketched quantiles of each column, ``EDGES`` numbers at most, from one wide aggregation."""
+    cells = [F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")) for c in columns]
+    row = df.agg(*[F.percentile_approx(cell, _SHARES, 4 * EDGES).alias(f"e{i}") for i, cell in enumerate(cells)]).first()
+    return {c: sorted({x for x in row[f"e{i}"] or () if math.isfinite(x)} or {0.0}) for i, c in enumerate(columns)}
+
+
+def _with_ranges(df: DataFrame, edges: dict[str, list[float]], prefix: str) -> DataFrame:
+    """Add for each column the number of the range between edges that its value lies in."""
+    open_ends = [[-math.inf, *found, math.inf] for found in edges.values()]
+    wanted = list(edges)
+    return Bucketizer(
+        inputCols=wanted, outputCols=[f"{prefix}{i}" for i in range(len(wanted))], splitsArray=open_ends, handleInvalid="keep"
+    ).transform(df)
+
+
 def order_statistics(
     df: DataFrame,
     columns: Sequence[str],
     positions: dict[str, Position],
     by: Sequence[str] = (),
-    accuracy: int = 10_000,
-    whole_below: int = 100_000,
     also: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Exact order statistics per column: (by…, variable, n, one column per position).
 
-    ``also`` adds plain aggregates of ``value``, taken along in the first pass.
+    ``also`` adds plain aggregates of ``value``. Rows whose ``by`` is null
+    form no group. The same three steps serve every size:
 
-    First pass: a mergeable quantile sketch gives a narrow value interval around each wanted place.
-    Second pass: rows outside the intervals are only counted, values inside are counted per distinct
-    value, both combined before the shuffle. The final window therefore sees a few 1/accuracy of
-    the distinct values. Should a place fall outside its interval the query fails; it never guesses.
-    ``by`` must be a class-like key (its groups are broadcast, one row per group and column).
+    1. A quantile sketch of each column, a few thousand numbers, gives the edges of ranges of about equal
+       count. This is a job of its own.
+    2. All rows are counted per range. Only these counts meet in one window, and they tell exactly in
+       which ranges the wanted places lie.
+    3. Values of these ranges alone are counted per distinct value and put in order, each range on its own.
+
+    Step 2 counts exactly, so the sketch decides how even the ranges are and nothing else: a task orders about
+    1/``EDGES`` of the distinct values. ``by`` must be a class-like key (its groups are broadcast, one row per
+    group and column).
     """
     by = list(by)
     names = list(positions)
     also = also or {}
-    group = [*by, "variable", "n", *also]
-    values = long_form(df, columns, by)
-
-    slack = 3.0 / accuracy
-    lows = [max(positions[n].share - slack, 0.0) for n in names]
-    highs = [min(positions[n].share + slack, 1.0) for n in names]
-    small = F.col("n") <= whole_below
-
-    def edges(sketch: int, bound: str) -> Column:
-        start = 0 if sketch == 0 else len(names)
-        return F.array(
-            *[F.when(small, F.col(bound)).otherwise(F.col("sketch")[start + i]) for i in range(len(names))]
-        )
-
-    intervals = (
-        values.groupBy(*by, "variable")
-        .agg(
-            F.count("*").alias("n"),
-            F.min("value").alias("least"),
-            F.max("value").alias("most"),
-            F.percentile_approx("value", lows + highs, accuracy).alias("sketch"),
-            *[aggregate.alias(name) for name, aggregate in also.items()],
-        )
-        .select(*group, edges(0, "least").alias("low"), edges(1, "most").alias("high"))
+    keys = [*by, "variable"]
+    group = [*keys, "n", *also]
+    # plain names for the columns, which may hold dots
+    plain = {f"_c{i}": c for i, c in enumerate(columns)}
+    cells = df.select(*by, *[F.col(f"`{c}`").cast("double").alias(p) for p, c in plain.items()])
+    for key in by:
+        cells = cells.filter(F.col(key).isNotNull())
+    ranges = _with_ranges(cells, _edges(cells, list(plain)), "_r")
+    cell = lambda i, p: F.struct(F.lit(plain[p]).alias("variable"), F.col(p).alias("value"), F.col(f"_r{i}").cast("int").alias("range"))
+    ranged = ranges.select(*by, F.inline(F.array(*[cell(i, p) for i, p in enumerate(plain)]))).filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    upto = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
+    counts = (
+        ranged.groupBy(*keys, "range")
+        .agg(F.count("*").alias("rows"))
+        .withColumns({"upto": F.sum("rows").over(upto), "n": F.sum("rows").over(Window.partitionBy(*keys))})
     )
-
-    inside = reduce(
-        lambda a, b: a | b,
-        [F.col("value").between(F.col("low")[i], F.col("high")[i]) for i in range(len(names))],
+    places = [f(positions[n].at(F.col("n"))).cast("long") for n in names for f in (F.floor, F.ceil)]
+    holds = lambda place: (F.col("upto") - F.col("rows") <= place) & (place < F.col("upto"))
+    wanted = counts.filter(reduce(lambda a, b: a | b, [holds(p) for p in places])).select(
+        *keys, "n", "range", (F.col("upto") - F.col("rows")).alias("before")
     )
-    passed = reduce(lambda a, b: a + b, [(F.col("value") > F.col("high")[i]).cast("int") for i in range(len(names))])
-    counted = (
-        values.join(F.broadcast(intervals), [*by, "variable"])
-        .select(*group, "value", passed.alias("passed"), F.when(inside, F.col("value")).alias("kept"))
-        .groupBy(*group, "passed", "kept")
-        .agg(F.count("*").alias("rows"), F.min("value").alias("place"))
+    inside = Window.partitionBy(*keys, "range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (
+        ranged.select(*keys, "range", "value")
+        .join(F.broadcast(wanted), [*keys, "range"])
+        .groupBy(*keys, "n", "range", "before", "value")
+        .agg(F.count("*").alias("rows"))
+        .withColumn("upto", F.col("before") + F.sum("rows").over(inside))
     )
-    upto = Window.partitionBy(*by, "variable").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("upto", F.sum("rows").over(upto))
-
-    def pick(index: Column) -> Column:
-        hit = (F.col("upto") - F.col("rows") <= index) & (index < F.col("upto"))
-        return F.max(F.when(hit, F.col("kept")))
-
     found = []
-    for name in names:
-        place = positions[name].at(F.col("n"))
-        found.append(pick(F.floor(place)).alias(f"{name}_low"))
-        found.append(pick(F.ceil(place)).alias(f"{name}_high"))
-    picked = ranked.groupBy(*group).agg(*found)
+    for k, name in enumerate(names):
+        for place, end in zip(places[2 * k : 2 * k + 2], ("low", "high"), strict=True):
+            found.append(F.max(F.when(holds(place), F.col("value"))).alias(f"{name}_{end}"))
+    picked = ranked.groupBy(*keys, "n").agg(*found)
+    if also:
+        others = ranged.groupBy(*keys).agg(*[aggregate.alias(name) for name, aggregate in also.items()])
+        picked = picked.join(F.broadcast(others), keys)
 
     def value(name: str) -> Column:
         place = positions[name].at(F.col("n"))
         low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
-        missed = low.isNull() | high.isNull()
-        failure = F.raise_error(F.lit(f"{name}: outside its interval, raise accuracy")).cast("double")
-        return F.when(missed, failure).otherwise(low + (high - low) * (place - F.floor(place)))
+        return low + (high - low) * (place - F.floor(place))
 
     return picked.select(*group, *[value(n).alias(n) for n in names])
 
 
-def running_sums(df: DataFrame, by: Sequence[str], order: str, bucket: Column, sums: Sequence[str]) -> DataFrame:
-    """Add ``<sum>_upto``: the sum over all rows of the group whose order value is at least this row's.
+def running_sums(df: DataFrame, by: Sequence[str], order: str, sums: Sequence[str]) -> DataFrame:
+    """Add ``<sum>_upto``, the sum over the rows of the group whose order value is at least this row's, and
+    ``<sum>_all``, the sum of the group.
 
-    ``bucket`` must grow with the order column. Each bucket is accumulated on its own, and the
-    bucket totals, whose number does not grow with the data, give the start of each bucket.
+    The rows are computed once and stored. They are split into ranges of about equal count, accumulated range
+    by range, and the few range totals give the start of each.
     """
     by = list(by)
-    keyed = df.withColumn("_bucket", bucket)
-    above = Window.partitionBy(*by).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = stored(df)
+    ranged = _with_ranges(rows, _edges(rows, [order]), "_range").withColumnRenamed("_range0", "_range")
+    above = Window.partitionBy(*by).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)
     starts = (
-        keyed.groupBy(*by, "_bucket")
-        .agg(*[F.sum(s).alias(f"{s}_all") for s in sums])
-        .select(*by, "_bucket", *[F.coalesce(F.sum(f"{s}_all").over(above), F.lit(0)).alias(f"{s}_start") for s in sums])
-    )
-    inside = (
-        Window.partitionBy(*by, "_bucket").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+        ranged.groupBy(*by, "_range")
+        .agg(*[F.sum(s).alias(s) for s in sums])
+        .select(
+            *by,
+            "_range",
+            *[F.coalesce(F.sum(s).over(above), F.lit(0)).alias(f"{s}_start") for s in sums],
+            *[F.sum(s).over(whole).alias(f"{s}_all") for s in sums],
+        )
     )
+    inside = Window.partitionBy(*by, "_range").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        keyed.join(starts, [*by, "_bucket"])
+        ranged.join(starts, [*by, "_range"])
         .withColumns({f"{s}_upto": F.col(f"{s}_start") + F.sum(s).over(inside) for s in sums})
-        .drop("_bucket", *[f"{s}_start" for s in sums])
+        .drop("_range", *[f"{s}_start" for s in sums])
     )

@@ -49,12 +49,19 @@ def with_age(beneficiaries: DataFrame) -> DataFrame:
     return beneficiaries.withColumn("age", age(F.col("year"), lenient_date("bene_birth_dt")))
 
 
-def claims_demographics(claims: DataFrame, beneficiaries: DataFrame, by_year: bool = True) -> DataFrame:
+def claims_demographics(claims: DataFrame, beneficiaries: DataFrame, by_year: bool = True, years: Sequence[int] = ()) -> DataFrame:
     """Claims with the patient's age and record year, every claim kept.
 
     ``by_year`` matches the record of the admission year, so a claim stays one row. Without it a
     claim meets every yearly record of its patient, and sums over the result count it once per year.
+    ``years`` says that only these record years are wanted: other claims and records are left out
+    before the join (claims only with ``by_year``, where the admission tells the year).
     """
+    if years:
+        beneficiaries = beneficiaries.filter(F.col("year").isin(list(years)))
+        if by_year:
+            first, last = F.make_date(F.lit(min(years)), F.lit(1), F.lit(1)), F.make_date(F.lit(max(years)), F.lit(12), F.lit(31))
+            claims = claims.filter(F.col("admit_date").between(first, last))
     if not has(beneficiaries, "age") and has(beneficiaries, "bene_birth_dt"):
         beneficiaries = with_age(beneficiaries)
     people = beneficiaries.select(*present(beneficiaries, ["desynpuf_id", "age", "year"]))
@@ -102,4 +109,5 @@ def claims_table(claims: DataFrame, n: int = 1000) -> DataFrame:
 
 
 def preview(df: DataFrame, n: int = 20) -> DataFrame:
+    """Any n rows, read from as few files as needed."""
     return df.limit(n)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from claimlens.columns import CONDITIONS, present
 from claimlens.functions.expressions import money_sum, month_start
+from claimlens.operators.features import latest_beneficiary
 
 
 def kpi_summary(claims: DataFrame, beneficiaries: DataFrame) -> DataFrame:
@@ -34,8 +35,10 @@ def reimbursement_by_type(claims: DataFrame) -> DataFrame:
     return claims.groupBy("claim_type").agg(money_sum("clm_pmt_amt").alias("amount"))
 
 
-def count_by_sex(beneficiaries: DataFrame) -> DataFrame:
-    """Patient-years per sex code; an unknown code is left out."""
+def count_by_sex(beneficiaries: DataFrame, latest_only: bool = False) -> DataFrame:
+    """Patient-years per sex code, or patients with ``latest_only``; an unknown code is left out."""
+    if latest_only:
+        beneficiaries = latest_beneficiary(beneficiaries)
     return (
         beneficiaries.filter(F.col("bene_sex_ident_cd").isNotNull())
         .groupBy("bene_sex_ident_cd")

@@ -18,12 +18,17 @@ BY = ["target", "model"]
 CUTOFFS = [float(t) for t in np.arange(0.1, 0.9, 0.05)]
 DEFAULT_CUTOFF = 0.5
 
-# Scores lie in [0, 1]; ranking by score works inside that many equal score ranges.
-SCORE_RANGES = 65_536
 
+def score_counts(predictions: DataFrame) -> DataFrame:
+    """Positives and rows per model, horizon and distinct score.
 
-def _scored(predictions: DataFrame) -> DataFrame:
-    return predictions.filter(F.col("p").isNotNull() & F.col("label").isNotNull())
+    All measures below follow from these counts. They take predictions or counts, so whoever needs
+    several measures counts once. Rows without score or label are left out.
+    """
+    if "rows" in predictions.columns:
+        return predictions
+    known = predictions.filter(F.col("p").isNotNull() & F.col("label").isNotNull())
+    return known.groupBy(*BY, "p").agg(F.sum(F.col("label").cast("long")).alias("positives"), F.count("*").alias("rows"))
 
 
 def _rates(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
@@ -42,9 +47,9 @@ def threshold_sweep(predictions: DataFrame, cutoffs: Sequence[float] = tuple(CUT
     """
     exceeded = sum(((F.col("p") > F.lit(t)).cast("int") for t in cutoffs), F.lit(0))
     counts = (
-        _scored(predictions)
+        score_counts(predictions)
         .groupBy(*BY, exceeded.alias("exceeded"))
-        .agg(F.sum(F.col("label").cast("long")).alias("positives"), F.count("*").alias("rows"))
+        .agg(F.sum("positives").alias("positives"), F.sum("rows").alias("rows"))
     )
     grid = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(t).alias("cutoff")) for i, t in enumerate(cutoffs)])
     above = F.col("exceeded") > F.col("step")
@@ -76,23 +81,23 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
 
 
 def at_cutoff(predictions: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """Add the 0/1 decision of each model's cut-off. ``cutoffs`` has one row per model and horizon."""
-    return _scored(predictions).join(F.broadcast(cutoffs.select(*BY, "cutoff")), BY).withColumn(
+    """Counts per score with the 0/1 decision of each model's cut-off. ``cutoffs`` has one row per model and horizon."""
+    return score_counts(predictions).join(F.broadcast(cutoffs.select(*BY, "cutoff")), BY).withColumn(
         "decision", (F.col("p") > F.col("cutoff")).cast("int")
     )
 
 
 def classification_metrics(predictions: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """Accuracy, precision, recall and F1 at the chosen cut-off."""
-    yes, decided = F.col("label") == 1, F.col("decision") == 1
+    decided, negatives = F.col("decision") == 1, F.col("rows") - F.col("positives")
     confusion = (
         at_cutoff(predictions, cutoffs)
         .groupBy(*BY, "cutoff")
         .agg(
-            F.count("*").alias("n"),
-            F.count_if(yes & decided).alias("tp"),
-            F.count_if(~yes & decided).alias("fp"),
-            F.count_if(yes & ~decided).alias("fn"),
+            F.sum("rows").alias("n"),
+            F.sum(F.when(decided, F.col("positives")).otherwise(0)).alias("tp"),
+            F.sum(F.when(decided, negatives).otherwise(0)).alias("fp"),
+            F.sum(F.when(decided, 0).otherwise(F.col("positives"))).alias("fn"),
         )
     )
     tp, fp, fn, n = (F.col(c) for c in ("tp", "fp", "fn", "n"))
@@ -102,16 +107,9 @@ def classification_metrics(predictions: DataFrame, cutoffs: DataFrame) -> DataFr
 
 
 def _score_steps(predictions: DataFrame) -> DataFrame:
-    """Positives and negatives per distinct score, with their counts at or above the score."""
-    steps = (
-        _scored(predictions)
-        .groupBy(*BY, "p")
-        .agg(
-            F.sum(F.col("label").cast("long")).alias("positives"),
-            F.sum(1 - F.col("label").cast("long")).alias("negatives"),
-        )
-    )
-    return running_sums(steps, BY, "p", F.floor(F.col("p") * SCORE_RANGES), ["positives", "negatives"])
+    """Positives and negatives per distinct score, with their counts at or above the score and in all."""
+    steps = score_counts(predictions).select(*BY, "p", "positives", (F.col("rows") - F.col("positives")).alias("negatives"))
+    return running_sums(steps, BY, "p", ["positives", "negatives"])
 
 
 def roc_auc(predictions: DataFrame) -> DataFrame:
@@ -131,21 +129,22 @@ def roc_auc(predictions: DataFrame) -> DataFrame:
 def roc_curve(predictions: DataFrame) -> DataFrame:
     """ROC points: (0, 0), then one point per distinct score taken as the cut-off."""
     steps = _score_steps(predictions)
-    totals = _scored(predictions).groupBy(*BY).agg(
-        F.sum(F.col("label").cast("long")).alias("_yes"), F.sum(1 - F.col("label").cast("long")).alias("_no")
-    )
-    points = steps.join(F.broadcast(totals), BY).select(
+    points = steps.select(
         *BY,
-        ratio(F.col("negatives_upto"), F.col("_no")).alias("fpr"),
-        ratio(F.col("positives_upto"), F.col("_yes")).alias("tpr"),
+        ratio(F.col("negatives_upto"), F.col("negatives_all")).alias("fpr"),
+        ratio(F.col("positives_upto"), F.col("positives_all")).alias("tpr"),
         F.col("p").alias("cutoff"),
+        (F.col("positives_upto") + F.col("negatives_upto") == F.col("positives") + F.col("negatives")).alias("_first"),
     )
-    origin = totals.select(*BY, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), F.lit(None).cast("double").alias("cutoff"))
-    return points.unionByName(origin)
+    # the highest score of a model also stands for the origin
+    origin = F.struct(F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), F.lit(None).cast("double").alias("cutoff"))
+    point = F.struct("fpr", "tpr", "cutoff")
+    return points.select(*BY, F.inline(F.when(F.col("_first"), F.array(origin, point)).otherwise(F.array(point))))
 
 
 def model_metrics(predictions: DataFrame) -> DataFrame:
     """Cut-off, classification metrics and AUC of every model and horizon."""
+    predictions = score_counts(predictions)
     cutoffs = best_threshold(threshold_sweep(predictions))
     return classification_metrics(predictions, cutoffs).join(roc_auc(predictions), BY)
 
@@ -175,9 +174,9 @@ def readmission_rates(predictions: DataFrame, metrics: DataFrame) -> DataFrame:
         at_cutoff(predictions, best)
         .groupBy(*BY)
         .agg(
-            F.count("*").alias("n"),
-            F.sum(F.col("label").cast("long")).alias("actual"),
-            F.sum(F.col("decision").cast("long")).alias("predicted"),
+            F.sum("rows").alias("n"),
+            F.sum("positives").alias("actual"),
+            F.sum(F.col("decision") * F.col("rows")).alias("predicted"),
         )
         .withColumn("actual_rate", F.col("actual") * 100.0 / F.col("n"))
         .withColumn("predicted_rate", F.col("predicted") * 100.0 / F.col("n"))

@@ -15,12 +15,13 @@ UTILIZATION = ["num_admissions", "avg_los", "total_ip_cost"]
 
 
 def latest_beneficiary(beneficiaries: DataFrame, tie_break: Sequence[str] = ("bene_birth_dt",)) -> DataFrame:
-    """The record of the latest year per patient.
+    """The record of the latest year per patient; ties go by ``tie_break``, then by a hash of the whole record.
 
     Keeping only the first row lets Spark drop the others before the shuffle as well.
     """
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c in beneficiaries.columns])
     newest = Window.partitionBy("desynpuf_id").orderBy(
-        F.desc("year"), *[F.desc(c) for c in present(beneficiaries, tie_break)]
+        F.desc("year"), *[F.desc(c) for c in present(beneficiaries, tie_break)], whole
     )
     return beneficiaries.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank")
 
@@ -110,8 +111,9 @@ def feature_matrix(beneficiaries: DataFrame, inpatient: DataFrame, codes: Sequen
 
 
 def patient_lookup(features: DataFrame, patient: str) -> DataFrame:
-    """One patient's features as (feature, value) rows."""
-    row = features.filter(F.col("desynpuf_id").cast("string") == patient)
+    """One patient's features as (feature, value) rows. The bare key is compared, so the scan can use the filter."""
+    key = F.lit(patient).try_cast(features.schema["desynpuf_id"].dataType)
+    row = features.filter(F.col("desynpuf_id") == key)
     names = row.columns
     texts = row.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in names])
     return texts.unpivot([], [f"`{c}`" for c in names], "feature", "value")

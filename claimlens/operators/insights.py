@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens.functions.expressions import risk_tier
-from claimlens.operators.evaluation import BY, best_model, best_predictions
+from claimlens.operators.evaluation import BY, best_model, best_predictions, score_counts
 
 # Cost of a readmission and of preventive care per patient, in dollars.
 READMISSION_COST = 20000.0
@@ -60,12 +60,12 @@ def risk_tiers(predictions: DataFrame) -> DataFrame:
 
 
 def risk_tier_counts(predictions: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Claims per tier by the best model of each horizon."""
+    """Claims per tier by the best model of each horizon, from predictions or counts per score."""
     tier = risk_tier(F.col("p"))
     return (
-        best_predictions(predictions, best_model(metrics))
+        best_predictions(score_counts(predictions), best_model(metrics))
         .groupBy(*BY)
-        .agg(*[F.count_if(tier == name.title()).alias(f"{name}_risk") for name in WITHOUT])
+        .agg(*[F.sum(F.when(tier == name.title(), F.col("rows")).otherwise(0)).alias(f"{name}_risk") for name in WITHOUT])
     )
 
 

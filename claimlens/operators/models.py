@@ -22,6 +22,7 @@ from claimlens.functions.expressions import risk_tier
 from claimlens.operators.evaluation import best_model, roc_auc
 from claimlens.operators.prep import (
     SEED,
+    Preparation,
     class_weights,
     feature_names,
     fit_preparation,
@@ -31,12 +32,13 @@ from claimlens.operators.prep import (
 from claimlens.session import ensure_checkpoint_dir, stored
 
 KEYS = ("desynpuf_id", "clm_id")
+ROWS_PER_TASK = 20_000
 ENSEMBLE = MODELS[:4]
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Model settings; the defaults are the reference configuration."""
+    """Model settings. The defaults, which a run that compares results has to use."""
 
     trees: int = 200
     forest_depth: int = 10
@@ -74,25 +76,28 @@ def prepare(
     fit_on: str = "all",
     settings: Settings = Settings(),
     materialize: bool = True,
+    kept: bool = False,
+    fitted: Preparation | None = None,
 ) -> Prepared:
     """Impute, select, scale and split a training frame.
 
     ``fit_on='all'`` fits the preparation on every row, ``'train'`` on the training part only.
     ``materialize`` writes the frame and both parts to the shared scratch folder, since every fit
-    reads them many times.
+    reads them many times; ``kept`` says that the frame is a stored table already. ``fitted`` is a
+    preparation to use as it is, say of another horizon over the same rows.
     """
     keep = stored if materialize else (lambda df: df)
     ensure_checkpoint_dir(frame.sparkSession)
-    frame = keep(frame)
+    frame = frame if kept else keep(frame)
     split = stratified_split(frame, keys=keys, seed=settings.seed)
     basis = split.filter(~F.col("is_test")) if fit_on == "train" else frame
-    fitted = fit_preparation(basis, feature_names(frame, keys))
+    fitted = fitted or fit_preparation(basis, feature_names(frame, keys))
     scaled = [f"z{i}" for i in range(len(fitted.features))]
     stages = [
         SQLTransformer(statement=fitted.statement(scaled)),
         VectorAssembler(inputCols=scaled, outputCol="features"),
     ]
-    rows = keep(PipelineModel(stages).transform(split).select(*keys, "label", "is_test", "features"))
+    rows = keep(PipelineModel(stages).transform(split).filter(F.col("label").isNotNull()).select(*keys, "label", "is_test", "features"))
     train, test = rows.filter(~F.col("is_test")), rows.filter("is_test")
     classes = {r.label: r for r in class_weights(train).collect()}
     counts = {label: r.n for label, r in classes.items()}
@@ -103,7 +108,9 @@ def prepare(
     train = stratified_folds(train, keys=keys, folds=settings.folds, seed=settings.seed + 1).withColumns(
         {"weight": weight, "positive_weight": F.when(F.col("label") == 1, weights.get(1, 1.0)).otherwise(1.0)}
     )
-    return Prepared(target, fitted.features, stages, keep(train), test, counts, weights)
+    # a fit runs many short jobs, so a task should hold a good number of rows
+    tasks = max(1, -(-sum(counts.values()) // ROWS_PER_TASK))
+    return Prepared(target, fitted.features, stages, keep(train).coalesce(tasks), test, counts, weights)
 
 
 def estimator(name: str, prepared: Prepared, settings: Settings = Settings()):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from claimlens.columns import NON_FEATURE_PARTS, NON_FEATURES, horizon_label, numeric_columns
 from claimlens.functions.expressions import stable_hash
-from claimlens.functions.ordering import Position, long_form, last_of_first, order_statistics, quantile
+from claimlens.functions.ordering import Position, last_of_first, order_statistics, quantile
 
 SEED = 42
 MAX_FEATURES = 50
@@ -45,6 +45,21 @@ def training_frame(
     return joined.select(*keys, F.col(target).cast("int").alias("label"), *[F.col(f"`{c}`") for c in names])
 
 
+def training_frames(
+    labelled: DataFrame, features: DataFrame, targets: Sequence[str], keys: Sequence[str] = ("desynpuf_id", "clm_id")
+) -> DataFrame:
+    """One row per admission: its keys, the labels of all horizons and the numeric feature columns."""
+    joined = join_features(labelled, features)
+    names = [F.col(f"`{c}`") for c in feature_columns(joined)]
+    return joined.select(*keys, *[F.col(t).cast("int").alias(t) for t in targets], *names)
+
+
+def of_target(frames: DataFrame, targets: Sequence[str], target: str) -> DataFrame:
+    """The training frame of one horizon, from the frame of all."""
+    others = [t for t in targets if t != target]
+    return frames.drop(*others).withColumnRenamed(target, "label")
+
+
 def feature_names(frame: DataFrame, keys: Sequence[str] = ("desynpuf_id", "clm_id")) -> list[str]:
     return [c for c in frame.columns if c not in (*keys, "label")]
 
@@ -91,14 +106,11 @@ def fit_medians(df: DataFrame, columns: Sequence[str]) -> Preparation:
 
 
 def fit_scaling(df: DataFrame, fitted: Preparation) -> Preparation:
-    """Means and population deviations of the imputed columns, from one aggregation."""
-    rows = (
-        long_form(fitted.impute(df), fitted.features)
-        .groupBy("variable")
-        .agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("deviation"))
-        .collect()
-    )
-    found = {r.variable: (r["mean"], r.deviation or 1.0) for r in rows}
+    """Means and population deviations of the imputed columns, from one wide aggregation."""
+    imputed, names = fitted.impute(df), fitted.features
+    measures = [f(quoted(c)).alias(f"{kind}{i}") for i, c in enumerate(names) for kind, f in (("m", F.avg), ("s", F.stddev_pop))]
+    row = imputed.agg(*measures).first() if names else {}
+    found = {c: (row[f"m{i}"], row[f"s{i}"] or 1.0) for i, c in enumerate(names)}
     return Preparation(
         fitted.medians,
         {c: found[c][0] for c in fitted.features},
@@ -118,11 +130,12 @@ def fit_preparation(df: DataFrame, columns: Sequence[str], max_features: int = M
 
 def anova_f_scores(df: DataFrame, columns: Sequence[str], label: str = "label") -> DataFrame:
     """One-way ANOVA F of each feature over the classes; null where it is undefined."""
-    long = (
-        long_form(df, columns, by=[label])
-        .groupBy(label, F.col("variable").alias("feature"))
-        .agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("variance"))
+    measure = lambda c: F.struct(
+        F.lit(c).alias("feature"), F.count(quoted(c)).alias("n"), F.avg(quoted(c)).alias("mean"), F.var_pop(quoted(c)).alias("variance")
     )
+    # one wide row per class, turned into a row per class and feature
+    wide = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.array(*[measure(c) for c in columns]).alias("_features"))
+    long = wide.select(label, F.inline("_features")).filter("n > 0")
     overall = long.groupBy("feature").agg(
         F.sum("n").alias("_rows"), F.count("*").alias("_classes"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_mean")
     )
@@ -151,7 +164,7 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 def _hash_cuts(df: DataFrame, label: str, cuts: dict[str, Position]) -> DataFrame:
     """Per class, the hash values at which its rows are cut. One row per class."""
-    return order_statistics(df, ["_hash"], cuts, by=[label], accuracy=100_000).drop("variable", "n")
+    return order_statistics(df, ["_hash"], cuts, by=[label]).drop("variable", "n")
 
 
 def stratified_split(
@@ -164,12 +177,12 @@ def stratified_split(
     """Add is_test: the given share of each class, chosen by a hash of the row keys.
 
     The cut is a hash value per class, so the frame itself is neither sorted nor shuffled, and the
-    same rows are chosen however they are partitioned.
+    same rows are chosen however they are partitioned. Rows without a label stay, with a null is_test.
     """
     hashed = df.withColumn("_hash", stable_hash(*keys, seed=seed))
     cuts = _hash_cuts(hashed, label, {"_cut": last_of_first(test_share)})
     return (
-        hashed.join(F.broadcast(cuts), label)
+        hashed.join(F.broadcast(cuts), label, "left")
         .withColumn("is_test", F.col("_hash") <= F.col("_cut"))
         .select(*df.columns, "is_test")
     )
@@ -182,9 +195,9 @@ def stratified_folds(
     folds: int = 5,
     seed: int = SEED + 1,
 ) -> DataFrame:
-    """Add fold 0…folds−1: equal shares of each class, cut by a hash of the row keys."""
+    """Add fold 0…folds−1: equal shares of each class, cut by a hash of the row keys; null without a label."""
     hashed = df.withColumn("_hash", stable_hash(*keys, seed=seed))
     names = [f"_cut{i}" for i in range(1, folds)]
     cuts = _hash_cuts(hashed, label, {n: last_of_first(i / folds) for i, n in enumerate(names, 1)})
     fold = sum(((F.col("_hash") > F.col(n)).cast("int") for n in names), F.lit(0))
-    return hashed.join(F.broadcast(cuts), label).withColumn("fold", fold).select(*df.columns, "fold")
+    return hashed.join(F.broadcast(cuts), label, "left").withColumn("fold", fold).select(*df.columns, "fold")

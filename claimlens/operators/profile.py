@@ -85,36 +85,33 @@ def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return order_statistics(df, columns, {"median": quantile(0.5)}, also={"mean": F.avg("value")})
 
 
-def density(df: DataFrame, column: str, points: int = 200) -> DataFrame:
-    """Gaussian density estimate on an even grid over the column's range, bandwidth by Scott's rule.
+def density(df: DataFrame, columns: str | Sequence[str], points: int = 200) -> DataFrame:
+    """Gaussian density estimate on an even grid over each column's range, bandwidth by Scott's rule.
 
-    Equal values are counted first, so each distinct value meets the grid once.
+    (point, x, density), with the column's name first if several are given. Null and NaN are left out, and a
+    column without spread has no density. Each task sums the grid over its own values, so the values are
+    not shuffled: only one array of sums leaves it.
     """
-    values = df.select(F.col(column).cast("double").alias("value")).filter(F.col("value").isNotNull())
-    stats = values.agg(
-        F.struct(
-            F.count("*").alias("n"),
-            F.min("value").alias("low"),
-            F.max("value").alias("high"),
-            F.stddev_samp("value").alias("sd"),
-        )
-    ).scalar()
-    number, low, high, sd = (stats[k] for k in ("n", "low", "high", "sd"))
-    bandwidth = sd * F.pow(number.cast("double"), F.lit(-0.2))
-    x = low + (high - low) * F.col("point") / (points - 1)
-    kernel = F.exp(-0.5 * F.pow((x - F.col("value")) / bandwidth, 2))
-    return (
-        values.groupBy("value")
-        .agg(F.count("*").alias("rows"))
-        .select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
-        .groupBy("point")
-        .agg(F.sum(F.col("rows") * kernel).alias("_sum"))
-        .select(
-            "point",
-            x.alias("x"),
-            (F.col("_sum") / (number * bandwidth * math.sqrt(2 * math.pi))).alias("density"),
-        )
+    names = [columns] if isinstance(columns, str) else list(columns)
+    values = long_form(df, names)
+    stats = values.groupBy("variable").agg(
+        F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.stddev_samp("value").alias("sd")
     )
+    bandwidth = (F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("bandwidth")
+    usable = stats.filter("sd > 0").select("variable", "n", "low", "high", bandwidth)
+    x = F.col("low") + (F.col("high") - F.col("low")) * F.col("point") / (points - 1)
+    grid = usable.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")).withColumn("x", x)
+    kernel = lambda k: F.sum(F.exp(-0.5 * F.pow((F.col("low") + (F.col("high") - F.col("low")) * k / (points - 1) - F.col("value")) / F.col("bandwidth"), 2)))
+    sums = (
+        values.join(F.broadcast(usable), "variable")
+        .groupBy("variable")
+        .agg(F.array(*[kernel(k) for k in range(points)]).alias("sums"))
+        .select("variable", F.posexplode("sums").alias("point", "sum"))
+    )
+    out = grid.join(sums, ["variable", "point"]).select(
+        "variable", "point", "x", (F.col("sum") / (F.col("n") * F.col("bandwidth") * math.sqrt(2 * math.pi))).alias("density")
+    )
+    return out.drop("variable") if isinstance(columns, str) else out
 
 
 def box_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -162,11 +159,11 @@ def non_null_counts(df: DataFrame) -> DataFrame:
     )
 
 
-def profile_table(df: DataFrame, skip: Sequence[str] = (), bins: int | str = "auto") -> DataFrame:
+def profile_table(df: DataFrame, skip: Sequence[str] = (), bins: int | str = "auto", curve: bool = False) -> DataFrame:
     """Profile of every column by its type, as (variable, statistic, item, value) rows.
 
-    Text columns give value counts; numeric columns give a histogram, the mean and the median.
-    Columns of one kind share their scans.
+    Text columns give value counts; numeric columns give a histogram, the mean, the median and, with
+    ``curve``, the density. Columns of one kind share their scans.
     """
     fields = [f for f in df.schema.fields if f.name not in skip]
     texts = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
@@ -189,6 +186,10 @@ def profile_table(df: DataFrame, skip: Sequence[str] = (), bins: int | str = "au
             .unpivot(["variable"], ["mean", "median"], "statistic", "value")
             .select("variable", "statistic", F.lit("").alias("item"), "value")
         )
+    if numbers and curve:
+        parts.append(
+            density(df, numbers).select("variable", F.lit("density").alias("statistic"), F.col("x").cast("string").alias("item"), F.col("density").alias("value"))
+        )
     if not parts:
         raise ValueError("no text or numeric column to profile")
     out = parts[0]

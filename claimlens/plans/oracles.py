@@ -2,24 +2,36 @@
 
 from __future__ import annotations
 
-from claimlens.columns import (
-    BENEFICIARY_SHARES,
-    CONDITIONS,
-    COVERAGE_MONTHS,
-    HORIZONS,
-    MODELS,
-    PRIMARY_PAYER,
-    REIMBURSEMENTS,
-    horizon_label,
-)
-from claimlens.operators.evaluation import CUTOFFS
-from claimlens.operators.insights import PLANS
-from claimlens.plans.queries import BOX_COLUMNS, CATEGORIES, FEATURES
+from claimlens.columns import CONDITIONS, COVERAGE_MONTHS, HORIZONS, MODELS, horizon_label
 
 LABELS = [horizon_label(n) for n in HORIZONS]
-CODES = [f"icd9_dgns_cd_{k}" for k in range(1, 11)]
+# More code columns than any order has lines; those beyond the longest order are empty.
+CODES = [f"icd9_dgns_cd_{k}" for k in range(1, 31)]
 SHORT = {c: c[3:] for c in CONDITIONS}
 
+# The values a right result has to use, written out here so that a change of the library does not pass unseen.
+CUTOFFS = [
+    0.1, 0.15000000000000002, 0.20000000000000004, 0.25000000000000006, 0.30000000000000004, 0.3500000000000001,
+    0.40000000000000013, 0.45000000000000007, 0.5000000000000001, 0.5500000000000002, 0.6000000000000002,
+    0.6500000000000001, 0.7000000000000002, 0.7500000000000002, 0.8000000000000002, 0.8500000000000002,
+]
+PLANS = [
+    ("High", "Intensive case management; Daily medication adherence monitoring; Weekly follow-up appointments; Home health visits 2x per week",
+     "Daily vital signs monitoring via telehealth", "48-hour post-discharge appointment"),
+    ("Medium", "Standard case management; Medication reconciliation; Bi-weekly follow-up appointments; Disease-specific education program",
+     "Weekly telehealth check-ins", "7-day post-discharge appointment"),
+    ("Low", "Standard discharge planning; Medication education; Access to nurse hotline; Preventive care reminders",
+     "Monthly wellness checks", "14-day post-discharge appointment"),
+]
+BOX_COLUMNS = [
+    "bene_hi_cvrage_tot_mons", "bene_smi_cvrage_tot_mons", "bene_hmo_cvrage_tot_mons", "plan_cvrg_mos_num", "medreimb_ip", "medreimb_op",
+    "medreimb_car", "benres_ip", "benres_op", "benres_car", "pppymt_ip", "pppymt_op", "pppymt_car",
+]
+CATEGORIES = ["bene_sex_ident_cd", "bene_race_cd", "bene_esrd_ind", "sp_state_code"]
+FEATURES = [
+    "clm_pmt_amt", "clm_utlztn_day_cnt", "age", "num_admissions", "avg_los", "total_ip_cost", "sp_chf", "has_sp_chf", "diag_top_1",
+]
+
 # Common tables
 
 CLAIMS = f"""
@@ -30,7 +42,7 @@ lines AS (
   FROM lineitem),
 line_codes AS (
   SELECT l_orderkey, CAST(count(*) AS INTEGER) AS stay,
-         {", ".join(f"max(CASE WHEN k = {k} THEN p_brand END) AS icd9_dgns_cd_{k}" for k in range(1, 11))},
+         {", ".join(f"max(CASE WHEN k = {k} THEN p_brand END) AS icd9_dgns_cd_{k}" for k in range(1, 31))},
          max(CASE WHEN k = 1 THEN p_type END) AS icd9_prcdr_cd_1
   FROM lines LEFT JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey),
 claims AS (
@@ -79,10 +91,9 @@ people AS (
          coalesce(medreimb_ip, 0) AS medreimb_ip, coalesce(medreimb_op, 0) AS medreimb_op, 0 AS medreimb_car,
          CAST(c_acctbal AS DECIMAL(18, 2)) AS benres_ip, 0 AS benres_op, 0 AS benres_car,
          0 AS pppymt_ip, 0 AS pppymt_op, 0 AS pppymt_car
-  FROM customer CROSS JOIN (VALUES (1998), (1999), (2000)) v(y)
+  FROM customer CROSS JOIN (SELECT DISTINCT year(o_orderdate) AS y FROM orders) v
   LEFT JOIN conditions ON cid = c_custkey AND cyear = y
-  LEFT JOIN payments ON pid = c_custkey AND pyear = y
-  WHERE y <> 2000 OR c_custkey % 10 <> 0)"""
+  LEFT JOIN payments ON pid = c_custkey AND pyear = y)"""
 
 BY_YEAR = """
 joined AS (
@@ -261,6 +272,22 @@ def _hash(seed: int) -> str:
     return f"substr(md5(concat_ws('|', CAST(desynpuf_id AS VARCHAR), CAST(clm_id AS VARCHAR), '{seed}')), 1, 13)"
 
 
+def _split(target: str) -> str:
+    """Held-out rows of the trained models."""
+    return f"""
+split AS (
+  SELECT desynpuf_id, clm_id, label, h <= cut AS is_test FROM (
+    SELECT *, max(CASE WHEN k = greatest(round(n * 0.2), 1) THEN h END) OVER (PARTITION BY label) AS cut FROM (
+      SELECT *, row_number() OVER (PARTITION BY label ORDER BY h) AS k, count(*) OVER (PARTITION BY label) AS n FROM (
+        SELECT desynpuf_id, clm_id, {target} AS label, {_hash(42)} AS h FROM labelled))))"""
+
+
+def _held_out(model: str) -> str:
+    """What is determined of a trained model's scores: the held-out rows, and that p is a probability."""
+    return f"""{_with(CLAIMS, LABELLED, _split("readmit_30"))} SELECT 'readmit_30' AS target, '{model}' AS model, desynpuf_id,
+        clm_id, label, TRUE AS p_is_probability FROM split WHERE is_test"""
+
+
 CLAIM_COLUMNS = f"clm_id, desynpuf_id, claim_type, admit_date, year, age, {_r('clm_pmt_amt', 2)}"
 _AUTO_BINS = """CASE WHEN hi > lo THEN ceil((hi - lo) / CASE WHEN q3 > q1
     THEN least(2 * (q3 - q1) / cbrt(n), (hi - lo) / (log2(n) + 1))
@@ -290,13 +317,13 @@ def all_sql() -> dict[str, str]:
                 FROM (SELECT feature, label, count(value) AS n, avg(value) AS mean, var_pop(value) AS variance
                       FROM (UNPIVOT imputed ON * EXCLUDE (desynpuf_id, clm_id, label) INTO NAME feature VALUE value)
                       GROUP BY feature, label)) GROUP BY feature))"""
-    plans = ", ".join(f"('{t}', '{'; '.join(i)}', '{m}', '{f}')" for t, i, m, f in PLANS)
+    plans = ", ".join(f"('{t}', '{i}', '{m}', '{f}')" for t, i, m, f in PLANS)
     raw_amount = "CASE WHEN clm_id % 211 = 0 THEN 'n/a' ELSE CAST(clm_pmt_amt AS VARCHAR) END AS clm_pmt_amt"
     clean_amount = "CASE WHEN clm_id % 211 <> 0 THEN round(CAST(clm_pmt_amt AS DOUBLE), 2) END"
     folds = 5
     return {
         "load_beneficiaries": f"""{people} SELECT desynpuf_id, year, bene_birth_dt, bene_sex_ident_cd, bene_race_cd,
-            sp_state_code, CASE WHEN year <> 1998 THEN bene_esrd_ind END AS bene_esrd_ind FROM people""",
+            sp_state_code, CASE WHEN year > (SELECT min(year) FROM people) THEN bene_esrd_ind END AS bene_esrd_ind FROM people""",
         "load_claims": f"""{_with(CLAIMS)} SELECT desynpuf_id, clm_id, {_packed('discharge_date')} AS clm_thru_dt, {raw_amount},
             CASE WHEN claim_type = 'Inpatient' THEN {_packed('admit_date')} END AS clm_admsn_dt,
             CASE WHEN claim_type = 'Outpatient' THEN {_packed('admit_date')} END AS clm_from_dt FROM claims""",
@@ -319,7 +346,7 @@ def all_sql() -> dict[str, str]:
         "claims_code_search": f"""{_with(CLAIMS)} SELECT clm_id, claim_type, icd9_dgns_cd_1, icd9_prcdr_cd_1 FROM claims
             WHERE {" OR ".join(f"contains({c}, '#2')" for c in [*CODES, "icd9_prcdr_cd_1"])}""",
         "claims_table": f"""{joined} SELECT desynpuf_id, claim_type, admit_date, discharge_date, {_r('clm_pmt_amt', 2)},
-            clm_utlztn_day_cnt, clm_id FROM joined WHERE year IN (1998, 1999, 2000)
+            clm_utlztn_day_cnt, clm_id FROM joined WHERE year IS NOT NULL
             ORDER BY admit_date NULLS LAST, clm_id, year LIMIT 1000""",
         "kpi_summary": f"""{people} SELECT round(CAST(sum(clm_pmt_amt) AS DOUBLE), 2) AS total_reimbursed,
             count(*) FILTER (WHERE claim_type = 'Inpatient') AS inpatient_claims,
@@ -327,9 +354,9 @@ def all_sql() -> dict[str, str]:
             (SELECT count(DISTINCT desynpuf_id) FROM people) AS unique_patients FROM claims""",
         "monthly_reimbursement": f"""{joined} SELECT CAST(date_trunc('month', admit_date) AS DATE) AS month, claim_type,
             round(CAST(sum(clm_pmt_amt) AS DOUBLE), 2) AS amount FROM joined
-            WHERE year IN (1998, 1999, 2000) AND admit_date IS NOT NULL GROUP BY 1, 2""",
+            WHERE year IS NOT NULL AND admit_date IS NOT NULL GROUP BY 1, 2""",
         "reimbursement_by_type": f"""{joined} SELECT claim_type, round(CAST(sum(clm_pmt_amt) AS DOUBLE), 2) AS amount
-            FROM joined WHERE year IN (1998, 1999, 2000) GROUP BY 1""",
+            FROM joined WHERE year IS NOT NULL GROUP BY 1""",
         "count_by_sex": f"{people} SELECT bene_sex_ident_cd, count(*) AS n FROM people GROUP BY 1",
         "condition_counts_top10": f"""{people} SELECT * FROM ({" UNION ALL ".join(
             f"SELECT '{SHORT[c]}' AS condition, count(*) FILTER (WHERE {c} = 1) AS n FROM people" for c in CONDITIONS)})
@@ -460,11 +487,31 @@ def all_sql() -> dict[str, str]:
         "treatment_plan": f"""{tiered} SELECT clm_id, tier, interventions, monitoring, follow_up
             FROM tiers JOIN best USING (target, model)
             JOIN (VALUES {plans}) v(tier, interventions, monitoring, follow_up) USING (tier) WHERE target = 'readmit_30'""",
-        "executive_summary": f"""{tiered},{PEOPLE},{TIER_COUNTS}
+        "executive_summary": f"""{tiered},{PEOPLE},{LONG_CODES},{TIER_COUNTS}
             SELECT 'data' AS section, 'unique_patients' AS item, CAST(count(DISTINCT desynpuf_id) AS VARCHAR) AS value FROM people
             UNION ALL SELECT 'data', 'inpatient_admissions', CAST(count(*) AS VARCHAR) FROM inpatient
             UNION ALL SELECT 'best_model', target, printf('%s (AUC: %.3f)', model, auc) FROM best
+            UNION ALL SELECT 'risk_factor', CAST(rnk AS VARCHAR), code FROM top20 WHERE rnk <= 5
             UNION ALL SELECT 'savings', target, printf('%.2f', CAST(potential_savings AS DOUBLE)) FROM costs WHERE target = 'readmit_30'""",
+        **{
+            query: _held_out(model)
+            for query, model in [
+                ("model_lr", "Logistic Regression"),
+                ("model_rf", "Random Forest"),
+                ("model_gbt", "Gradient Boosting"),
+                ("model_gbt_weighted", "Weighted Gradient Boosting"),
+                ("model_mlp", "Multilayer Perceptron"),
+            ]
+        },
+        "train_horizon": f"""{_with(CLAIMS, LABELLED, _split("readmit_30"))} SELECT 'readmit_30' AS target, model, count(*) AS n,
+            TRUE AS rates_in_range FROM split CROSS JOIN (VALUES ('Logistic Regression'), ('Random Forest'), ('Gradient Boosting'),
+            ('Weighted Gradient Boosting')) m(model) WHERE is_test GROUP BY model""",
+        "cross_validation": """SELECT 'readmit_30' AS target, model, CAST(fold AS INTEGER) AS fold, TRUE AS auc_in_range
+            FROM range(5) f(fold) CROSS JOIN (VALUES ('Logistic Regression'), ('Random Forest'), ('Gradient Boosting'),
+            ('Weighted Gradient Boosting')) m(model)""",
+        "feature_importance": """SELECT 'Random Forest' AS model, 10 AS factors, TRUE AS ranked, TRUE AS a_share""",
+        "batch_score": f"""{_with(CLAIMS, LABELLED, _split("readmit_30"))} SELECT clm_id, TRUE AS p_is_probability,
+            TRUE AS tier_agrees FROM split WHERE is_test""",
         "registry_latest": """SELECT target, model, version FROM (
               SELECT o_orderpriority AS target, o_orderstatus AS model, o_orderkey AS version,
                      row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus

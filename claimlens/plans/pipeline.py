@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from claimlens.columns import HORIZONS, horizon_label
 from claimlens.operators import claims as claims_ops
 from claimlens.operators import evaluation, features, insights, labels, models, prep, progression
-from claimlens.sources.readers import SourceConfig, load_beneficiaries, load_claims
+from claimlens.session import stored
+from claimlens.sources.readers import SourceConfig, load_beneficiaries, load_claims, read_features
 from claimlens.sources.registry import Registry
+from claimlens.sources.writers import write_predictions, write_summary
 
 
 @dataclass(frozen=True)
@@ -36,15 +38,20 @@ def train_horizon(
     force: bool = False,
     fit_on: str = "all",
     cross_validation: bool = True,
+    kept: bool = False,
+    preparation: prep.Preparation | None = None,
 ) -> Trained | None:
     """Train, evaluate and store the models of one horizon; None when only one class occurs.
 
-    Stored results are used again unless ``force`` asks for new training.
+    Unless ``force`` asks for new training, stored results are used again; if they are gone, the saved
+    models are loaded and evaluated on the test part. ``kept`` and ``preparation`` as in ``models.prepare``.
     """
     if not force and registry.has_results(target):
         metrics, predictions = registry.load_results(target)
         return Trained(target, metrics, predictions, {}, [])
-    prepared = models.prepare(frame, target, fit_on=fit_on, settings=settings)
+    if not force and (saved := evaluate_saved(registry, frame, target, settings)) is not None:
+        return saved
+    prepared = models.prepare(frame, target, fit_on=fit_on, settings=settings, kept=kept, fitted=preparation)
     if not prepared.trainable:
         return None
     fitted, scored, folds = {}, [], []
@@ -79,6 +86,21 @@ def evaluate_saved(registry: Registry, frame: DataFrame, target: str, settings:
     return Trained(target, metrics, scored, fitted, next(iter(loaded.values()))[1])
 
 
+def score_file(
+    spark: SparkSession, registry: Registry, target: str, model: str, path: str, output: str, keep: Sequence[str] = (), file_format: str = "csv"
+) -> tuple[DataFrame, list[str]]:
+    """Score a file of feature rows with a saved model and write the result; returns it with the unused columns.
+
+    Missing features fail before anything is scored.
+    """
+    fitted, required = registry.load(target, model)
+    rows = read_features(spark, path)
+    _, unused = models.check_features(rows, required)
+    write_predictions(models.batch_score(fitted, rows, required, keep), output, file_format)
+    written = spark.read.option("header", True).option("inferSchema", True).csv(output) if file_format == "csv" else spark.read.parquet(output)
+    return written, [c for c in unused if c not in keep]
+
+
 def union(parts: Sequence[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
@@ -105,12 +127,19 @@ def run_pipeline(
     labelled = labels.readmission_labels(dated)
     matrix = features.feature_matrix(beneficiaries, dated)
     registry = Registry(spark, root)
+    targets = [horizon_label(days) for days in horizons]
+    # labels and features are derived once, for all horizons
+    frames = stored(prep.training_frames(labelled, matrix, targets))
+    features_used = [c for c in frames.columns if c not in (*models.KEYS, *targets)]
+    # without a selection by label, one preparation serves all horizons
+    shared = prep.fit_preparation(frames, features_used) if len(features_used) <= prep.MAX_FEATURES else None
     trained = []
-    for days in horizons:
-        target = horizon_label(days)
-        names = [*models.ENSEMBLE, *(["Multilayer Perceptron"] if perceptron and days == horizons[0] else [])]
-        frame = prep.training_frame(labelled, matrix, target)
-        result = train_horizon(frame, target, registry, names, settings, force, cross_validation=cross_validation)
+    for target in targets:
+        names = [*models.ENSEMBLE, *(["Multilayer Perceptron"] if perceptron and target == targets[0] else [])]
+        frame = prep.of_target(frames, targets, target)
+        result = train_horizon(
+            frame, target, registry, names, settings, force, cross_validation=cross_validation, kept=True, preparation=shared
+        )
         if result is not None:
             trained.append(result)
     out = {
@@ -122,7 +151,8 @@ def run_pipeline(
         return {**out, "summary": insights.executive_summary(beneficiaries, dated)}
     metrics = union([t.metrics for t in trained])
     predictions = union([t.predictions for t in trained])
-    costs = insights.treatment_costs(insights.risk_tier_counts(predictions, metrics))
+    scores = stored(evaluation.score_counts(predictions))
+    costs = insights.treatment_costs(insights.risk_tier_counts(scores, metrics))
     first = trained[0]
     fitted, names = first.fitted, first.names
     if not fitted:
@@ -130,11 +160,21 @@ def run_pipeline(
         fitted = {name: pipeline.stages[-1] for name, (pipeline, _) in loaded.items()}
         names = next(iter(loaded.values()))[1] if loaded else []
     factors = models.high_risk_factors(fitted, names, spark)
+    best = evaluation.best_predictions(predictions, evaluation.best_model(metrics))
+    summary = insights.executive_summary(beneficiaries, dated, metrics, factors, costs)
+    performance = evaluation.performance_summary(metrics)
+    write_summary(performance, f"{root}/reports/performance")
+    write_predictions(insights.risk_tiers(best), f"{root}/reports/predictions")
     return {
         **out,
         "metrics": metrics,
         "predictions": predictions,
-        "performance": evaluation.performance_summary(metrics),
+        "performance": performance,
+        "roc": evaluation.roc_curve(scores),
+        "tiers": insights.risk_tiers(best),
+        "treatment_plan": insights.treatment_plan(insights.risk_tiers(best)),
         "costs": costs,
-        "summary": insights.executive_summary(beneficiaries, dated, metrics, factors, costs),
+        "factors": factors,
+        "importances": models.best_model_insight(metrics.filter(F.col("target") == first.target), fitted, names),
+        "summary": summary,
     }

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimlens.columns import (
@@ -21,7 +23,7 @@ from claimlens.functions.expressions import lenient_amount, lenient_date, strict
 from claimlens.operators import claims as claims_ops
 from claimlens.operators import dashboard, evaluation, features, insights, labels, models, prep, profile, progression
 from claimlens.plans import pipeline
-from claimlens.plans.tables import YEARS, Tables
+from claimlens.plans.tables import Tables
 from claimlens.session import scratch_folder, stored
 from claimlens.sources import readers
 from claimlens.sources.registry import Registry, latest_versions
@@ -44,9 +46,6 @@ FEATURES = [
     "diag_top_1",
 ]
 
-# Trees and iterations of the registered model queries; the library defaults are the full numbers.
-QUICK = models.Settings(trees=10, regression_iterations=100, perceptron_iterations=20)
-
 
 def register(query: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
     """Register a function of the claims tables under its name."""
@@ -66,7 +65,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 @register
 def load_beneficiaries(t: Tables) -> DataFrame:
     people = t.beneficiaries(conditions=False)
-    years = [people.filter(F.col("year") == y).drop("year").withColumn("year", F.lit(y)) for y in YEARS]
+    years = [people.filter(F.col("year") == y).drop("year").withColumn("year", F.lit(y)) for y in t.years]
     years[0] = years[0].drop("bene_esrd_ind")
     return readers.union_years(years).select(
         "desynpuf_id", "year", "bene_birth_dt", "bene_sex_ident_cd", "bene_race_cd", "sp_state_code", "bene_esrd_ind"
@@ -137,7 +136,9 @@ def claims_demographics_by_year(t: Tables) -> DataFrame:
 
 @register
 def claims_filtered(t: Tables) -> DataFrame:
-    out = claims_ops.filter_claims(_joined(t), years=[1998, 1999], claim_types=["Inpatient"])
+    years = [1998, 1999]
+    joined = claims_ops.claims_demographics(t.inpatient(), t.beneficiaries(conditions=False), years=years)
+    out = claims_ops.filter_claims(joined, years=years, claim_types=["Inpatient"])
     return rounded(out.select(*CLAIM_COLUMNS), 2)
 
 
@@ -154,8 +155,8 @@ def claims_code_search(t: Tables) -> DataFrame:
 
 @register
 def claims_table(t: Tables) -> DataFrame:
-    joined = claims_ops.claims_demographics(t.claims(stay=True), t.beneficiaries(conditions=False))
-    chosen = claims_ops.filter_claims(joined, years=YEARS)
+    joined = claims_ops.claims_demographics(t.claims(stay=True), t.beneficiaries(conditions=False), years=t.years)
+    chosen = claims_ops.filter_claims(joined, years=t.years)
     return rounded(claims_ops.claims_table(chosen), 2)
 
 
@@ -169,12 +170,12 @@ def kpi_summary(t: Tables) -> DataFrame:
 
 @register
 def monthly_reimbursement(t: Tables) -> DataFrame:
-    return rounded(dashboard.monthly_reimbursement(claims_ops.filter_claims(_joined(t), years=YEARS)), 2)
+    return rounded(dashboard.monthly_reimbursement(claims_ops.filter_claims(_joined(t), years=t.years)), 2)
 
 
 @register
 def reimbursement_by_type(t: Tables) -> DataFrame:
-    return rounded(dashboard.reimbursement_by_type(claims_ops.filter_claims(_joined(t), years=YEARS)), 2)
+    return rounded(dashboard.reimbursement_by_type(claims_ops.filter_claims(_joined(t), years=t.years)), 2)
 
 
 @register
@@ -424,9 +425,9 @@ def best_threshold(t: Tables) -> DataFrame:
 
 @register
 def classification_metrics(t: Tables) -> DataFrame:
-    predictions = stored(t.predictions())
-    cutoffs = evaluation.best_threshold(evaluation.threshold_sweep(predictions))
-    return rounded(evaluation.classification_metrics(predictions, cutoffs))
+    scores = evaluation.score_counts(t.predictions())
+    cutoffs = evaluation.best_threshold(evaluation.threshold_sweep(scores))
+    return rounded(evaluation.classification_metrics(scores, cutoffs))
 
 
 @register
@@ -441,23 +442,23 @@ def roc_curve(t: Tables) -> DataFrame:
 
 @register
 def auc_by_model(t: Tables) -> DataFrame:
-    return rounded(evaluation.auc_by_model(evaluation.model_metrics(stored(t.predictions()))))
+    return rounded(evaluation.auc_by_model(evaluation.model_metrics(evaluation.score_counts(t.predictions()))))
 
 
 @register
 def best_model(t: Tables) -> DataFrame:
-    return rounded(evaluation.best_model(evaluation.model_metrics(stored(t.predictions()))))
+    return rounded(evaluation.best_model(evaluation.model_metrics(evaluation.score_counts(t.predictions()))))
 
 
 @register
 def performance_summary(t: Tables) -> DataFrame:
-    return evaluation.performance_summary(evaluation.model_metrics(stored(t.predictions())))
+    return evaluation.performance_summary(evaluation.model_metrics(evaluation.score_counts(t.predictions())))
 
 
 @register
 def readmission_rates(t: Tables) -> DataFrame:
-    predictions = stored(t.predictions())
-    return rounded(evaluation.readmission_rates(predictions, evaluation.model_metrics(predictions)))
+    scores = evaluation.score_counts(t.predictions())
+    return rounded(evaluation.readmission_rates(scores, evaluation.model_metrics(scores)))
 
 
 # Insights
@@ -470,19 +471,19 @@ def risk_tiers(t: Tables) -> DataFrame:
 
 @register
 def risk_tier_counts(t: Tables) -> DataFrame:
-    predictions = stored(t.predictions())
-    return insights.risk_tier_counts(predictions, evaluation.roc_auc(predictions))
+    scores = evaluation.score_counts(t.predictions())
+    return insights.risk_tier_counts(scores, evaluation.roc_auc(scores))
 
 
 @register
 def treatment_costs(t: Tables) -> DataFrame:
-    predictions = stored(t.predictions())
-    return rounded(insights.treatment_costs(insights.risk_tier_counts(predictions, evaluation.roc_auc(predictions))), 2)
+    scores = evaluation.score_counts(t.predictions())
+    return rounded(insights.treatment_costs(insights.risk_tier_counts(scores, evaluation.roc_auc(scores))), 2)
 
 
 @register
 def treatment_plan(t: Tables) -> DataFrame:
-    predictions = stored(t.predictions().filter(F.col("target") == "readmit_30"))
+    predictions = t.predictions().filter(F.col("target") == "readmit_30")
     tiered = insights.risk_tiers(evaluation.best_predictions(predictions, evaluation.best_model(evaluation.roc_auc(predictions))))
     return insights.treatment_plan(tiered).select(
         "clm_id", "tier", F.array_join("interventions", "; ").alias("interventions"), "monitoring", "follow_up"
@@ -491,10 +492,13 @@ def treatment_plan(t: Tables) -> DataFrame:
 
 @register
 def executive_summary(t: Tables) -> DataFrame:
-    predictions = stored(t.predictions())
-    metrics = evaluation.roc_auc(predictions)
-    costs = insights.treatment_costs(insights.risk_tier_counts(predictions, metrics))
-    return insights.executive_summary(t.beneficiaries(conditions=False), t.inpatient(), metrics, None, costs)
+    scores = evaluation.score_counts(t.predictions())
+    metrics = evaluation.roc_auc(scores)
+    costs = insights.treatment_costs(insights.risk_tier_counts(scores, metrics))
+    # the most frequent codes stand for the factors, which a fixed score does not rank
+    order = Window.orderBy(F.desc("n"), "code")
+    factors = features.top_codes(t.inpatient(codes=True)).select(F.row_number().over(order).alias("rank"), F.col("code").alias("feature"))
+    return insights.executive_summary(t.beneficiaries(conditions=False), t.inpatient(), metrics, factors, costs)
 
 
 @register
@@ -508,12 +512,22 @@ def registry_latest(t: Tables) -> DataFrame:
     return latest_versions(entries).select("target", "model", "version")
 
 
-# Trained models: checked by rows only
+# Trained models, all with the library's full settings. Their numbers are not determined, so the queries
+# return what is: the held-out rows, and whether probabilities, rates and tiers are in order.
+
+
+def _prepared(t: Tables) -> models.Prepared:
+    return models.prepare(_frame(t), "readmit_30")
+
+
+def _probability(column: str = "p") -> Column:
+    return F.coalesce(F.col(column).between(0.0, 1.0), F.lit(False))
 
 
 def _scored(t: Tables, name: str) -> DataFrame:
-    prepared = models.prepare(_frame(t), "readmit_30", settings=QUICK)
-    return models.score(models.fit_model(name, prepared, QUICK), prepared.test, "readmit_30", name)
+    prepared = _prepared(t)
+    scored = models.score(models.fit_model(name, prepared), prepared.test, "readmit_30", name)
+    return scored.select("target", "model", "desynpuf_id", "clm_id", "label", _probability().alias("p_is_probability"))
 
 
 @register
@@ -543,27 +557,40 @@ def model_mlp(t: Tables) -> DataFrame:
 
 @register
 def train_horizon(t: Tables) -> DataFrame:
+    """All four models of the ensemble; their folds are the query cross_validation."""
     registry = Registry(t.spark, scratch_folder(t.spark))
-    names = ["Logistic Regression", "Random Forest"]
-    return pipeline.train_horizon(_frame(t), "readmit_30", registry, names, QUICK, force=True).metrics
+    metrics = pipeline.train_horizon(_frame(t), "readmit_30", registry, force=True, cross_validation=False).metrics
+    rates = [_probability(c) for c in ("auc", "accuracy", "precision", "recall", "f1")]
+    return metrics.select("target", "model", "n", functools.reduce(lambda a, b: a & b, rates).alias("rates_in_range"))
 
 
 @register
 def cross_validation(t: Tables) -> DataFrame:
-    prepared = models.prepare(_frame(t), "readmit_30", settings=QUICK)
-    return models.cross_validated(models.cross_validate("Logistic Regression", prepared, QUICK))
+    prepared = _prepared(t)
+    folds = pipeline.union([models.cross_validate(name, prepared) for name in models.ENSEMBLE])
+    return folds.select("target", "model", "fold", _probability("auc").alias("auc_in_range"))
 
 
 @register
 def feature_importance(t: Tables) -> DataFrame:
-    prepared = models.prepare(_frame(t), "readmit_30", settings=QUICK)
-    fitted = {"Random Forest": models.fit_model("Random Forest", prepared, QUICK)}
-    return models.high_risk_factors(fitted, prepared.names, t.spark)
+    prepared = _prepared(t)
+    fitted = {"Random Forest": models.fit_model("Random Forest", prepared)}
+    factors = models.high_risk_factors(fitted, prepared.names, t.spark)
+    falling = F.sort_array(F.collect_list(F.struct("rank", "importance")))
+    return factors.groupBy("model").agg(
+        F.count("*").cast("int").alias("factors"),
+        (F.transform(falling, lambda x: x["importance"]) == F.sort_array(F.collect_list("importance"), asc=False)).alias("ranked"),
+        ((F.sum("importance") > 0) & (F.sum("importance") <= 1.000001)).alias("a_share"),
+    )
 
 
 @register
 def batch_score(t: Tables) -> DataFrame:
-    frame = _frame(t)
-    prepared = models.prepare(frame, "readmit_30", settings=QUICK)
-    model = models.fit_model("Logistic Regression", prepared, QUICK)
-    return models.batch_score(PipelineModel([*prepared.stages, model]), frame, prepared.names, keep=["clm_id"])
+    """The preparation and the model are fitted on the training part; rows they have not seen are scored."""
+    frame = stored(_frame(t))
+    prepared = models.prepare(frame, "readmit_30", fit_on="train")
+    model = models.fit_model("Logistic Regression", prepared)
+    unseen = prep.stratified_split(frame).filter("is_test").drop("is_test", "label")
+    scored = models.batch_score(PipelineModel([*prepared.stages, model]), unseen, prepared.names, keep=["clm_id"])
+    agrees = F.col("tier") == F.when(F.col("p") > 0.7, "High").when(F.col("p") > 0.3, "Medium").otherwise("Low")
+    return scored.select("clm_id", _probability().alias("p_is_probability"), agrees.alias("tier_agrees"))

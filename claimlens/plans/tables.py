@@ -7,15 +7,14 @@ outer join that only adds unread columns would still be executed.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimlens.columns import CONDITIONS, HORIZONS, MODELS, horizon_label
 from claimlens.operators.labels import readmission_labels
 
-YEARS = [1998, 1999, 2000]
-CODES = 10
-
 # Multiplier of the fixed score per model.
 SCORE_FACTORS = dict(zip(MODELS, [37, 41, 43, 47], strict=False))
 
@@ -30,6 +29,18 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @functools.cached_property
+    def years(self) -> list[int]:
+        """All years in which something was ordered. Runs a small aggregation."""
+        bounds = self.read("orders").agg(F.min(F.year("o_orderdate")).alias("a"), F.max(F.year("o_orderdate")).alias("b")).first()
+        return list(range(bounds.a, bounds.b + 1)) if bounds.a is not None else []
+
+    @functools.cached_property
+    def width(self) -> int:
+        """The most lines of an order: that many code columns hold them all. Runs an aggregation."""
+        lines = self.read("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+        return lines.agg(F.max("n")).first()[0] or 1
+
     def claims(self, codes: bool = False, stay: bool = False, side: str | None = None) -> DataFrame:
         """One claim per order, with the codes and the length of stay if asked for.
 
@@ -59,17 +70,13 @@ class Tables:
         return out
 
     def _codes(self) -> DataFrame:
-        """Brand of the first ten lines and type of the first line per order.
-
-        Keeping the first ten ranks lets Spark cut each order to ten lines before the shuffle.
-        """
+        """Brand of every line, one column each, and type of the first line per order."""
         order = Window.partitionBy("l_orderkey").orderBy(
             "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount"
         )
         first = (
             self.read("lineitem")
             .withColumn("k", F.row_number().over(order))
-            .filter(F.col("k") <= CODES)
             .select("l_orderkey", "k", "l_partkey")
         )
         parts = self.read("part").select("p_partkey", "p_brand", "p_type")
@@ -77,7 +84,7 @@ class Tables:
             first.join(parts, first.l_partkey == parts.p_partkey, "left")
             .groupBy(F.col("l_orderkey").alias("clm_id"))
             .agg(
-                *[F.max(F.when(F.col("k") == k, F.col("p_brand"))).alias(f"icd9_dgns_cd_{k}") for k in range(1, CODES + 1)],
+                *[F.max(F.when(F.col("k") == k, F.col("p_brand"))).alias(f"icd9_dgns_cd_{k}") for k in range(1, self.width + 1)],
                 F.max(F.when(F.col("k") == 1, F.col("p_type"))).alias("icd9_prcdr_cd_1"),
             )
         )
@@ -112,14 +119,14 @@ class Tables:
         key = F.col("c_custkey")
         person = self.read("customer").select(
             key.alias("desynpuf_id"),
-            F.explode(F.array(*[F.lit(y) for y in YEARS])).alias("year"),
+            F.explode(F.array(*[F.lit(y) for y in self.years])).alias("year"),
             ((1920 + key % 60) * 10000 + (1 + key % 12) * 100 + (1 + key % 28)).cast("int").alias("bene_birth_dt"),
             (1 + key % 2).cast("string").alias("bene_sex_ident_cd"),
             F.col("c_mktsegment").alias("bene_race_cd"),
             F.col("c_nationkey").cast("int").alias("sp_state_code"),
             F.when(key % 14 == 0, "Y").otherwise("0").alias("bene_esrd_ind"),
             "c_acctbal",
-        ).filter((F.col("year") != 2000) | (F.col("desynpuf_id") % 10 != 0))
+        )
         key, year = F.col("desynpuf_id"), F.col("year")
         out = person.withColumns(
             {
@@ -150,7 +157,7 @@ class Tables:
         """1 per condition where the customer ordered a part of that condition's brand in the year."""
         orders = self.read("orders").select(
             "o_orderkey", F.col("o_custkey").alias("desynpuf_id"), F.year("o_orderdate").alias("year")
-        ).filter(F.col("year").isin(YEARS))
+        )
         brands = [f"Brand#{i}" for i in range(1, len(CONDITIONS) + 1)]
         lines = self.read("lineitem").select("l_orderkey", "l_partkey")
         parts = self.read("part").select("p_partkey", "p_brand").filter(F.col("p_brand").isin(brands))

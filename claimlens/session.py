@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
@@ -38,8 +40,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         folder = configured
-    elif spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="claimlens-checkpoint-")
+    elif re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        folder = _local.setdefault(spark.sparkContext.applicationId, None) or tempfile.mkdtemp(prefix="claimlens-checkpoint-")
+        _local[spark.sparkContext.applicationId] = folder
     else:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if spark.sparkContext.getCheckpointDir() is None:
@@ -47,9 +50,38 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+_local: dict[str, str | None] = {}
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/claimlens-{spark.sparkContext.applicationId}"
+
+
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder name beside the checkpoints, which all executors share."""
-    return f"{ensure_checkpoint_dir(spark)}/claimlens-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    """A new folder name beside the checkpoints, which all executors share.
+
+    All such folders of a session lie in one place, which :func:`clear_scratch` deletes; that happens at the
+    latest when Python ends while the session still runs.
+    """
+    if not _cleaning:
+        _cleaning.append(True)
+        atexit.register(_clear_at_exit)
+    return f"{_scratch_root(spark)}/{uuid.uuid4().hex}"
+
+
+_cleaning: list[bool] = []
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the session's stored frames. Frames that read them can't be used afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _clear_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        clear_scratch(spark)
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -16,11 +16,11 @@ def write_summary(summary: DataFrame, path: str, file_format: str = "csv") -> No
 
 
 def write_results(df: DataFrame, path: str) -> None:
-    """Metrics or predictions as parquet, replacing only the horizons that are in the frame."""
+    """Metrics or predictions as parquet, replacing only the horizons and models that are in the frame."""
     (
         df.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("target")
+        .partitionBy("target", "model")
         .parquet(path)
     )
 

@@ -81,3 +81,22 @@ def test_columns_by_name(spark):
     assert columns.starting(df, "sp_") == ["SP_CHF"]
     assert columns.present(df, ["sp_chf", "missing"]) == ["sp_chf"]
     assert columns.numeric_columns(df) == ["ICD9_DGNS_CD_1", "ICD9_PRCDR_CD_1", "SP_CHF"]
+
+
+def test_latest_record_is_a_total_order(spark):
+    rows = [("p", 2001, 19300101, x) for x in range(20)]
+    schema = "desynpuf_id string, year int, bene_birth_dt int, x int"
+    chosen = {features.latest_beneficiary(spark.createDataFrame(rows[::step], schema).repartition(parts)).first().x for step in (1, -1) for parts in (1, 5)}
+    assert len(chosen) == 1
+
+
+def test_latest_only(spark):
+    from claimlens.operators import dashboard, progression
+
+    schema = "desynpuf_id string, year int, bene_birth_dt int, bene_sex_ident_cd string, sp_chf int, sp_copd int"
+    rows = [("a", 2000, 1, "1", 1, 1), ("a", 2001, 1, "1", 1, 2), ("b", 2000, 1, "2", 1, 1)]
+    people = spark.createDataFrame(rows, schema)
+    pair = ["sp_chf", "sp_copd"]
+    assert [tuple(r) for r in progression.comorbidity_pairs(people, pair).collect()] == [("chf & copd", 2)]
+    assert [tuple(r) for r in progression.comorbidity_pairs(people, pair, latest_only=True).collect()] == [("chf & copd", 1)]
+    assert {tuple(r) for r in dashboard.count_by_sex(people, latest_only=True).collect()} == {("1", 1), ("2", 1)}

@@ -8,7 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from claimlens.operators import evaluation, models
-from claimlens.plans.pipeline import evaluate_saved, train_horizon
+from claimlens.plans.pipeline import evaluate_saved, score_file, train_horizon
 from claimlens.sources.registry import Registry
 
 FEW = models.Settings(trees=5, forest_depth=4, boosting_depth=3, regression_iterations=50, perceptron_iterations=15, folds=3, hidden=(16, 8))
@@ -136,3 +136,27 @@ def test_horizon_is_trained_stored_and_reused(spark, frame, tmp_path):
 def test_one_class_is_skipped(spark, frame, tmp_path):
     registry = Registry(spark, str(tmp_path))
     assert train_horizon(frame.withColumn("label", F.lit(0)), TARGET, registry, settings=FEW) is None
+
+
+def test_saved_models_are_evaluated_when_results_are_gone(spark, frame, prepared, tmp_path):
+    registry = Registry(spark, str(tmp_path))
+    pipeline = PipelineModel([*prepared.stages, models.fit_model("Logistic Regression", prepared, FEW)])
+    registry.save(pipeline, TARGET, "Logistic Regression", prepared.names, 0.9, datetime(2020, 1, 1))
+    again = train_horizon(frame, TARGET, registry, settings=FEW)
+    assert [r.model for r in again.metrics.collect()] == ["Logistic Regression"]
+    assert registry.entries().count() == 1
+
+
+@pytest.mark.parametrize("file_format", ["csv", "parquet"])
+def test_scoring_from_file_to_file(spark, frame, prepared, tmp_path, file_format):
+    registry = Registry(spark, str(tmp_path / "registry"))
+    pipeline = PipelineModel([*prepared.stages, models.fit_model("Logistic Regression", prepared, FEW)])
+    registry.save(pipeline, TARGET, "Logistic Regression", prepared.names, 0.9, datetime(2020, 1, 1))
+    source = str(tmp_path / "rows.csv")
+    frame.withColumn("extra", F.lit(1)).write.option("header", True).csv(source)
+    out, unused = score_file(spark, registry, TARGET, "Logistic Regression", source, str(tmp_path / "out"), ["clm_id"], file_format)
+    assert unused == ["desynpuf_id", "extra", "label"]
+    assert out.count() == 600 and {"clm_id", "p", "tier"} == set(out.columns)
+    frame.drop("noise").write.option("header", True).csv(str(tmp_path / "short.csv"))
+    with pytest.raises(ValueError, match="missing features: noise"):
+        score_file(spark, registry, TARGET, "Logistic Regression", str(tmp_path / "short.csv"), str(tmp_path / "x"))

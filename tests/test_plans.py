@@ -97,3 +97,32 @@ def test_history_is_one_aggregation(spark):
     t = Tables(spark, FOLDER)
     matrix = features.feature_matrix(t.beneficiaries(conditions=False), t.inpatient(codes=True, stay=True), ["Brand#1"])
     assert plan(matrix).count("partial_avg(clm_utlztn_day_cnt") == 1
+
+
+def test_patient_lookup_pushes_the_key(spark):
+    text = plan(entry.queries()["patient_lookup"](spark, FOLDER))
+    assert "EqualTo(c_custkey,7)" in text and "EqualTo(o_custkey,7)" in text
+
+
+def test_claim_type_reaches_the_scan_of_filtered_claims(spark):
+    text = plan(entry.queries()["claims_filtered"](spark, FOLDER))
+    assert re.search(r"PushedFilters: \[[^\]]*o_orderstatus", text)
+
+
+def test_no_task_orders_a_whole_column(spark):
+    """Values are ordered inside their range of the column, and only counts are ordered across ranges."""
+    text = plan(entry.queries()["numeric_summary"](spark, FOLDER))
+    for by in re.findall(r"Window \[sum\(rows[^\]]*?\], \[([^\]]*)\], \[value", text):
+        assert "range" in by
+
+
+def test_scratch_is_cleared(spark):
+    import os
+
+    from claimlens.session import clear_scratch, scratch_folder, stored
+
+    stored(spark.range(5)).count()
+    top = os.path.dirname(scratch_folder(spark)).removeprefix("file:")
+    assert os.listdir(top)
+    clear_scratch(spark)
+    assert not os.path.exists(top)

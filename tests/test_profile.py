@@ -81,3 +81,18 @@ def test_profile_table_dispatches_by_type(sample):
     assert sum(r.value for r in rows if r.statistic == "histogram") == 402
     with pytest.raises(ValueError):
         profile.profile_table(df, skip=["x", "c", "i"])
+
+
+def test_density_without_spread_or_with_nan(spark):
+    constant = spark.createDataFrame([(3.0,), (3.0,)], "x double")
+    assert profile.density(constant, "x").count() == 0
+    df = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (float("nan"),), (None,)], "x double")
+    clean = profile.density(df.filter("x < 100"), "x", 20).collect()
+    assert sorted(profile.density(df, "x", 20).collect()) == sorted(clean) and len(clean) == 20
+    assert profile.density(df.limit(0), "x").count() == 0
+
+
+def test_density_of_several_columns(spark):
+    df = spark.createDataFrame([(float(i), float(i % 5)) for i in range(50)], "a double, `b.c` double")
+    both = profile.density(df, ["a", "b.c"], 10)
+    assert {r.variable: r["count"] for r in both.groupBy("variable").count().collect()} == {"a": 10, "b.c": 10}

@@ -6,6 +6,7 @@ import pytest
 from claimlens.columns import CONDITIONS
 from claimlens.operators import models
 from claimlens.plans.pipeline import run_pipeline
+from claimlens.operators import claims, profile
 from claimlens.sources import readers, writers
 
 FEW = models.Settings(trees=3, forest_depth=3, boosting_depth=2, regression_iterations=20, perceptron_iterations=5, folds=2, hidden=(8,))
@@ -80,12 +81,16 @@ def test_summary_has_a_folder_per_horizon(spark, tmp_path):
         writers.write_summary(df, str(tmp_path / "x"), "xlsx")
 
 
-def test_results_of_other_horizons_stay(spark, tmp_path):
+def test_results_of_other_horizons_and_models_stay(spark, tmp_path):
     path = str(tmp_path / "r")
     schema = "target string, model string, auc double"
     writers.write_results(spark.createDataFrame([("readmit_30", "a", 0.1), ("readmit_60", "a", 0.2)], schema), path)
     writers.write_results(spark.createDataFrame([("readmit_30", "b", 0.3)], schema), path)
-    assert sorted((r.target, r.model) for r in spark.read.parquet(path).collect()) == [("readmit_30", "b"), ("readmit_60", "a")]
+    assert sorted((r.target, r.model) for r in spark.read.parquet(path).collect()) == [
+        ("readmit_30", "a"),
+        ("readmit_30", "b"),
+        ("readmit_60", "a"),
+    ]
 
 
 def test_pipeline(spark, folder, tmp_path):
@@ -95,9 +100,34 @@ def test_pipeline(spark, folder, tmp_path):
     sections = {r.section for r in out["summary"].collect()}
     assert sections == {"data", "best_model", "risk_factor", "savings"}
     assert out["costs"].count() == 2 and out["performance"].count() == 9
+    assert out["roc"].count() > 9 and out["treatment_plan"].count() == out["tiers"].count() > 0
+    assert out["factors"].count() > 0 and out["importances"].count() > 0
+    assert spark.read.option("header", True).csv(f"{tmp_path}/reports/performance").count() == 9
+    assert spark.read.option("header", True).csv(f"{tmp_path}/reports/predictions").count() == out["tiers"].count()
     again = run_pipeline(spark, readers.default_sources(folder), str(tmp_path), FEW, horizons=[30], cross_validation=False)
     assert {r.section for r in again["summary"].collect()} == sections
 
 
 def test_pipeline_without_claims(spark, tmp_path):
     assert run_pipeline(spark, readers.default_sources(str(tmp_path)), str(tmp_path), FEW) is None
+
+
+def test_lenient_integers(spark):
+    df = spark.createDataFrame([("1e30", "x"), ("7", "y"), ("n/a", "z")], "SP_CHF string, other string")
+    assert [r.sp_chf for r in readers.typed(df).collect()] == [None, 7, None]
+
+
+def test_profiles_of_csv_files_are_typed(spark, tmp_path):
+    rows = [(i, "ab"[i % 2], 1.5 * i) for i in range(30)]
+    spark.createDataFrame(rows, "Age int, Sex string, Amount double").coalesce(1).write.option("header", True).csv(str(tmp_path / "t"))
+    table = readers.load_profile_table(spark, str(tmp_path / "t"))
+    out = profile.profile_table(table, bins=5, curve=True)
+    assert {(r.variable, r.statistic) for r in out.collect()} == {
+        ("sex", "count"),
+        *[(v, s) for v in ("age", "amount") for s in ("histogram", "mean", "median", "density")],
+    }
+    assert readers.load_profile_table(spark, str(tmp_path / "t"), "Age string, Sex string, Amount string").dtypes[0] == ("age", "string")
+
+
+def test_preview(spark):
+    assert claims.preview(spark.range(100)).count() == 20
