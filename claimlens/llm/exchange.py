@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimlens.llm.texts import trimmed
+
 BUCKET_BYTES = 8 << 20
 
 
@@ -56,6 +58,8 @@ def shuffled(
         blobs = table.column("records").to_pylist()
         records = np.frombuffer(b"".join(blobs), dtype)
         del blobs
-        return reducer(records)
+        out = reducer(records)
+        trimmed()
+        return out
 
     return df.mapInArrow(send, "bucket long, records binary").groupBy("bucket").applyInArrow(receive, schema)

@@ -7,13 +7,14 @@ A null text counts as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -27,6 +28,15 @@ _BYTES = np.random.default_rng(20240117).integers(1, 1 << 63, 256, dtype=np.uint
 _powers: dict[str, np.ndarray] = {}
 
 
+def trimmed() -> None:
+    """Give freed memory back to the system: Spark keeps Python workers between tasks, and idle ones should be small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def powers(n: int, inverse: bool = False) -> np.ndarray:
     """The first n powers modulo 2**64 of the fixed odd base, or of its inverse."""
     name = "inverse" if inverse else "base"
