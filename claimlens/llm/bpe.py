@@ -16,7 +16,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 NEVER = 1 << 62
+SHORT = 48
 _ONE = [bytes([b]) for b in range(256)]
 
 
@@ -46,19 +47,23 @@ class State:
 
     def __init__(self, pending: bytes, last: tuple[int | None, ...], live: tuple[int, ...]):
         self.pending, self.last, self.live = pending, last, live
-        self.next: dict[int, tuple[State, bytes]] = {}
+        self.next: dict[int, tuple[State, bytes] | bool] = {}
         self.rest: bytes | None = None
 
 
 class Transducer:
     """From bytes to packed little-endian 32-bit token ids."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 120_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 60_000):
         self.ranks, self.most_states = ranks, most_states
         self.size = {i: len(t) for t, i in ranks.items()}
         self.token = {i: t for t, i in ranks.items()}
-        self.open = {t[:k] for t in ranks for k in range(1, len(t))}
+        # for each beginning of a token: twice its id (-1 if it is none), plus one if longer tokens begin with it
+        self.known = dict.fromkeys((t[:k] for t in ranks for k in range(1, len(t))), -1)
+        for t, i in ranks.items():
+            self.known[t] = 2 * i + (t in self.known)
         self.packed = {i: i.to_bytes(4, "little") for i in ranks.values()}
+        self.pairs: dict[tuple[int, int], bool] = {}
         self.edges: dict[tuple[int, int], list[tuple[int, bytes]] | None] = {}
         self.forget()
 
@@ -66,7 +71,6 @@ class Transducer:
         """Drop all states; results do not depend on when."""
         self.start = State(b"", (-1,), (0,))
         self.states = {(b"", (-1,)): self.start}
-        self.pairs: dict[tuple[int, int], bool] = {}
 
     def merged(self, data: bytes, watch: list | None = None, end: int = 0) -> list[bytes]:
         """Merge adjacent parts by lowest rank, the leftmost first; for the few bytes of a token or two.
@@ -101,6 +105,8 @@ class Transducer:
         """Whether the two tokens stay apart when merged; -1 before the first token."""
         known = self.pairs.get((before, token))
         if known is None:
+            if len(self.pairs) > 4 * self.most_states:
+                self.pairs.clear()
             known = self.pairs[before, token] = self._stay_apart(before, token)
         return known
 
@@ -138,25 +144,36 @@ class Transducer:
             end -= self.size[token]
         return out
 
+    def read(self, pending: bytes, last: list[int | None], live: Sequence[int]) -> tuple[bytes, list[int | None], list[int]]:
+        """Follow all live places over the bytes of ``pending`` that ``last`` does not know yet."""
+        known, pairs = self.known, self.pairs
+        for end in range(len(last), len(pending) + 1):
+            newest, still = None, []
+            for at in live:
+                found = known.get(pending[at:end])
+                if found is None:
+                    continue
+                if newest is None and found >= 0:
+                    token, before = found >> 1, last[at]
+                    apart = pairs.get((before, token))
+                    if apart or (apart is None and self.compatible(before, token)):
+                        newest = token
+                if found & 1:
+                    still.append(at)
+            if newest is None:
+                raise ValueError(f"no token for the bytes {pending[:end]!r}")
+            last.append(newest)
+            still.append(end)
+            live = still
+        return pending, last, live
+
     def step(self, state: State, byte: int) -> tuple[State, bytes]:
         """Make the transition from a state by a byte."""
         if len(self.states) > self.most_states:
             self.forget()
-        pending, last = state.pending + _ONE[byte], state.last
-        newest, live = None, []
-        for at in state.live:
-            part = pending[at:]
-            if newest is None:
-                token = self.ranks.get(part)
-                if token is not None and self.compatible(last[at], token):
-                    newest = token
-            if part in self.open:
-                live.append(at)
-        if newest is None:
-            raise ValueError(f"no token for the bytes {pending!r}")
-        end, last = len(pending), (*last, newest)
-        live.append(end)
-        places, needed = live[:], set()
+        pending, last, live = self.read(state.pending + _ONE[byte], list(state.last), state.live)
+        end = len(pending)
+        places, needed = list(live), set()
         while len(places) > 1:  # back from the furthest place until all ways meet
             at = places.pop()
             needed.add(at)
@@ -165,7 +182,8 @@ class Transducer:
                 places.append(before)
                 places.sort()
         common = places[0]
-        needed.add(common)
+        if common in live:  # else no token can begin there, and what stands before it no longer matters
+            needed.add(common)
         last, out = tuple([last[at] if at in needed else None for at in range(common, end + 1)]), self.ids(last, common)
         key = (pending[common:], last)
         target = self.states.get(key)
@@ -175,10 +193,22 @@ class Transducer:
         return found
 
     def encode(self, piece: bytes) -> bytes:
+        """Packed ids of a piece.
+
+        A transition is made when it is wanted for the second time. The first time, the rest of a short
+        piece is read along without making states.
+        """
         state, out = self.start, []
-        for byte in piece:
+        for place, byte in enumerate(piece):
             found = state.next.get(byte)
-            state, emitted = found if found is not None else self.step(state, byte)
+            if not found:
+                if found is None and len(piece) - place <= SHORT:
+                    state.next[byte] = False
+                    pending, last, _ = self.read(state.pending + piece[place:], list(state.last), state.live)
+                    out.append(self.ids(last, len(pending)))
+                    return b"".join(out)
+                found = self.step(state, byte)
+            state, emitted = found
             if emitted:
                 out.append(emitted)
         if state.rest is None:
