@@ -33,6 +33,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 NEVER = 1 << 62
 SHORT = 48
+MARKS = ".,!?;:%*&$#"
+LATIN_END = "\u0250"
 _ONE = [bytes([b]) for b in range(256)]
 
 
@@ -262,8 +264,14 @@ class Encoder(Remembered):
         self.pieces = Pieces(Transducer(ranks), most // 4)
         self.matches = regex.compile(pattern).findall
         self.odd = regex.compile(r" (?:\s|$)").search
+        self.regular = self.matches(" abé") == [" abé"] and self.matches(" ab" + MARKS) == [" ab", MARKS]
 
     def compute(self, word: str) -> bytes:
+        letters = word.rstrip(MARKS)
+        if self.regular and letters.isalpha() and max(letters) < LATIN_END:
+            # letters, and marks after them: what the pattern would find, without asking it
+            marks = word[len(letters) :]
+            return self.pieces[" " + letters] + (self.pieces[marks] if marks else b"")
         return self.plain(" " + word)
 
     def plain(self, text: str) -> bytes:
