@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from claimlens.llm.exchange import buckets_for, shuffled, text_bytes
 from claimlens.llm.repeats import in_blocks
-from claimlens.llm.texts import Slice, mixed, slices, words
+from claimlens.llm.texts import Slice, mixed, slices, trimmed, words
 from claimlens.session import stored
 
 BLOCK_ROWS = 2048
@@ -37,7 +37,7 @@ SLOT_BITS = 21
 RANGES = 8
 SCALE = 2000.0
 STEPS = 33
-SLICE = 4 << 20
+SLICE = 2 << 20
 WORD = np.dtype([("word", "<u8"), ("block", "<i8"), ("n", "<u4")])
 GRAM = np.dtype([("gram", "<u8"), ("counted", "<u4"), ("mixed", "<u4")])
 SLOT = np.dtype([("slot", "<u4"), ("zeros", "<f4"), ("ones", "<f4")])
@@ -219,11 +219,13 @@ def gram_counts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[tup
                 zero = np.zeros(len(n), np.int64)
                 waiting.append((found, n, zero) if k == 0 else (found, zero, n))
                 size += len(n)
-            if size > 3_000_000:
+            if size > 1_500_000:
                 yield flush()
                 waiting, size = [], 0
     if size:
         yield flush()
+    waiting = []
+    trimmed()
 
 
 def summed_grams(records: np.ndarray) -> pa.Table:
@@ -374,6 +376,7 @@ def scored(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
             )
             for column, value in zip(columns, values, strict=True):
                 column.extend(value.tolist())
+        trimmed()
         types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64()]
         made = [pa.array(column, pa.float64() if t == pa.float64() else None, from_pandas=True).cast(t) for column, t in zip(columns, types, strict=True)]
         return pa.table(made, names=[f.split()[0] for f in SCHEMA.split(", ")])
