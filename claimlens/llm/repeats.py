@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.llm.exchange import buckets_for, shuffled, text_bytes
-from claimlens.llm.texts import Slice, byte_units, mixed, powers, prefix_sums, run_hash, slices, words
+from claimlens.llm.texts import Slice, byte_units, mixed, powers, prefix_sums, run_hash, slices, trimmed, words
 from claimlens.session import stored
 
 NEVER = np.iinfo(np.int64).max
 ALWAYS = np.iinfo(np.int64).min
 BLOCK_ROWS = 256
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 RECORD = np.dtype([("anchor", "<u8"), ("piece", "<u8"), ("block", "<i8"), ("first", "<i8"), ("many", "u1")])
 
 
@@ -49,7 +49,7 @@ class Windows:
     gram: int
     anywhere: bool
     most: int = 4096
-    shard: int = 8192
+    shard: int = 4096
 
 
 @dataclass
@@ -173,7 +173,9 @@ def _records(batches: Iterator[pa.RecordBatch], spec: Windows, buckets: int) ->
                 waiting, size = [], 0
     if waiting:
         records = np.concatenate(waiting)
+        waiting = []
         yield records, (records["anchor"] % np.uint64(buckets)).astype(np.int64)
+    trimmed()
 
 
 LINKS = "block long, anchor long, piece long, first long, many boolean, kind int, owner boolean"
@@ -239,6 +241,7 @@ def _content(docs: pa.Table, wanted: pa.Table, spec: Windows) -> pa.Table:
                 for column, value in zip(found, [*(m[at[k]] for m in meta), raw.tobytes()], strict=True):
                     column.append(value)
     types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
+    trimmed()
     return pa.table([pa.array(c, t) for c, t in zip(found, types, strict=True)], names=names)
 
 
@@ -338,7 +341,6 @@ def each_block(docs: DataFrame, spec: Windows, resolve: Callable[[pa.Table], pa.
         )
         answers = None
         if kinds.get(LARGE):
-            contents = stored(contents)
             answers = _by_counting(contents.filter(F.col("kind") == LARGE), spec)
         if kinds.get(FEW):
             shards = max(8, -(-kinds[FEW] // spec.shard))
@@ -351,6 +353,7 @@ def each_block(docs: DataFrame, spec: Windows, resolve: Callable[[pa.Table], pa.
 
     def finish(d: pa.Table, a: pa.Table) -> pa.Table:
         out = [write(found) for found in _marked(d, a, spec)]
+        trimmed()
         return pa.Table.from_batches(out) if out else pa.Table.from_batches([], schema=empty)
 
     from pyspark.sql.pandas.types import to_arrow_schema

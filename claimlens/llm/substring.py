@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.llm.repeats import Found, Windows, each_block
-from claimlens.llm.texts import slices, words
+from claimlens.llm.texts import slices, trimmed, words
 
 WINDOW = 13
 
@@ -93,6 +93,8 @@ def resolve(table: pa.Table, window: int = WINDOW) -> pa.Table:
     for units, first in zip(pieces, table.column("first").to_pylist(), strict=True):
         automaton.add(units, first)
     answers = [np.array([f for size, f in automaton.statistics(u, window) if size == window], "<i8").tobytes() for u in pieces]
+    del automaton, pieces
+    trimmed()
     return pa.table([table.column("anchor"), table.column("piece"), pa.array(answers, pa.binary())], names=["anchor", "piece", "answer"])
 
 
@@ -138,7 +140,7 @@ def _written(found: Found) -> pa.RecordBatch:
     return _write(found.slice.ids, found.slice.data.tobytes(), found.slice.offsets, found.words, found.covered)
 
 
-def without_earlier(docs: DataFrame, window: int = WINDOW, gram: int = 5) -> DataFrame:
+def without_earlier(docs: DataFrame, window: int = WINDOW, gram: int = 7) -> DataFrame:
     """Remove every word covered by ``window`` words that also stand in a document with a smaller doc_id.
 
     Returns doc_id, n_words, n_removed, spans (words removed, maximal runs) and kept (the other words, joined

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 
 from claimlens.llm.repeats import Found, Windows, each_block
 from claimlens.llm.substring import spans_of
+from claimlens.llm.texts import trimmed
 
 WINDOW = 400
 _FIRST = 7
@@ -139,6 +140,8 @@ def resolve(table: pa.Table, window: int = WINDOW) -> pa.Table:
     marked = np.cumsum(edge[:-1]) > 0
     marked |= np.repeat(table.column("many").to_numpy(zero_copy_only=False), windows)
     answers = [x.astype(np.uint8).tobytes() for x in np.split(marked, first[1:])]
+    del array, best, edge
+    trimmed()
     return pa.table([table.column("anchor"), table.column("piece"), pa.array(answers, pa.binary())], names=["anchor", "piece", "answer"])
 
 
@@ -168,7 +171,7 @@ def _written(found: Found) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t, from_pandas=True) for c, t in zip([s.ids, size, removed, spans, kept], _ARROW.types, strict=True)], schema=_ARROW)
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = 32) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = 128) -> DataFrame:
     """Remove every byte covered by ``window`` bytes that also start at any other place of the corpus.
 
     Returns doc_id, n_bytes, n_removed, spans (maximal removed runs, in bytes of the UTF-8 text) and kept
