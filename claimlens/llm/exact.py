@@ -66,6 +66,7 @@ class DigestIndex:
         fresh = groups.hint("merge").join(self.entries().select("digest"), "digest", "left_anti")
         (
             fresh.select("digest", "keep_id", F.col("keep_points").alias("n_points"))
+            .repartition(self.buckets, "digest")  # one file for each bucket, not one for each task and bucket
             .write.format("parquet")
             .mode("append")
             .option("path", self.folder)
