@@ -1,16 +1,20 @@
-"""Language-model scores: a unigram base, and a logistic mix of hashed-context bit predictors.
+"""Language-model scores: a unigram base, and a logistic mix of bit predictors of 0 to 5 bytes of context.
 
 A text is a string of bytes with a closing zero byte; each byte is eight bits, first the highest. For every
-bit, one predictor per order (the last 0 to 5 bytes, hashed into a table together with the bits already
-known) gives its log odds. A gate, the longest context met before and the place of the bit, picks the
-weights by which the odds are added, and an adaptive map refines the mixed probability by what came true
-at such probabilities.
+bit, one predictor per order (the last 0 to 5 bytes together with the bits already known) gives its log
+odds. A gate, the longest context met before and the place of the bit, picks the weights by which the odds
+are added, and an adaptive map refines the mixed probability by what came true at such probabilities.
+
+Every context has counts of its own. Orders 0 to 2 have a table with a place for each of their 65,536
+contexts at most, which is broadcast. The counts of orders 3 to 5 are the six-byte strings of the training texts
+themselves: they grow with the corpus, lie in buckets by the three bytes before the last, and the different
+strings of each block of texts come to them and return as bits.
 
 Learning is online over the training documents. One part of them fills the predictors' counts; the other
 part then passes by in small steps, each predicting first and then moving the weights of its gate, in
 every partition on its own, and the weights are averaged. Scoring uses the learned state as it is, so a score
 depends on nothing but the text. As contexts end with the last six bytes, equal six-byte strings are
-counted and scored once for each slice of texts.
+counted once for each slice of texts and scored once for each bucket.
 
 Word and byte counts cover all training texts. Words return to the texts block by block, so a frequent
 word is one record of each block.
@@ -18,7 +22,7 @@ word is one record of each block.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,21 +30,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimlens.llm.exchange import buckets_for, shuffled, text_bytes
+from claimlens.llm.exchange import buckets_for, pack, shuffled, text_bytes
 from claimlens.llm.repeats import in_blocks
 from claimlens.llm.texts import Slice, mixed, slices, trimmed, words
 from claimlens.session import stored
 
-BLOCK_ROWS = 2048
 ORDERS = 6
-SLOT_BITS = 21
+# Bytes of text in a block of neighbouring rows of mean length, and its rows at most: longer blocks send fewer strings.
+BLOCK_BYTES, BLOCK_ROWS = 24 << 20, 1 << 14
+# Orders with a broadcast table, the bits of its widest place (two bytes of context, a node), its parts, bytes
+# of text for each bucket of strings, and strings scored at once.
+LOW = 3
+SLOT_BITS = 24
 RANGES = 8
+GRAM_BYTES = 16 << 20
+PART = 1 << 18
 SCALE = 2000.0
 STEPS = 33
 SLICE = 2 << 20
 WORD = np.dtype([("word", "<u8"), ("block", "<i8"), ("n", "<u4")])
 GRAM = np.dtype([("gram", "<u8"), ("counted", "<u4"), ("mixed", "<u4")])
-SLOT = np.dtype([("slot", "<u4"), ("zeros", "<f4"), ("ones", "<f4")])
+AFTER = np.dtype([("after", "<u4"), ("n", "<u8")])
 
 
 # Words
@@ -109,14 +119,61 @@ def byte_grams(s: Slice) -> tuple[np.ndarray, np.ndarray]:
     return gram, at
 
 
-def context_hashes(gram: np.ndarray) -> list[np.ndarray]:
-    """A hash of the last 0 to 5 bytes before each byte."""
-    return [mixed(((gram >> np.uint64(8)) & np.uint64((1 << (8 * k)) - 1)) + np.uint64(k << 56)) for k in range(ORDERS)]
+def gram_buckets(gram: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets in which strings with the same three bytes before the last meet."""
+    return (mixed((gram >> np.uint64(8)) & np.uint64(0xFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+
 
+def last_bytes(gram: np.ndarray, n: int) -> np.ndarray:
+    return gram & np.uint64((1 << (8 * n)) - 1)
 
-def slots_of(context: np.ndarray, node: np.ndarray) -> np.ndarray:
+
+def slots_of(gram: np.ndarray, order: int, node: np.ndarray) -> np.ndarray:
     """Table places of contexts with the bits known so far (``node``: a one, then these bits)."""
-    return ((context + node * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - SLOT_BITS)
+    return (last_bytes(gram >> np.uint64(8), order) << np.uint64(8)) | node
+
+
+def log_odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Scaled log odds; 0 says that the context has not been met, so even odds of a met one are a step above."""
+    odds = np.clip(np.rint(np.log((ones + 0.4) / (zeros + 0.4)) * SCALE), -32000, 32000)
+    odds[(odds == 0) & (zeros + ones > 0)] = 1
+    return odds.astype(np.int16)
+
+
+def node_odds(counts: np.ndarray) -> np.ndarray:
+    """Log odds of all 256 nodes from the counts of the 256 bytes, for each row."""
+    out = np.zeros(counts.shape, np.int16)
+    for place in range(8):
+        zeros, ones = np.moveaxis(counts.reshape(len(counts), 1 << place, 2, 128 >> place).sum(-1), -1, 0)
+        out[:, 1 << place : 2 << place] = log_odds(zeros, ones)
+    return out
+
+
+class Counts:
+    """What came after each context of ``LOW`` to 5 bytes, from all the strings of a bucket and their numbers."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray):
+        self.orders = []
+        for order in range(LOW, ORDERS):
+            key, inverse = np.unique(last_bytes(gram, order + 1), return_inverse=True)
+            self.orders.append((key, np.append(0, np.cumsum(np.bincount(inverse, n, len(key)).astype(np.int64)))))
+
+    def odds(self, gram: np.ndarray) -> np.ndarray:
+        """Scaled log odds by place of the bit and order, for the byte of each string."""
+        out = np.zeros((8, ORDERS - LOW, len(gram)), np.int16)
+        for k, (key, sums) in enumerate(self.orders):
+            want, inverse = np.unique(last_bytes(gram, LOW + k + 1), return_inverse=True)
+            base = want & ~np.uint64(255)
+            # the keys that agree with context and bits so far lie side by side, zeros before ones
+            first, last = np.searchsorted(key, base), np.searchsorted(key, base + np.uint64(256))
+            for place in range(8):
+                half = np.uint64(128 >> place)
+                middle = np.searchsorted(key, base + half)
+                out[place, k] = log_odds(sums[middle] - sums[first], sums[last] - sums[middle])[inverse]
+                one = (want & half) > 0
+                base = np.where(one, base + half, base)
+                first, last = np.where(one, middle, first), np.where(one, last, middle)
+        return out
 
 
 def node_and_bit(gram: np.ndarray, place: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,24 +184,33 @@ def node_and_bit(gram: np.ndarray, place: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Mixer:
-    """Log odds by order and slot, weights by gate, and counts of the refining map by gate and step of log odds."""
+    """Log odds by low order and slot, weights by gate, and counts of the refining map by gate and step of log odds.
+
+    Without ``counts`` no context of a higher order has been met.
+    """
 
-    tables: np.ndarray
+    tables: Sequence[np.ndarray]
     weights: np.ndarray
     refined: np.ndarray
 
     @staticmethod
-    def fresh(tables: np.ndarray) -> Mixer:
+    def fresh(tables: Sequence[np.ndarray]) -> Mixer:
         return Mixer(tables, np.full((8 * ORDERS, ORDERS), 0.35, np.float32), np.zeros((8 * ORDERS, STEPS, 2)))
 
-    def inputs(self, contexts: list[np.ndarray], node: np.ndarray, place: int) -> tuple[np.ndarray, np.ndarray]:
-        """Log odds of all predictors, and the gate: bit place and longest context met before."""
-        odds = np.empty((ORDERS, len(node)), np.float32)
-        longest = np.zeros(len(node), np.int64)
-        for k, context in enumerate(contexts):
-            odds[k] = self.tables[k][slots_of(context, node)]
-            longest[odds[k] != 0] = k
-        return odds / np.float32(SCALE), place * ORDERS + longest
+    def inputs(self, gram: np.ndarray, counts: Counts | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each bit: log odds of all predictors, the gate (bit place and longest context met before), and the bit."""
+        high = counts.odds(gram) if counts else None
+        for place in range(8):
+            node, bit = node_and_bit(gram, place)
+            odds = np.zeros((ORDERS, len(gram)), np.float32)
+            longest = np.zeros(len(gram), np.int64)
+            for k in range(ORDERS):
+                if k < LOW:
+                    odds[k] = self.tables[k][slots_of(gram, k, node)]
+                elif high is not None:
+                    odds[k] = high[place, k - LOW]
+                longest[odds[k] != 0] = k
+            yield odds / np.float32(SCALE), place * ORDERS + longest, bit
 
     def mixed(self, odds: np.ndarray, gate: np.ndarray) -> np.ndarray:
         return np.clip(np.einsum("kn,nk->n", odds, self.weights[gate]), -15, 15)
@@ -160,34 +226,27 @@ class Mixer:
         refined = (ones + 8 * plain) / (zeros + ones + 8)
         return np.clip((plain + refined) / 2, 1e-7, 1 - 1e-7)
 
-    def bits(self, gram: np.ndarray) -> np.ndarray:
+    def bits(self, gram: np.ndarray, counts: Counts | None = None) -> np.ndarray:
         """Bits that each byte costs after the five before it."""
-        contexts, total = context_hashes(gram), np.zeros(len(gram))
-        for place in range(8):
-            node, bit = node_and_bit(gram, place)
-            odds, gate = self.inputs(contexts, node, place)
+        total = np.zeros(len(gram))
+        for odds, gate, bit in self.inputs(gram, counts):
             p = self.probability(self.mixed(odds, gate), gate)
             total -= np.log2(np.where(bit > 0, p, 1 - p))
         return total
 
-    def learn(self, gram: np.ndarray, n: np.ndarray, rate: float = 0.02) -> None:
+    def learn(self, gram: np.ndarray, n: np.ndarray, counts: Counts | None = None, rate: float = 0.02) -> None:
         """Predict, then move the weights of each gate by the error, weighted by the square root of n."""
-        contexts, weight = context_hashes(gram), np.sqrt(n)
-        for place in range(8):
-            node, bit = node_and_bit(gram, place)
-            odds, gate = self.inputs(contexts, node, place)
+        weight = np.sqrt(n)
+        for odds, gate, bit in self.inputs(gram, counts):
             error = (bit - 1 / (1 + np.exp(-self.mixed(odds, gate)))) * weight
             held = np.maximum(np.bincount(gate, weight, 8 * ORDERS), 1)
             for k in range(ORDERS):
                 self.weights[:, k] += (rate * 16 * np.bincount(gate, error * odds[k], 8 * ORDERS) / held).astype(np.float32)
 
-    def outcomes(self, gram: np.ndarray, n: np.ndarray) -> np.ndarray:
+    def outcomes(self, gram: np.ndarray, n: np.ndarray, counts: Counts | None = None) -> np.ndarray:
         """How often zeros and ones came at each gate and step of mixed log odds."""
         out = np.zeros((8 * ORDERS * STEPS, 2))
-        contexts = context_hashes(gram)
-        for place in range(8):
-            node, bit = node_and_bit(gram, place)
-            odds, gate = self.inputs(contexts, node, place)
+        for odds, gate, bit in self.inputs(gram, counts):
             at = gate * STEPS + self.step(self.mixed(odds, gate))
             for value in (0, 1):
                 out[:, value] += np.bincount(at, n * (bit == value), len(out))
@@ -203,8 +262,7 @@ def gram_counts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[tup
         out = np.empty(len(gram), GRAM)
         out["gram"] = gram
         out["counted"], out["mixed"] = (np.bincount(inverse, np.concatenate([x[k] for x in waiting]), len(gram)) for k in (1, 2))
-        # strings with the same three bytes before the last meet in one bucket
-        return out, (mixed((gram >> np.uint64(8)) & np.uint64(0xFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+        return out, gram_buckets(gram, buckets)
 
     for batch in batches:
         use = batch.column(2).to_numpy()
@@ -228,59 +286,104 @@ def gram_counts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[tup
     trimmed()
 
 
-def summed_grams(records: np.ndarray) -> pa.Table:
+GRAMS = "bucket long, grams binary, counted binary, mixed binary"
+
+
+def summed_grams(records: np.ndarray, buckets: int) -> pa.Table:
     gram, inverse = np.unique(records["gram"], return_inverse=True)
     counts = [np.bincount(inverse, records[c], len(gram)).astype("<i8") for c in ("counted", "mixed")]
-    return pa.table([pa.array([gram.tobytes()], pa.binary()), *[pa.array([c.tobytes()], pa.binary()) for c in counts]], names=["grams", "counted", "mixed"])
+    bucket = pa.array(gram_buckets(gram[:1], buckets))
+    return pa.table([bucket, *[pa.array([x.tobytes()], pa.binary()) for x in (gram, *counts)]], names=["bucket", "grams", "counted", "mixed"])
 
 
-def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _blobs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     for batch in batches:
-        for g, a, b in zip(*[batch.column(k) for k in range(3)], strict=True):
+        for g, a, b in zip(*[batch.column(k) for k in ("grams", "counted", "mixed")], strict=True):
             yield np.frombuffer(g.as_py(), "<u8"), np.frombuffer(a.as_py(), "<i8"), np.frombuffer(b.as_py(), "<i8")
 
 
-def slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Zeros and ones that came in each slot of each order."""
+def after_two(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """How often each byte came after the two before it."""
     for gram, n, _ in _blobs(batches):
-        gram, n = gram[n > 0], n[n > 0]
-        for a in range(0, len(gram), 1 << 19):
-            part, weight = gram[a : a + (1 << 19)], n[a : a + (1 << 19)]
-            for k, context in enumerate(context_hashes(part)):
-                places, bits = [], []
-                for place in range(8):
-                    node, bit = node_and_bit(part, place)
-                    places.append(slots_of(context, node))
-                    bits.append(bit)
-                slot, inverse = np.unique(np.concatenate(places), return_inverse=True)
-                ones = np.bincount(inverse, np.concatenate(bits) * np.tile(weight, 8), len(slot))
-                out = np.empty(len(slot), SLOT)
-                out["slot"], out["ones"] = slot + np.uint64(k << SLOT_BITS), ones
-                out["zeros"] = np.bincount(inverse, np.tile(weight, 8), len(slot)) - ones
-                yield out, (out["slot"] >> np.uint32(SLOT_BITS - RANGES.bit_length() + 1)).astype(np.int64)
-
-
-def slot_odds(records: np.ndarray) -> pa.Table:
-    """Scaled log odds of one range of slots."""
-    width = (1 << SLOT_BITS) // RANGES
-    first = int(records["slot"][0]) // width
-    at = records["slot"].astype(np.int64) - first * width
-    zeros, ones = (np.bincount(at, records[c], width) for c in ("zeros", "ones"))
-    odds = np.log((ones + 0.4) / (zeros + 0.4)) * SCALE
-    return pa.table([pa.array([first]), pa.array([np.clip(np.rint(odds), -32000, 32000).astype("<i2").tobytes()], pa.binary())], names=["first", "odds"])
-
-
-def learned(docs: DataFrame, role: str, epochs: int = 2, batch: int = 4096) -> Mixer:
-    """The mixer learned from (text, ``role``): 1 fills the counts, 2 moves weights and map, 0 teaches nothing."""
+        after, inverse = np.unique(last_bytes(gram[n > 0], 3), return_inverse=True)
+        out = np.empty(len(after), AFTER)
+        out["after"], out["n"] = after, np.bincount(inverse, n[n > 0], len(after))
+        yield out, (((after >> np.uint64(8)) & np.uint64(255)) // np.uint64(256 // RANGES)).astype(np.int64)
+
+
+def low_odds(records: np.ndarray) -> pa.Table:
+    """Counts of the bytes, and scaled log odds of orders 1 and 2, for one range of the byte before."""
+    width = 256 // RANGES
+    after = records["after"].astype(np.int64)
+    first = int(after[0] >> 8 & 255) // width
+    at = ((after >> 16) * width + (after >> 8 & 255) - first * width) * 256 + (after & 255)
+    two = np.bincount(at, records["n"], 256 * width * 256).astype(np.int64).reshape(-1, 256)
+    one = two.reshape(256, width, 256).sum(0)
+    blobs = [x.tobytes() for x in (one.sum(0).astype("<i8"), node_odds(one).astype("<i2"), node_odds(two).astype("<i2"))]
+    return pa.table([pa.array([first]), *[pa.array([x], pa.binary()) for x in blobs]], names=["first", "bytes", "one", "two"])
+
+
+def low_tables(grams: DataFrame) -> list[np.ndarray]:
+    """Scaled log odds of orders 0 to 2 at the places of :func:`slots_of`."""
+    width, total = 256 // RANGES, np.zeros((1, 256), np.int64)
+    one, two = np.zeros((256, 256), np.int16), np.zeros((256, 256, 256), np.int16)
+    for r in shuffled(grams, after_two, AFTER, low_odds, "first long, bytes binary, one binary, two binary").toLocalIterator():
+        part = slice(r["first"] * width, (r["first"] + 1) * width)
+        total += np.frombuffer(r.bytes, "<i8")
+        one[part] = np.frombuffer(r.one, "<i2").reshape(width, 256)
+        two[:, part] = np.frombuffer(r.two, "<i2").reshape(256, width, 256)
+    return [node_odds(total).ravel(), one.ravel(), two.ravel()]
+
+
+def block_grams(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Different six-byte strings of each block, by bucket."""
+    for batch in batches:
+        block = batch.column(2).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            found = [np.unique(byte_grams(s)[0]) for s in slices(iter([batch.slice(a, b - a)]), SLICE)]
+            if found:
+                gram = np.unique(np.concatenate(found))
+                numbers, blobs = pack(gram, gram_buckets(gram, buckets))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(numbers, pa.int64()), pa.array([block[a]] * len(numbers), pa.int64()), pa.array(blobs, pa.binary())],
+                    names=["bucket", "block", "wanted"],
+                )
+    trimmed()
+
+
+BITS = "block long, bucket long, bits binary"
+
+
+def block_bits(known: pa.Table, wanted: pa.Table, mixer: Mixer) -> pa.Table:
+    """For each block, the bits of its different strings of one bucket in the order of the strings."""
+    counts = None
+    for gram, n, _ in _blobs(known.to_batches()):
+        counts = Counts(gram[n > 0], n[n > 0])
+    block = wanted.column("block").to_numpy()
+    found = [np.frombuffer(x, "<u8") for x in wanted.column("wanted").to_pylist()]
+    gram = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]))
+    bits = np.concatenate([np.zeros(0), *[mixer.bits(gram[a : a + PART], counts) for a in range(0, len(gram), PART)]])
+    blocks, bucket, blobs = np.unique(block), wanted.column("bucket").to_pylist(), []
+    order = np.argsort(block, kind="stable")
+    starts = np.append(np.searchsorted(block[order], blocks), len(block))
+    for a, b in zip(starts, starts[1:], strict=False):
+        # a block may come in two parts
+        own = found[order[a]] if b - a == 1 else np.unique(np.concatenate([found[i] for i in order[a:b]]))
+        blobs.append(bits[np.searchsorted(gram, own)].astype("<f4").tobytes())
+    trimmed()
+    return pa.table([pa.array(blocks, pa.int64()), pa.array(bucket[: len(blocks)], pa.int64()), pa.array(blobs, pa.binary())], names=["block", "bucket", "bits"])
+
+
+def learned(docs: DataFrame, role: str, buckets: int, epochs: int = 2, batch: int = 4096) -> tuple[Mixer, DataFrame]:
+    """The mixer learned from (text, ``role``), and the strings with their numbers that its counts come from.
+
+    Role 1 fills the counts, 2 moves weights and map, 0 teaches nothing.
+    """
     spark = docs.sparkSession
-    buckets = buckets_for(text_bytes(docs))
     texts = docs.select(F.lit(0).cast("long").alias("doc_id"), "text", F.col(role)).filter(F.col(role) > 0)
-    grams = stored(shuffled(texts, lambda b: gram_counts(b, buckets), GRAM, summed_grams, "grams binary, counted binary, mixed binary"))
-    tables = np.zeros(ORDERS << SLOT_BITS, np.int16)
-    width = (1 << SLOT_BITS) // RANGES
-    for r in shuffled(grams, slot_counts, SLOT, slot_odds, "first long, odds binary").toLocalIterator():
-        tables[r["first"] * width : (r["first"] + 1) * width] = np.frombuffer(r.odds, "<i2")
-    shared_tables = spark.sparkContext.broadcast(tables.reshape(ORDERS, -1))
+    grams = stored(shuffled(texts, lambda b: gram_counts(b, buckets), GRAM, lambda r: summed_grams(r, buckets), GRAMS))
+    shared_tables = spark.sparkContext.broadcast(low_tables(grams))
     model = Mixer.fresh(shared_tables.value)
     for _ in range(epochs):
         begin = model.weights
@@ -288,12 +391,13 @@ def learned(docs: DataFrame, role: str, epochs: int = 2, batch: int = 4096) -> M
         def walk(batches: Iterator[pa.RecordBatch], begin=begin) -> Iterator[pa.RecordBatch]:
             own, total = Mixer.fresh(shared_tables.value), 0.0
             own.weights = begin.copy()
-            for gram, _, n in _blobs(batches):
+            for gram, counted, n in _blobs(batches):
+                counts = Counts(gram[counted > 0], counted[counted > 0])
                 gram, n = gram[n > 0], n[n > 0]
                 order = np.argsort(mixed(gram))
                 for a in range(0, len(order), batch):
                     part = order[a : a + batch]
-                    own.learn(gram[part], n[part])
+                    own.learn(gram[part], n[part], counts)
                 total += float(n.sum())
             yield pa.RecordBatch.from_arrays([pa.array([own.weights.astype("<f4").tobytes()], pa.binary()), pa.array([total])], names=["weights", "total"])
 
@@ -308,15 +412,16 @@ def learned(docs: DataFrame, role: str, epochs: int = 2, batch: int = 4096) -> M
         own = Mixer.fresh(shared_tables.value)
         own.weights = weights
         out = np.zeros_like(own.refined)
-        for gram, _, n in _blobs(batches):
-            for a in range(0, len(gram), 1 << 18):
-                part, m = gram[a : a + (1 << 18)], n[a : a + (1 << 18)]
-                out += own.outcomes(part[m > 0], m[m > 0])
+        for gram, counted, n in _blobs(batches):
+            counts = Counts(gram[counted > 0], counted[counted > 0])
+            for a in range(0, len(gram), PART):
+                part, m = gram[a : a + PART], n[a : a + PART]
+                out += own.outcomes(part[m > 0], m[m > 0], counts)
         yield pa.RecordBatch.from_arrays([pa.array([out.astype("<f8").tobytes()], pa.binary())], names=["outcomes"])
 
     for r in grams.mapInArrow(check, "outcomes binary").collect():
         model.refined += np.frombuffer(r.outcomes, "<f8").reshape(model.refined.shape)
-    return model
+    return model, grams
 
 
 SCHEMA = "doc_id long, n_tokens long, n_known long, log_sum double, n_bytes long, bits double"
@@ -333,12 +438,19 @@ def scored(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     """
     spark = docs.sparkSession
     remainder = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == held, F.lit(False))
-    texts = in_blocks(docs, BLOCK_ROWS).withColumn("held_out", remainder)
+    size, rows = text_bytes(docs), docs.count()
+    texts = in_blocks(docs, max(1, min(BLOCK_ROWS, BLOCK_BYTES * rows // max(1, size)))).withColumn("held_out", remainder)
     role = F.when(F.col("held_out"), 0).when(F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0, 2).otherwise(1)
-    model = learned(texts.withColumn("role", role.cast("long")), "role")
+    buckets, many = buckets_for(size), buckets_for(size, GRAM_BYTES)
+    model, grams = learned(texts.withColumn("role", role.cast("long")), "role", many)
     shared_tables = spark.sparkContext.broadcast(model.tables)
     weights, refined = model.weights, model.refined
-    buckets = buckets_for(text_bytes(docs))
+    wanted = texts.select("doc_id", "text", "block").mapInArrow(lambda b: block_grams(b, many), "bucket long, block long, wanted binary")
+
+    def price(known: pa.Table, wanted: pa.Table) -> pa.Table:
+        return block_bits(known, wanted, Mixer(shared_tables.value, weights, refined))
+
+    priced = grams.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(price, BITS)
     sent = texts.select("doc_id", "text", "block", (~F.col("held_out")).alias("train"))
     counts = shuffled(sent, lambda b: block_words(b, buckets), WORD, lambda r: word_counts(r, buckets), COUNTS)
     train_docs = texts.agg(F.count_if(~F.col("held_out")).alias("n")).first().n
@@ -346,17 +458,23 @@ def scored(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     total, distinct = (sums.total or 0) + train_docs, (sums.distinct or 0) + (train_docs > 0)
 
     def score(d: pa.Table, c: pa.Table) -> pa.Table:
-        mixer = Mixer(shared_tables.value, weights, refined)
         batches = d.to_batches()
         vocabulary = [np.zeros(0, np.uint64)]
         for s in slices(iter(batches)):
             vocabulary.append(np.unique(words(s, lower=True).hashes))
+        strings = np.unique(np.concatenate([np.zeros(0, np.uint64), *[np.unique(byte_grams(s)[0]) for s in slices(iter(batches), SLICE)]]))
+        string_bucket = gram_buckets(strings, many)
+        order = np.argsort(string_bucket, kind="stable")
+        string_bucket, cost = string_bucket[order], np.zeros(len(strings))
         known = np.unique(np.concatenate(vocabulary))
         number = (known % np.uint64(buckets)).astype(np.int64)
         corpus = np.zeros(len(known), np.int64)
-        for bucket, blob in zip(c.column("bucket").to_pylist(), c.column("counts").to_pylist(), strict=True):
+        for bucket, blob, bits in zip(*[c.column(x).to_pylist() for x in ("bucket", "counts", "bits")], strict=True):
             if blob is not None:
                 corpus[number == bucket] = np.frombuffer(blob, "<u4")
+            if bits is not None:
+                first, last = np.searchsorted(string_bucket, [bucket, bucket + 1])
+                cost[order[first:last]] = np.frombuffer(bits, "<f4")
         logs = np.log10(corpus + 1.0)
         columns: list[list] = [[] for _ in range(6)]
         for s in slices(iter(batches), SLICE):
@@ -364,15 +482,14 @@ def scored(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
             at = np.searchsorted(known, w.hashes)
             doc, n = w.document(), len(s)
             gram, starts = byte_grams(s)
-            different, inverse = np.unique(gram, return_inverse=True)
-            bits = np.concatenate([mixer.bits(different[a : a + (1 << 18)]) for a in range(0, len(different), 1 << 18)])
+            bits = cost[np.searchsorted(strings, gram)]
             values = (
                 s.ids,
                 np.diff(w.offsets) + 1,
                 np.bincount(doc, corpus[at] > 0, n) + (train_docs > 0),
                 np.bincount(doc, logs[at], n) + np.log10(train_docs + 1.0),
                 np.diff(s.offsets),
-                np.add.reduceat(bits[inverse], starts[:-1]),
+                np.add.reduceat(bits, starts[:-1]),
             )
             for column, value in zip(columns, values, strict=True):
                 column.extend(value.tolist())
@@ -381,7 +498,8 @@ def scored(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
         made = [pa.array(column, pa.float64() if t == pa.float64() else None, from_pandas=True).cast(t) for column, t in zip(columns, types, strict=True)]
         return pa.table(made, names=[f.split()[0] for f in SCHEMA.split(", ")])
 
-    found = texts.select("doc_id", "text", "block").groupBy("block").cogroup(counts.filter("block is not null").groupBy("block")).applyInArrow(score, SCHEMA)
+    beside = counts.filter("block is not null").select("block", "bucket", "counts").unionByName(priced, allowMissingColumns=True)
+    found = texts.select("doc_id", "text", "block").groupBy("block").cogroup(beside.groupBy("block")).applyInArrow(score, SCHEMA)
     width = float(np.log10(total + (distinct + 1.0)))
     return found.select(
         "doc_id",

@@ -54,3 +54,53 @@ def test_null_id_is_never_held_out(spark):
     docs = spark.createDataFrame([(None, "a b"), (None, None), (1, "a a"), (1, "a a")], "doc_id long, text string")
     rows = mixing.scored(docs).collect()
     assert len(rows) == 4 and not any(r.held_out for r in rows if r.doc_id is None)
+
+
+def test_every_context_has_its_own_counts():
+    """More different contexts than any fixed table: odds are those of the counts, and a context never met says so."""
+    rng = np.random.default_rng(2)
+    gram = np.unique(rng.integers(0, 1 << 48, 900_000, dtype=np.uint64))
+    n = rng.integers(1, 5, len(gram))
+    counts = mixing.Counts(gram, n)
+    strangers = rng.integers(0, 1 << 48, 1000, dtype=np.uint64)
+    strangers = strangers[~np.isin(strangers >> np.uint64(8), gram >> np.uint64(8))]
+    met = counts.odds(strangers)[:, -1] != 0
+    assert not met.any()
+    some = gram[:: len(gram) // 200]
+    odds = counts.odds(some)
+    for k in range(mixing.LOW, mixing.ORDERS):
+        mask = np.uint64((1 << (8 * k + 8)) - 1)
+        for i, g in enumerate(some):
+            alike = ((gram ^ g) & mask) >> np.uint64(8) == 0
+            byte, m = gram[alike] & np.uint64(255), n[alike]
+            for place in range(8):
+                same = byte >> np.uint64(8 - place) == (g & np.uint64(255)) >> np.uint64(8 - place)
+                one = (byte >> np.uint64(7 - place)) & np.uint64(1)
+                want = math.log((m[same & (one == 1)].sum() + 0.4) / (m[same & (one == 0)].sum() + 0.4)) * mixing.SCALE
+                assert odds[place, k - mixing.LOW, i] == (round(want) or 1)
+
+
+def test_bits_with_counts_are_a_distribution():
+    rng = np.random.default_rng(3)
+    context = np.uint64(0x0102030405) << np.uint64(8)
+    counts = mixing.Counts(context | np.arange(0, 256, 3, dtype=np.uint64), rng.integers(1, 50, 86))
+    model = mixing.Mixer.fresh([rng.integers(-6000, 6000, 1 << b).astype(np.int16) for b in (8, 16, 24)])
+    assert abs(np.exp2(-model.bits(context | np.arange(256, dtype=np.uint64), counts)).sum() - 1) < 1e-6
+
+
+def test_scores_by_bucket_are_those_of_all_counts(spark, hard, hard_rows):
+    """Texts scored by joining their strings with buckets of counts score as with the whole counts in one place."""
+    from pyspark.sql import functions as F
+
+    out = {r.doc_id: r.score for r in mixing.scored(hard).collect()}
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    role = F.when(held, 0).when(F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0, 2).otherwise(1).cast("long")
+    model, grams = mixing.learned(hard.withColumn("role", role), "role", 8)
+    blobs = [(np.frombuffer(r.grams, "<u8"), np.frombuffer(r.counted, "<i8")) for r in grams.collect()]
+    gram, n = (np.concatenate(x) for x in zip(*blobs, strict=True))
+    assert len(np.unique(gram)) == len(gram)
+    counts = mixing.Counts(gram[n > 0], n[n > 0])
+    for i, t in hard_rows:
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        want = -model.bits(mixing.byte_grams(Slice(np.array([i]), data, np.array([0, len(data)])))[0], counts).sum() * math.log10(2)
+        assert abs(out[i] - want) < 1e-3 * max(1, abs(want))
