@@ -12,8 +12,8 @@ strings of each block of texts come to them and return as bits.
 
 Learning is online over the training documents. One part of them fills the predictors' counts; the other
 part then passes by in small steps, each predicting first and then moving the weights of its gate, in
-every partition on its own, and the weights are averaged. Scoring uses the learned state as it is, so a score
-depends on nothing but the text. As contexts end with the last six bytes, equal six-byte strings are
+every partition on its own, and the weights are averaged. Then that part joins the counts. Scoring uses the
+learned state as it is, so a score depends on nothing but the text. As contexts end with the last six bytes, equal six-byte strings are
 counted once for each slice of texts and scored once for each bucket.
 
 Word and byte counts cover all training texts. Words return to the texts block by block, so a frequent
@@ -302,9 +302,10 @@ def _blobs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
             yield np.frombuffer(g.as_py(), "<u8"), np.frombuffer(a.as_py(), "<i8"), np.frombuffer(b.as_py(), "<i8")
 
 
-def after_two(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """How often each byte came after the two before it."""
-    for gram, n, _ in _blobs(batches):
+def after_two(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """How often each byte came after the two before it; ``whole``: also in the texts of the mix."""
+    for gram, counted, mix in _blobs(batches):
+        n = counted + mix if whole else counted
         after, inverse = np.unique(last_bytes(gram[n > 0], 3), return_inverse=True)
         out = np.empty(len(after), AFTER)
         out["after"], out["n"] = after, np.bincount(inverse, n[n > 0], len(after))
@@ -323,11 +324,11 @@ def low_odds(records: np.ndarray) -> pa.Table:
     return pa.table([pa.array([first]), *[pa.array([x], pa.binary()) for x in blobs]], names=["first", "bytes", "one", "two"])
 
 
-def low_tables(grams: DataFrame) -> list[np.ndarray]:
+def low_tables(grams: DataFrame, whole: bool) -> list[np.ndarray]:
     """Scaled log odds of orders 0 to 2 at the places of :func:`slots_of`."""
     width, total = 256 // RANGES, np.zeros((1, 256), np.int64)
     one, two = np.zeros((256, 256), np.int16), np.zeros((256, 256, 256), np.int16)
-    for r in shuffled(grams, after_two, AFTER, low_odds, "first long, bytes binary, one binary, two binary").toLocalIterator():
+    for r in shuffled(grams, lambda b: after_two(b, whole), AFTER, low_odds, "first long, bytes binary, one binary, two binary").toLocalIterator():
         part = slice(r["first"] * width, (r["first"] + 1) * width)
         total += np.frombuffer(r.bytes, "<i8")
         one[part] = np.frombuffer(r.one, "<i2").reshape(width, 256)
@@ -358,8 +359,8 @@ BITS = "block long, bucket long, bits binary"
 def block_bits(known: pa.Table, wanted: pa.Table, mixer: Mixer) -> pa.Table:
     """For each block, the bits of its different strings of one bucket in the order of the strings."""
     counts = None
-    for gram, n, _ in _blobs(known.to_batches()):
-        counts = Counts(gram[n > 0], n[n > 0])
+    for gram, counted, mix in _blobs(known.to_batches()):
+        counts = Counts(gram, counted + mix)
     block = wanted.column("block").to_numpy()
     found = [np.frombuffer(x, "<u8") for x in wanted.column("wanted").to_pylist()]
     gram = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]))
@@ -378,12 +379,12 @@ def block_bits(known: pa.Table, wanted: pa.Table, mixer: Mixer) -> pa.Table:
 def learned(docs: DataFrame, role: str, buckets: int, epochs: int = 2, batch: int = 4096) -> tuple[Mixer, DataFrame]:
     """The mixer learned from (text, ``role``), and the strings with their numbers that its counts come from.
 
-    Role 1 fills the counts, 2 moves weights and map, 0 teaches nothing.
+    Role 1 fills the counts, 2 moves weights and map and joins the counts afterwards, 0 teaches nothing.
     """
     spark = docs.sparkSession
     texts = docs.select(F.lit(0).cast("long").alias("doc_id"), "text", F.col(role)).filter(F.col(role) > 0)
     grams = stored(shuffled(texts, lambda b: gram_counts(b, buckets), GRAM, lambda r: summed_grams(r, buckets), GRAMS))
-    shared_tables = spark.sparkContext.broadcast(low_tables(grams))
+    shared_tables = spark.sparkContext.broadcast(low_tables(grams, whole=False))
     model = Mixer.fresh(shared_tables.value)
     for _ in range(epochs):
         begin = model.weights
@@ -421,6 +422,7 @@ def learned(docs: DataFrame, role: str, buckets: int, epochs: int = 2, batch: in
 
     for r in grams.mapInArrow(check, "outcomes binary").collect():
         model.refined += np.frombuffer(r.outcomes, "<f8").reshape(model.refined.shape)
+    model.tables = low_tables(grams, whole=True)
     return model, grams
 
 
@@ -431,7 +433,7 @@ def scored(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     """Base and model scores of every document.
 
     Learns from documents whose crc32(doc_id as text) modulo ``modulus`` is not ``held``; an eighth of them, by
-    hash, moves the mix, the others fill the counts. Returns doc_id, held_out, n_tokens, n_known, train_tokens,
+    hash, moves the mix before it joins the counts of the others. Returns doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score (log10 probability of the text's bytes and its end) and bits_per_byte. Null and empty
     texts have one token, the end. Repeated rows count and are scored each time; a null id is never held
     out. Other columns are not read. Without training texts every bit costs one bit.

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -7,6 +8,7 @@ import numpy as np
 
 from claimlens.llm import mixing
 from claimlens.llm.texts import Slice
+from .conftest import invented
 
 
 def tokens(text):
@@ -96,11 +98,27 @@ def test_scores_by_bucket_are_those_of_all_counts(spark, hard, hard_rows):
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
     role = F.when(held, 0).when(F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0, 2).otherwise(1).cast("long")
     model, grams = mixing.learned(hard.withColumn("role", role), "role", 8)
-    blobs = [(np.frombuffer(r.grams, "<u8"), np.frombuffer(r.counted, "<i8")) for r in grams.collect()]
+    blobs = [(np.frombuffer(r.grams, "<u8"), np.frombuffer(r.counted, "<i8") + np.frombuffer(r.mixed, "<i8")) for r in grams.collect()]
     gram, n = (np.concatenate(x) for x in zip(*blobs, strict=True))
     assert len(np.unique(gram)) == len(gram)
-    counts = mixing.Counts(gram[n > 0], n[n > 0])
+    counts = mixing.Counts(gram, n)
     for i, t in hard_rows:
         data = np.frombuffer((t or "").encode(), np.uint8)
         want = -model.bits(mixing.byte_grams(Slice(np.array([i]), data, np.array([0, len(data)])))[0], counts).sum() * math.log10(2)
         assert abs(out[i] - want) < 1e-3 * max(1, abs(want))
+
+
+def test_texts_of_the_mix_are_known(spark):
+    """A passage that stands only in documents of the mixing eighth costs few bits afterwards."""
+    from pyspark.sql import functions as F
+
+    ids = spark.range(2000).withColumn("mix", F.pmod(F.xxhash64("id"), F.lit(8)) == 0)
+    ids = [(r.id, r.mix) for r in ids.collect() if zlib.crc32(str(r.id).encode()) % 7 != 2]
+    mix, others = [i for i, m in ids if m][:60], [i for i, m in ids if not m][:300]
+    rng = random.Random(4)
+    passage = "QUX ZYV JWK XQ ZZY VKJ WQX " + "".join(rng.choice("QRSTUVWXYZ") for _ in range(200))
+    rows = [(i, invented(rng, 150, 20)) for i in (*others, *mix)]
+    rows = [(i, f"{t} {passage} {t}" if i in mix[:5] else t) for i, t in rows]
+    rows.append((next(i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 == 2), passage))
+    out = mixing.scored(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert out.filter("held_out").first().bits_per_byte < 3
