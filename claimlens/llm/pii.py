@@ -15,19 +15,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+# Turns of the permutation after which a run of numbers that still reads otherwise is left as it came out.
+WALK = 64
+
+# Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MN MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """An IBAN as long as its country says; of an unknown country, as long as no IBAN of a known one begins."""
+    groups = {n: f"(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n in IBAN_LENGTHS}
+    known = "|".join(f"(?:{'|'.join(c.split())})[0-9]{{2}}{groups[n]}(?![A-Za-z0-9])" for n, c in IBAN_LENGTHS.items())
+    codes = "|".join(" ".join(IBAN_LENGTHS.values()).split())
+    other = f"(?!{codes})[A-Z]{{2}}[0-9]{{2}}(?:(?: (?!{known}))?[A-Z0-9]{{4}}){{2,7}}(?:(?: (?!{known}))?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9])"
+    return f"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{known}|{other})"
+
 
 # The formats looked for, in the order in which they are tried at one place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": _iban_pattern(),
     "date": r"(?<![0-9-])(?:18|19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9-])",
     "day_first": r"(?<![0-9.])[0-9]{2}\.[0-9]{2}\.(?:18|19|20)[0-9]{2}(?![0-9]|\.[0-9])",
     "month_first": r"(?<![0-9/])[0-9]{2}/[0-9]{2}/(?:18|19|20)[0-9]{2}(?![0-9/])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
-    "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])",
 }
+# A run of numbers with 13 digits or more may hold cards beside other numbers; it ends before a value of another kind.
+_OTHERS = "|".join(PATTERNS[kind] for kind in ("date", "day_first", "month_first", "ssn", "ip"))
+_RUN = rf"(?<![0-9A-Za-z])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?![A-Za-z])(?:(?: (?!{_OTHERS})|-)[0-9]++(?![A-Za-z]))*+"
+PATTERNS = {**{k: v for k, v in PATTERNS.items() if k != "phone"}, "card": _RUN, "phone": PATTERNS["phone"]}
 FOUND = "|".join(PATTERNS.values())
 
 # Date formats, the first day of the range inside which dates are permuted, and its
@@ -159,6 +182,91 @@ def _card(m: Column, key: str, back: bool) -> Column:
     return F.when(luhn_sum(number) % 10 == 0, once(moved, lambda x: laid_out(m, x, "[^0-9]")))
 
 
+def _card_spans(run: Column) -> Column:
+    """First number (from 0) and count of numbers of the cards in a run: the whole run, else the likeliest lengths first."""
+
+    def at(numbers: Column) -> Column:
+        def span(i: Column, w: Column) -> Column:
+            def ranked(x: Column) -> Column:
+                n = F.length(x)
+                rank = F.when(w == F.size(numbers), 0)
+                for place, size in enumerate((16, 15, 14, 19, 18, 17, 13)):
+                    rank = rank.when(n == size, place + 1)
+                return F.when(n.between(13, 19), F.when(luhn_sum(x) % 10 == 0, rank))
+
+            return F.struct(once(digits(F.array_join(F.slice(numbers, i + 1, w), "")), ranked).alias("rank"), i.alias("i"), w.alias("w"))
+
+        def spans(_: Column, i: Column) -> Column:
+            widths = F.sequence(F.lit(1), F.least(F.lit(19), F.size(numbers) - i))
+            return F.filter(F.transform(widths, lambda w: span(i, w)), lambda x: x["rank"].isNotNull())
+
+        def taken(chosen: Column, x: Column) -> Column:
+            meets = F.exists(chosen, lambda c: (c["i"] < x["i"] + x["w"]) & (x["i"] < c["i"] + c["w"]))
+            return F.when(meets, chosen).otherwise(F.concat(chosen, F.array(F.struct(x["i"].alias("i"), x["w"].alias("w")))))
+
+        ranked = F.array_sort(F.flatten(F.transform(numbers, spans)))
+        return F.array_sort(F.aggregate(ranked, F.array().cast("array<struct<i:int,w:int>>"), taken))
+
+    return once(F.regexp_extract_all(run, F.lit("[0-9]+[ -]?"), 0), at)
+
+
+def _run(m: Column, key: str, back: bool) -> Column:
+    """A run of numbers with its cards, and phones between them, replaced; null if it holds none.
+
+    If the new run would be read otherwise than the old one, because a digit has made another span valid, the
+    permutation goes on until it is read alike, so the key restores it.
+    """
+
+    def phones(text: Column) -> Column:
+        found = F.regexp_extract_all(text, F.lit(PATTERNS["phone"]), 0)
+        rest = F.split(text, PATTERNS["phone"], -1)
+        return F.array_join(F.zip_with(rest, found, lambda p, x: F.concat(p, F.coalesce(_phone(x, key, back), x, F.lit("")))), "")
+
+    def turned(run: Column, spans: Column) -> Column:
+        def at(numbers: Column) -> Column:
+            def text(first: Column, n: Column) -> Column:
+                return F.array_join(F.slice(numbers, first + 1, n), "")
+
+            def add(s: Column, x: Column) -> Column:
+                card = text(x["i"], x["w"])
+                new = F.concat(s["text"], phones(text(s["at"], x["i"] - s["at"])), F.coalesce(_card(card, key, back), card))
+                return F.struct(new.alias("text"), (x["i"] + x["w"]).alias("at"))
+
+            first = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
+            return F.aggregate(spans, first, add, lambda s: F.concat(s["text"], phones(text(s["at"], F.size(numbers) - s["at"]))))
+
+        return once(F.regexp_extract_all(run, F.lit("[0-9]+[ -]?"), 0), at)
+
+    def walked(spans: Column) -> Column:
+        def go(s: Column, _: Column) -> Column:
+            def read(new: Column) -> Column:
+                return F.struct(new.alias("text"), (_card_spans(new) == spans).alias("done"))
+
+            return F.when(s["done"], s).otherwise(once(turned(s["text"], spans), read))
+
+        first = F.struct(m.alias("text"), F.lit(False).alias("done"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), first, go, lambda s: s["text"])
+
+    # a run without valid cards and phones comes back as it was
+    return once(once(_card_spans(m), walked), lambda x: F.when(x != m, x))
+
+
+def _run_values(run: Column) -> Column:
+    """How many cards and phones a run holds."""
+
+    def counted(spans: Column) -> Column:
+        def at(numbers: Column) -> Column:
+            def outside(i: Column) -> Column:
+                return ~F.exists(spans, lambda c: (c["i"] <= i) & (i < c["i"] + c["w"]))
+
+            rest = F.array_join(F.transform(numbers, lambda t, i: F.when(outside(i), t).otherwise("|")), "")
+            return F.size(spans) + F.size(F.filter(F.regexp_extract_all(rest, F.lit(PATTERNS["phone"]), 0), lambda x: F.length(digits(x)) == 10))
+
+        return once(F.regexp_extract_all(run, F.lit("[0-9]+[ -]?"), 0), at)
+
+    return once(_card_spans(run), counted)
+
+
 def _phone(m: Column, key: str, back: bool) -> Column:
     """The country code after a plus sign stays; all other digits are permuted."""
     code = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
@@ -212,7 +320,7 @@ RULES: dict[str, Callable[[Column, str, bool], Column]] = {
     **{kind: _date(kind) for kind in DATE_FORMATS},
     "ssn": _ssn,
     "ip": _ip,
-    "card": _card,
+    "card": _run,
     "phone": _phone,
 }
 
@@ -247,6 +355,8 @@ def pseudonymised(docs: DataFrame, key: str, back: bool = False, text: str = "te
     joined = F.array_join(
         F.zip_with(pieces, F.col("__candidates__"), lambda p, x: F.concat(p, F.coalesce(x["new"], x["old"], F.lit("")))), ""
     )
-    n = F.coalesce(F.size(F.filter("__candidates__", lambda x: x["new"].isNotNull())), F.lit(0))
+    new = F.filter("__candidates__", lambda x: x["new"].isNotNull())
+    number = F.transform(new, lambda x: F.when(x["old"].rlike("^(?:" + PATTERNS["card"] + ")$"), _run_values(x["old"])).otherwise(1))
+    n = F.coalesce(F.aggregate(number, F.lit(0), lambda a, x: a + x), F.lit(0))
     changed = marked.withColumns({"n_replaced": F.when(F.col("__candidates__").isNull(), 0).otherwise(n), text: F.when(F.size("__candidates__") > 0, joined).otherwise(column)})
     return changed.drop("__candidates__")

@@ -76,3 +76,28 @@ def test_runs_without_python(spark, docs, empty):
     plan = pii.pseudonymised(docs, "k")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
     assert pii.pseudonymised(empty, "k").count() == 0
+
+
+BESIDE = {
+    "4111 1111 1111 1111 123": "4111 1111 1111 1111", "paid 4111 1111 1111 1111 12/27": "4111 1111 1111 1111",
+    "5 4111 1111 1111 1111": "4111 1111 1111 1111", "12 34 56 4111 1111 1111 1111 99 77": "4111 1111 1111 1111",
+    "4111111111111111 2020-02-29": "2020-02-29", "4111 1111 1111 1111 5th": "4111 1111 1111 1111",
+    "4111 1111 1111 1111 5500 0000 0000 0004": "5500 0000 0000 0004", "7 3782 822463 10005 12": "822463",
+    "AT61 1904 3002 3457 3201 BIC X": "1904 3002", "AT61 1904 3002 3457 3201 4111 1111 1111 1111": "4111 1111",
+    "IBAN ES91 2100 0418 4502 0005 1332 IM": "0418 4502", "AB12 SE45 5000 0000 0583 9825 7466 A": "0583 9825",
+    "XX12 PL61 1090 1014 0000 0712 1981 2874 ABC": "0712 1981",
+}
+
+
+def test_values_beside_short_numbers_and_capital_words(spark):
+    texts = [*BESIDE, *[t.replace("4111 1111 1111 1111", f"{n} 4111 1111 1111 1111") for n in range(8) for t in [*BESIDE][:2]]]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id int, text string")
+    there = pii.pseudonymised(docs, "secret")
+    out = {r.doc_id: r for r in there.collect()}
+    for i, t in enumerate(texts):
+        old = BESIDE.get(t, "4111 1111 1111 1111")
+        assert old not in out[i].text and out[i].n_replaced >= 1, (t, out[i].text)
+        assert re.sub("[0-9]", "0", re.sub("[A-Z]", "A", out[i].text)) == re.sub("[0-9]", "0", re.sub("[A-Z]", "A", t))
+    assert out[texts.index("4111 1111 1111 1111 5500 0000 0000 0004")].n_replaced == 2
+    back = {r.doc_id: r.text for r in pii.pseudonymised(there, "secret", back=True).collect()}
+    assert back == dict(enumerate(texts))
