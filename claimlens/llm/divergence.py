@@ -195,23 +195,24 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS) -> Da
 
     # one row for each group: occurrences, and those of its language, over kept terms
     totals = postings.groupBy(*GROUP).agg(F.sum("n").alias("total"))
-    langs = postings.groupBy("lang", "term").agg(F.max("n_lang").alias("n"))
-    langs = langs.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("n").alias("lang_total"))
+    langs = postings.groupBy("lang", "term").agg(F.max("n_lang").alias("n"), F.count("*").alias("groups"))
+    langs = langs.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("n").alias("lang_total"), F.sum("groups").alias("postings"))
     every = counts.filter("term is null").select(*GROUP)
-    known = every.join(totals, GROUP, "left").join(langs, "lang", "left").na.fill(0, ["total", "terms", "lang_total"])
+    known = every.join(totals, GROUP, "left").join(langs, "lang", "left").na.fill(0, ["total", "terms", "lang_total", "postings"])
     of_lang = Window.partitionBy("lang")
-    groups = stored(
-        known.withColumns(
-            {
-                "place": F.row_number().over(of_lang.orderBy("source")),
-                "peers": F.count("*").over(of_lang),
-                "baseline": F.coalesce(share(F.lit(0).cast("long"), F.col("total"), F.col("terms")), F.lit(0).cast("long")),
-            }
-        )
+    known = known.withColumns(
+        {
+            "place": F.row_number().over(of_lang.orderBy("source")),
+            "peers": F.count("*").over(of_lang),
+            "baseline": F.coalesce(share(F.lit(0).cast("long"), F.col("total"), F.col("terms")), F.lit(0).cast("long")),
+            "shards": F.greatest(F.ceil(F.col("postings") / SHARD_POSTINGS), F.lit(1)).cast("long"),
+        }
     )
+    rows = F.greatest(F.least(F.lit(BLOCK_ROWS), F.expr(f"{ACCUMULATED} div peers")), F.lit(1)).cast("long")
+    groups = stored(known.withColumn("rows", rows).withColumn("blocks", F.ceil(F.col("peers") / F.col("rows")).cast("long")))
     valued = stored(
         postings.join(groups, GROUP).select(
-            *GROUP, "term", "place",
+            *GROUP, "term", "place", "shards", "blocks",
             share(F.col("n"), F.col("total"), F.col("terms")).alias("p"),
             share(F.col("n_lang"), F.col("lang_total"), F.col("terms")).alias("q"),
         )
@@ -233,20 +234,12 @@ def _terms(valued: DataFrame, top: int) -> DataFrame:
 
 def _pairs(valued: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, source, item, value) of every pair of sources, from shards of terms and blocks of rows."""
-    sizes = valued.groupBy("lang").agg(F.count("*").alias("_postings"))
-    dealt = groups.join(sizes, "lang", "left")
-    shards = F.greatest(F.ceil(F.coalesce("_postings", F.lit(0)) / SHARD_POSTINGS), F.lit(1)).cast("long")
-    rows = F.greatest(F.least(F.lit(BLOCK_ROWS), F.expr(f"{ACCUMULATED} div peers")), F.lit(1)).cast("long")
-    dealt = dealt.withColumns({"shards": shards, "rows": rows}).withColumn("blocks", F.ceil(F.col("peers") / F.col("rows")).cast("long"))
     numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     # all groups of the language meet every (shard, block)
-    right = dealt.select("lang", "source", "place", "baseline", "rows", "shards", numbers("blocks").alias("block")).select(
+    right = groups.select("lang", "source", "place", "baseline", "rows", "shards", numbers("blocks").alias("block")).select(
         "lang", "source", "place", "baseline", (F.floor((F.col("place") - 1) / F.col("rows")) == F.col("block")).alias("mine"), "block", numbers("shards").alias("shard")
     )
-    plan = dealt.groupBy("lang").agg(F.max("shards").alias("shards"), F.max("blocks").alias("blocks"))
-    left = valued.join(plan, "lang").select(
-        "lang", "term", "place", "p", F.pmod(F.xxhash64("term"), F.col("shards")).alias("shard"), numbers("blocks").alias("block")
-    )
+    left = valued.select("lang", "term", "place", "p", F.pmod(F.xxhash64("term"), F.col("shards")).alias("shard"), numbers("blocks").alias("block"))
     key = ["lang", "shard", "block"]
     sums = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_distances, "lang string, source string, item string, value long")
     return sums.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
