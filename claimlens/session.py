@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import re
 import tempfile
 import uuid
@@ -35,6 +36,17 @@ def local_session(
     return spark
 
 
+def workers_see_library(spark: SparkSession) -> None:
+    """Let Python workers import this package from the folder it was imported from.
+
+    On a cluster without that folder the package is installed or sent with --py-files as usual.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    workers = spark.sparkContext.environment
+    if root not in workers.get("PYTHONPATH", "").split(":"):
+        workers["PYTHONPATH"] = ":".join(p for p in (workers.get("PYTHONPATH", ""), root) if p)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster; a scratch folder only for local runs without one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -84,12 +96,14 @@ def _clear_at_exit() -> None:
         clear_scratch(spark)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write a frame that is read many times as a parquet table and read it back.
 
+    ``by`` names a column with few values that gets a folder for each, so a filter on it reads its rows only.
+
     Unlike a cache it outlives lost executors, and unlike a checkpoint later reads are pruned to
     the columns they need.
     """
     folder = scratch_folder(df.sparkSession)
-    df.write.parquet(folder)
+    (df.write.partitionBy(by) if by else df.write).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from claimlens.functions.ordering import _edges, _with_ranges, last_of_first, order_statistics, quantile, running_sums
+from claimlens.functions import ordering
+from claimlens.functions.ordering import last_of_first, order_statistics, quantile, running_sums
 
 PLACES = {"q0": quantile(0.0), "q1": quantile(0.25), "q2": quantile(0.5), "q3": quantile(0.75), "q4": quantile(1.0)}
 
@@ -59,25 +60,77 @@ def test_running_sums(spark):
         assert r.c_all == sum(c for g, v, c in data if g == r.g)
 
 
-def test_more_than_a_million_rows_stay_in_small_ranges(spark):
-    df = spark.range(1_200_000).select(F.xxhash64("id").cast("double").alias("v"))
+@pytest.fixture
+def compiled(spark):
+    """Whole-stage code for the large cases; the other tests do without."""
+    spark.conf.set("spark.sql.codegen.wholeStage", "true")
+    yield
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+
+
+@pytest.fixture
+def windows(monkeypatch):
+    """Rows of the largest window of each round."""
+    seen = []
+    holding = ordering._holding
+
+    def watched(counts, places):
+        keys = [c for c in ("_i", "_low", "_high") if c in counts.columns and "_least" in counts.columns or c == "_i"]
+        seen.append(counts.groupBy(*keys).count().agg(F.max("count")).first()[0])
+        return holding(counts, places)
+
+    monkeypatch.setattr(ordering, "_holding", watched)
+    return seen
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 10_000_000])
+def test_windows_do_not_grow_with_the_rows(spark, compiled, windows, rows):
+    df = spark.range(rows).select(F.xxhash64("id").cast("double").alias("v"))
     row = order_statistics(df, ["v"], {"median": quantile(0.5)}).first()
-    below = df.filter(F.col("v") <= row["median"]).count()
-    assert below == 600_000 and row.n == 1_200_000
-    # what one task orders is about a thousandth of the values
-    ranges = _with_ranges(df, _edges(df, ["v"]), "_r").groupBy("_r0").count()
-    assert ranges.agg(F.max("count")).first()[0] < 6_000
-
-
-def test_one_equal_width_range_holds_nearly_all_scores(spark):
-    """Rare outcomes: 99 % of the scores lie below a hundred thousandth."""
-    df = spark.range(20_000).select(
-        F.lit("g").alias("g"), F.when(F.col("id") % 100 == 0, F.col("id") / 20_000).otherwise(F.col("id") / 2e9).alias("v"), F.lit(1).cast("long").alias("c")
-    )
-    ranges = _with_ranges(df, _edges(df, ["v"]), "_r").groupBy("_r0").count()
-    assert ranges.agg(F.max("count")).first()[0] < 200
+    assert df.filter(F.col("v") <= row["median"]).count() == rows // 2 and row.n == rows
+    assert 2 <= len(windows) <= 5 and max(windows) <= 70_000
+
+
+@pytest.mark.parametrize("kind", ["geometric", "close", "subnormal", "mixed signs"])
+def test_hard_ranges_are_split_to_the_last_digit(spark, windows, monkeypatch, kind):
+    monkeypatch.setattr(ordering, "SPLITS", 4)  # many rounds on few rows
+    rng = np.random.default_rng(3)
+    n = 500
+    values = {
+        "geometric": 2.0 ** rng.uniform(-1000, 1000, n),
+        "close": 1.0 + rng.integers(0, 400, n) * 2.0**-52,
+        "subnormal": rng.integers(0, 300, n) * 5e-324,
+        "mixed signs": np.append(rng.normal(size=n) * 1e-3, [0.0, -0.0, np.inf, -np.inf]),
+    }[kind]
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(3)
+    row = order_statistics(df, ["v"], {"q1": quantile(0.25), "q2": quantile(0.5), "q3": quantile(0.75)}).first()
+    ordered = np.sort(values)
+    for name, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75)):
+        place = (len(values) - 1) * p
+        low, high = ordered[int(place)], ordered[int(np.ceil(place))]
+        assert row[name] == (low if low == high else low + (high - low) * (place - int(place)))
+    assert max(windows[1:], default=0) <= 4 + 1
+
+
+def test_counted_rows_and_means(spark):
+    df = spark.createDataFrame([(1.0, 3), (2.0, 1), (9.0, 2), (None, 5)], "v double, c long")
+    row = order_statistics(df, ["v"], {"m": quantile(0.5)}, mean="mean", rows="c").first()
+    assert (row.n, row.m, row["mean"]) == (6, 1.5, 23 / 6)
+
+
+def test_running_sums_of_ten_million_distinct_scores(spark, compiled):
+    n = 10_000_000
+    df = spark.range(n).select(F.lit("g").alias("g"), (F.xxhash64("id") / 1e19).alias("v"), F.lit(1).cast("long").alias("c"))
     out = running_sums(df, ["g"], "v", ["c"])
-    assert out.agg(F.max("c_upto"), F.min("c_upto")).first()[0] == 20_000
+    row = out.agg(F.min("c_upto"), F.max("c_upto"), F.sum("c_upto"), F.count_distinct("c_all")).first()
+    assert tuple(row) == (1, n, n * (n + 1) // 2, 1)
+
+
+def test_ranges_of_running_sums_are_bounded(spark, rows):
+    rng = np.random.default_rng(1)
+    data = [(g, float(v), int(c)) for g in "abc" for v, c in zip(rng.permutation(500) / 5e7, rng.integers(0, 9, 500))]
+    df = spark.createDataFrame(data, "g string, v double, c long").repartition(5)
+    assert rows(running_sums(df, ["g"], "v", ["c"], range_rows=40)) == rows(running_sums(df, ["g"], "v", ["c"]))
 
 
 def test_null_groups_and_infinite_values(spark):

@@ -96,3 +96,19 @@ def test_density_of_several_columns(spark):
     df = spark.createDataFrame([(float(i), float(i % 5)) for i in range(50)], "a double, `b.c` double")
     both = profile.density(df, ["a", "b.c"], 10)
     assert {r.variable: r["count"] for r in both.groupBy("variable").count().collect()} == {"a": 10, "b.c": 10}
+
+
+def test_profile_table_scans_its_source_once(spark, tmp_path):
+    rows = [("ab"[i % 2], float(i % 7), i) for i in range(200)]
+    spark.createDataFrame(rows, "t string, x double, y int").write.parquet(str(tmp_path / "source"))
+    counted = spark.sparkContext.accumulator(0)
+    source = spark.read.parquet(str(tmp_path / "source"))
+
+    def seen(batches):
+        for batch in batches:
+            counted.add(batch.num_rows)
+            yield batch
+
+    out = profile.profile_table(source.mapInArrow(seen, source.schema), bins="auto", curve=True)
+    assert out.filter("statistic = 'mean'").count() == 2
+    assert counted.value == 200
