@@ -1,17 +1,18 @@
-"""Training, cross-validation, scoring and importances with MLlib classifiers."""
+"""Training, cross-validation, scoring and importances.
+
+Logistic regression and forests are MLlib's; boosted trees and the perceptron are fitted by this library, since they
+need second-order splits and a weighted loss.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import Model, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -19,16 +20,19 @@ from pyspark.sql import functions as F
 
 from claimlens.columns import MODELS
 from claimlens.functions.expressions import risk_tier
-from claimlens.operators.evaluation import best_model, roc_auc
+from claimlens.operators import boosting, modeltables, perceptron
+from claimlens.operators.evaluation import best_model, roc_auc, score_counts
 from claimlens.operators.prep import (
     SEED,
     Preparation,
     class_weights,
     feature_names,
     fit_preparation,
+    split_cuts,
     stratified_folds,
     stratified_split,
 )
+from claimlens.operators.trained import BoostedTrees, Perceptron
 from claimlens.session import ensure_checkpoint_dir, stored
 
 KEYS = ("desynpuf_id", "clm_id")
@@ -60,9 +64,12 @@ class Prepared:
     names: list[str]
     stages: list
     train: DataFrame
+    tasks: int
     test: DataFrame
     counts: dict[int, int]
     weights: dict[int, float]
+    cuts: dict[int, float]
+    types: dict[str, str]
 
     @property
     def trainable(self) -> bool:
@@ -83,13 +90,14 @@ def prepare(
 
     ``fit_on='all'`` fits the preparation on every row, ``'train'`` on the training part only.
     ``materialize`` writes the frame and both parts to the shared scratch folder, since every fit
-    reads them many times; ``kept`` says that the frame is a stored table already. ``fitted`` is a
+    reads them many times, the training part with a folder for each fold; ``kept`` says that the frame is a stored table already. ``fitted`` is a
     preparation to use as it is, say of another horizon over the same rows.
     """
     keep = stored if materialize else (lambda df: df)
     ensure_checkpoint_dir(frame.sparkSession)
     frame = frame if kept else keep(frame)
-    split = stratified_split(frame, keys=keys, seed=settings.seed)
+    cuts = split_cuts(frame, keys=keys, seed=settings.seed)
+    split = stratified_split(frame, keys=keys, seed=settings.seed, cuts=cuts)
     basis = split.filter(~F.col("is_test")) if fit_on == "train" else frame
     fitted = fitted or fit_preparation(basis, feature_names(frame, keys))
     scaled = [f"z{i}" for i in range(len(fitted.features))]
@@ -106,21 +114,30 @@ def prepare(
     for label, w in weights.items():
         weight = F.when(F.col("label") == label, w).otherwise(weight)
     train = stratified_folds(train, keys=keys, folds=settings.folds, seed=settings.seed + 1).withColumns(
-        {"weight": weight, "positive_weight": F.when(F.col("label") == 1, weights.get(1, 1.0)).otherwise(1.0)}
+        {
+            "weight": weight,
+            "positive_weight": F.when(F.col("label") == 1, weights.get(1, 1.0)).otherwise(1.0),
+            "rare_weight": F.when(F.col("label") == 1, counts.get(0, 0) / max(counts.get(1, 1), 1)).otherwise(1.0),
+            "row": F.xxhash64(*keys),
+        }
     )
+    train = stored(train, by="fold") if materialize else train
     # a fit runs many short jobs, so a task should hold a good number of rows
     tasks = max(1, -(-sum(counts.values()) // ROWS_PER_TASK))
-    return Prepared(target, fitted.features, stages, keep(train).coalesce(tasks), test, counts, weights)
+    types = {c: t for c, t in frame.dtypes if c in set(fitted.features)}
+    return Prepared(target, fitted.features, stages, train, tasks, test, counts, weights, cuts, types)
 
 
 def estimator(name: str, prepared: Prepared, settings: Settings = Settings()):
-    """The MLlib estimator of a model name."""
+    """The MLlib estimator of a model name. Penalties, leaf sizes and sampling rates, which a run that
+    compares results has to use."""
     common = {"labelCol": "label", "featuresCol": "features"}
     if name == "Logistic Regression":
         # Balanced weights add up to the number of rows, which turns C into this penalty.
         penalty = 1.0 / (settings.inverse_penalty * sum(prepared.counts.values()))
         return LogisticRegression(
             maxIter=settings.regression_iterations,
+            tol=1e-9,
             regParam=penalty,
             elasticNetParam=0.0,
             standardization=False,
@@ -137,37 +154,24 @@ def estimator(name: str, prepared: Prepared, settings: Settings = Settings()):
             seed=settings.seed,
             **common,
         )
-    boosting = {
-        "maxIter": settings.trees,
-        "maxDepth": settings.boosting_depth,
-        "stepSize": settings.step,
-        "subsamplingRate": 0.8,
-        "seed": settings.seed,
-        **common,
-    }
-    if name == "Gradient Boosting":
-        return GBTClassifier(minInstancesPerNode=10, **boosting)
-    if name == "Weighted Gradient Boosting":
-        return GBTClassifier(
-            minInstancesPerNode=5, featureSubsetStrategy="0.8", weightCol="positive_weight", **boosting
-        )
-    if name == "Multilayer Perceptron":
-        return MultilayerPerceptronClassifier(
-            layers=[len(prepared.names), *settings.hidden, 2],
-            maxIter=settings.perceptron_iterations,
-            seed=settings.seed,
-            **common,
-        )
     raise ValueError(f"unknown model: {name}")
 
 
-def training_rows(name: str, prepared: Prepared) -> DataFrame:
-    """The rows a model is fitted on. The perceptron takes no weights, so positives are repeated instead."""
-    if name != "Multilayer Perceptron":
-        return prepared.train
-    times = max(1, round(prepared.counts.get(0, 0) / max(prepared.counts.get(1, 1), 1)))
-    copies = F.when(F.col("label") == 1, times).otherwise(1)
-    return prepared.train.select("*", F.explode(F.sequence(F.lit(1), copies)).alias("_copy")).drop("_copy")
+def booster(name: str, settings: Settings = Settings()) -> boosting.Boosting:
+    """How the trees of a boosted model are grown. Fixed values, as in :func:`estimator`."""
+    common = {"trees": settings.trees, "depth": settings.boosting_depth, "step": settings.step, "subsample": 0.8, "seed": settings.seed}
+    if name == "Gradient Boosting":
+        return boosting.Boosting(**common, min_rows=10, min_split=20)
+    return boosting.Boosting(**common, columns=0.8, penalty=1.0, min_hessian=5.0, prior=False)
+
+
+#: Weights of the rows in the loss of each model that this library fits.
+WEIGHTS = {"Gradient Boosting": None, "Weighted Gradient Boosting": "positive_weight", "Multilayer Perceptron": "rare_weight"}
+
+
+def _weighted(name: str, rows: DataFrame) -> DataFrame:
+    weight = F.col(WEIGHTS[name]) if WEIGHTS[name] else F.lit(1.0)
+    return rows.select("row", "label", "fold", "features", weight.alias("weight"))
 
 
 def positive_probability(scored: DataFrame):
@@ -183,23 +187,139 @@ def score(model: Model, rows: DataFrame, target: str, name: str, keys: Sequence[
 
 
 def fit_model(name: str, prepared: Prepared, settings: Settings = Settings()) -> Model:
-    return estimator(name, prepared, settings).fit(training_rows(name, prepared))
+    return fit_runs(name, prepared, settings, [None])[0]
+
+
+def fit_runs(name: str, prepared: Prepared, settings: Settings, runs: Sequence[int | None]) -> list[Model]:
+    """Fit a model once for each run, the number of a fold to leave out or None.
+
+    Boosted models share the jobs of all runs; the others are fitted one after the other.
+    """
+    rows = prepared.train
+    if name in ("Gradient Boosting", "Weighted Gradient Boosting"):
+        fitted = boosting.fit(_weighted(name, rows), booster(name, settings), runs)
+        return [BoostedTrees.of(f, len(prepared.names)) for f in fitted]
+    out = []
+    for left_out in runs:
+        part = rows if left_out is None else rows.filter(F.col("fold") != left_out)
+        if name == "Multilayer Perceptron":
+            network = perceptron.fit(_weighted(name, part), settings.hidden, settings.perceptron_iterations, settings.seed)
+            out.append(Perceptron.of(network))
+        else:
+            out.append(estimator(name, prepared, settings).fit(part.coalesce(prepared.tasks)))
+    return out
+
+
+#: Driver threads that wait for fits; Spark runs the jobs of all of them.
+FITS_AT_ONCE = 6
+
 
+def fit_models(names: Sequence[str], prepared: Prepared, settings: Settings = Settings()) -> dict[str, Model]:
+    """Fit several models over one prepared table at the same time."""
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        return dict(zip(names, pool.map(lambda name: fit_model(name, prepared, settings), names), strict=True))
 
-def cross_validate(name: str, prepared: Prepared, settings: Settings = Settings(), keys: Sequence[str] = KEYS) -> DataFrame:
-    """AUC of each held-out fold: one row (target, model, fold, auc) per fold."""
-    rows = training_rows(name, prepared)
+
+def cross_validate(
+    names: str | Sequence[str], prepared: Prepared, settings: Settings = Settings(), keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """AUC of each held-out fold: one row (target, model, fold, auc, n) per model and fold.
+
+    All models and folds are fitted over one stored training table at the same time, from driver threads. A fold
+    is a folder of that table, so scoring reads every row once for each model, and one aggregation rates them all.
+    """
+    names = [names] if isinstance(names, str) else list(names)
+    folds = list(range(settings.folds))
+    shared = [(n, folds) for n in names if n in WEIGHTS and n != "Multilayer Perceptron"]
+    single = [(n, [fold]) for fold in folds for n in names if n not in [s[0] for s in shared]]
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        fits = [(name, runs, pool.submit(fit_runs, name, prepared, settings, runs)) for name, runs in [*shared, *single]]
+        fitted = {(name, fold): model for name, runs, future in fits for fold, model in zip(runs, future.result(), strict=True)}
     parts = None
-    for fold in range(settings.folds):
-        model = estimator(name, prepared, settings).fit(rows.filter(F.col("fold") != fold))
+    for (name, fold), model in fitted.items():
         held_out = prepared.train.filter(F.col("fold") == fold)
-        part = score(model, held_out, prepared.target, str(fold), keys)
+        part = score(model, held_out, prepared.target, f"{fold}:{name}", keys)
         parts = part if parts is None else parts.unionByName(part)
-    return roc_auc(parts).select(
-        "target", F.lit(name).alias("model"), F.col("model").cast("int").alias("fold"), "auc"
+    counts = score_counts(parts)
+    rows = counts.groupBy("target", "model").agg(F.sum("rows").alias("n"))
+    place = F.split("model", ":", 2)
+    return roc_auc(counts).join(F.broadcast(rows), ["target", "model"]).select(
+        "target", place[1].alias("model"), place[0].cast("int").alias("fold"), "auc", "n"
     )
 
 
+def score_by_table(name: str, model: Model, rows: DataFrame, names: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys…, p_table): scores from the model's table alone, by plain expressions. ``rows`` have a features vector."""
+    spark = rows.sparkSession
+    if name == "Logistic Regression":
+        return modeltables.score_linear(rows, modeltables.coefficients(model, names, spark)).select(*keys, "p_table")
+    if name == "Multilayer Perceptron":
+        layers = len(model.network.sizes) - 1
+        rows = rows.repartition(spark.sparkContext.defaultParallelism)  # long expressions for each row
+        return modeltables.score_layers(rows, modeltables.layer_weights(model, spark), layers).select(*keys, "p_table")
+    nodes = modeltables.tree_nodes(model, spark)
+    if isinstance(model, BoostedTrees):
+        held = model.numbers
+        return modeltables.score_trees(rows, nodes, keys, len(held["trees"]), held["depth"], held["base"])
+    return modeltables.score_trees(rows, nodes, keys, model.getNumTrees, model.getMaxDepth())
+
+
+def residual(name: str, model: Model, prepared: Prepared, settings: Settings = Settings()) -> float:
+    """The largest error in the equations that a fit has to satisfy on its training rows; 0 up to rounding.
+
+    - Logistic regression: the score equations, the gradient of the penalised mean loss. They have one solution.
+    - Boosted trees: the first tree's leaf values against gradient and Hessian of the rows that end in each leaf,
+      found by following the table, and the row counts of every split.
+    - Forest: rows and positives of every node against those of its children, which are weighted.
+    - Perceptron: the weighted loss of its scores against the one its gradient sums report.
+    """
+    train, spark = prepared.train, prepared.train.sparkSession
+    if name == "Logistic Regression":
+        scored = modeltables.score_linear(train, modeltables.coefficients(model, prepared.names, spark))
+        error = F.col("weight") * (F.col("p_table") - F.col("label"))
+        x, width = vector_to_array("features"), len(prepared.names)
+        sums = scored.agg(F.sum("weight").alias("w"), F.sum(error).alias("e"), *[F.sum(error * x[i]).alias(f"e{i}") for i in range(width)]).first()
+        penalty = estimator(name, prepared, settings).getRegParam()
+        slopes = [sums[f"e{i}"] / sums.w + penalty * float(b) for i, b in enumerate(model.coefficients.toArray())]
+        return max(abs(v) for v in [sums.e / sums.w, *slopes])
+    if name == "Multilayer Perceptron":
+        rows = _weighted(name, train)
+        scored = model.transform(rows)
+        told = perceptron.loss(rows, model.network)
+        return abs(told - _log_loss(scored.select("label", "weight", positive_probability(scored).alias("p")), "p")[0])
+    nodes = modeltables.tree_nodes(model, spark)
+    children = nodes.filter("left >= 0").select("tree", "rows", "value", F.explode(F.array("left", "right")).alias("node"), F.col("node").alias("parent"))
+    below = nodes.select("tree", "node", F.col("rows").alias("_rows"), F.col("value").alias("_value"))
+    sums = children.join(below, ["tree", "node"]).groupBy("tree", "parent", "rows", "value").agg(F.sum("_rows").alias("_rows"), F.sum(F.col("_rows") * F.col("_value")).alias("_held"))
+    positives = F.abs(F.col("_held") / F.col("_rows") - F.col("value")) if name == "Random Forest" else F.lit(0.0)
+    uneven = sums.agg(F.max(F.greatest(F.abs(F.col("_rows") - F.col("rows")) / F.col("rows"), positives))).first()[0] or 0.0
+    if name == "Random Forest":
+        return uneven
+    how, held = booster(name, settings), model.numbers
+    rows = _weighted(name, train).filter(boosting.sampled_in_first_tree(how, "row"))
+    p = 1.0 / (1.0 + F.exp(F.lit(-held["base"])))
+    ended = modeltables.leaves(rows, nodes, ["row"], 1, held["depth"], ["label", "weight"]).groupBy("node", "value")
+    sums = ended.agg(F.sum(F.col("weight") * (p - F.col("label"))).alias("g"), F.sum(F.col("weight") * p * (1 - p)).alias("h"))
+    return max(uneven, sums.agg(F.max(F.abs(F.col("value") + how.step * F.col("g") / (F.col("h") + how.penalty)))).first()[0])
+
+
+def _log_loss(scored: DataFrame, p: str) -> tuple[float, float]:
+    """Weighted mean log loss of a column of probabilities, and the least that a constant could have."""
+    clipped = F.greatest(F.least(F.col(p), F.lit(1 - 1e-15)), F.lit(1e-15))
+    loss = -F.col("weight") * F.when(F.col("label") == 1, F.log(clipped)).otherwise(F.log(1 - clipped))
+    row = scored.agg(F.sum(loss).alias("loss"), F.sum("weight").alias("w"), F.sum(F.col("weight") * F.col("label")).alias("y")).first()
+    share = row.y / row.w
+    return row.loss / row.w, -(share * math.log(share) + (1 - share) * math.log(1 - share))
+
+
+def beats_constant(name: str, model: Model, prepared: Prepared) -> bool:
+    """Whether the training loss, with the weights of the fit, is below that of every constant."""
+    weight = WEIGHTS.get(name, "weight")
+    rows = model.transform(prepared.train.withColumn("weight", F.col(weight) if weight else F.lit(1.0)))
+    loss, constant = _log_loss(rows.select("label", "weight", positive_probability(rows).alias("p")), "p")
+    return loss < constant - 1e-4
+
+
 def cross_validated(folds: DataFrame) -> DataFrame:
     """Mean and population deviation of the fold AUCs."""
     return folds.groupBy("target", "model").agg(F.avg("auc").alias("cv_mean"), F.stddev_pop("auc").alias("cv_std"))

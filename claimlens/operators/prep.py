@@ -167,25 +167,32 @@ def _hash_cuts(df: DataFrame, label: str, cuts: dict[str, Position]) -> DataFram
     return order_statistics(df, ["_hash"], cuts, by=[label]).drop("variable", "n")
 
 
+def split_cuts(df: DataFrame, label: str = "label", keys: Sequence[str] = ("desynpuf_id", "clm_id"), test_share: float = 0.2, seed: int = SEED) -> dict:
+    """The hash value of each class up to which its rows are test rows. ``label`` is a class: a few values."""
+    hashed = df.select(label, stable_hash(*keys, seed=seed).alias("_hash"))
+    return {r[label]: r["_cut"] for r in _hash_cuts(hashed, label, {"_cut": last_of_first(test_share)}).collect()}
+
+
 def stratified_split(
     df: DataFrame,
     label: str = "label",
     keys: Sequence[str] = ("desynpuf_id", "clm_id"),
     test_share: float = 0.2,
     seed: int = SEED,
+    cuts: dict | None = None,
 ) -> DataFrame:
     """Add is_test: the given share of each class, chosen by a hash of the row keys.
 
     The cut is a hash value per class, so the frame itself is neither sorted nor shuffled, and the
-    same rows are chosen however they are partitioned. Rows without a label stay, with a null is_test.
+    same rows are chosen however they are partitioned. Rows without a label stay, with a null is_test. ``cuts``
+    gives the values of an earlier split, which then also decide on rows that have come since; a class that the
+    earlier split did not have is test rows only.
     """
-    hashed = df.withColumn("_hash", stable_hash(*keys, seed=seed))
-    cuts = _hash_cuts(hashed, label, {"_cut": last_of_first(test_share)})
-    return (
-        hashed.join(F.broadcast(cuts), label, "left")
-        .withColumn("is_test", F.col("_hash") <= F.col("_cut"))
-        .select(*df.columns, "is_test")
-    )
+    hashed = stable_hash(*keys, seed=seed)
+    cut = F.lit(float("inf"))
+    for value, at in (cuts if cuts is not None else split_cuts(df, label, keys, test_share, seed)).items():
+        cut = F.when(F.col(label) == value, F.lit(float(at))).otherwise(cut)
+    return df.withColumn("is_test", F.when(F.col(label).isNotNull(), hashed <= cut))
 
 
 def stratified_folds(

@@ -283,9 +283,10 @@ split AS (
 
 
 def _held_out(model: str) -> str:
-    """What is determined of a trained model's scores: the held-out rows, and that p is a probability."""
+    """What is determined of a trained model's scores: the held-out rows, that the model's table gives its p, that the
+    equations of the fit hold, and that it has learned more than a constant."""
     return f"""{_with(CLAIMS, LABELLED, _split("readmit_30"))} SELECT 'readmit_30' AS target, '{model}' AS model, desynpuf_id,
-        clm_id, label, TRUE AS p_is_probability FROM split WHERE is_test"""
+        clm_id, label, TRUE AS p_from_table, CAST(0 AS DOUBLE) AS residual, TRUE AS beats_constant FROM split WHERE is_test"""
 
 
 CLAIM_COLUMNS = f"clm_id, desynpuf_id, claim_type, admit_date, year, age, {_r('clm_pmt_amt', 2)}"
@@ -504,14 +505,44 @@ def all_sql() -> dict[str, str]:
             ]
         },
         "train_horizon": f"""{_with(CLAIMS, LABELLED, _split("readmit_30"))} SELECT 'readmit_30' AS target, model, count(*) AS n,
-            TRUE AS rates_in_range FROM split CROSS JOIN (VALUES ('Logistic Regression'), ('Random Forest'), ('Gradient Boosting'),
+            CAST(sum(label) AS BIGINT) AS positives, TRUE AS rates_agree, TRUE AS ranks_better_than_chance
+            FROM split CROSS JOIN (VALUES ('Logistic Regression'), ('Random Forest'), ('Gradient Boosting'),
             ('Weighted Gradient Boosting')) m(model) WHERE is_test GROUP BY model""",
-        "cross_validation": """SELECT 'readmit_30' AS target, model, CAST(fold AS INTEGER) AS fold, TRUE AS auc_in_range
-            FROM range(5) f(fold) CROSS JOIN (VALUES ('Logistic Regression'), ('Random Forest'), ('Gradient Boosting'),
-            ('Weighted Gradient Boosting')) m(model)""",
-        "feature_importance": """SELECT 'Random Forest' AS model, 10 AS factors, TRUE AS ranked, TRUE AS a_share""",
-        "batch_score": f"""{_with(CLAIMS, LABELLED, _split("readmit_30"))} SELECT clm_id, TRUE AS p_is_probability,
+        "cross_validation": f"""{_with(CLAIMS, LABELLED, _split("readmit_30"))}, folded AS (
+              SELECT CAST({" + ".join(f"(CASE WHEN k > round(n * {i / folds}) THEN 1 ELSE 0 END)" for i in range(1, folds))} AS INTEGER) AS fold FROM (
+                SELECT *, row_number() OVER (PARTITION BY label ORDER BY h) AS k, count(*) OVER (PARTITION BY label) AS n FROM (
+                  SELECT label, {_hash(43)} AS h FROM split WHERE NOT is_test)))
+            SELECT 'readmit_30' AS target, model, fold, count(*) AS n, TRUE AS auc_in_range, TRUE AS mean_beats_chance
+            FROM folded CROSS JOIN (VALUES ('Logistic Regression'), ('Random Forest'), ('Gradient Boosting'),
+            ('Weighted Gradient Boosting')) m(model) GROUP BY model, fold""",
+        "feature_importance": """SELECT 'Random Forest' AS model, 10 AS factors, TRUE AS ranked, TRUE AS a_share, CAST(0 AS DOUBLE) AS residual""",
+        "batch_score": f"""{_with(CLAIMS, LABELLED, _split("readmit_30"))} SELECT clm_id, TRUE AS p_from_table,
             TRUE AS tier_agrees FROM split WHERE is_test""",
+        "load_missing_years": f"""{people} SELECT desynpuf_id, year, bene_race_cd, sp_state_code, bene_birth_dt FROM people
+            WHERE year IN (SELECT year FROM (SELECT DISTINCT year FROM people ORDER BY year LIMIT 3) ORDER BY year LIMIT 1)
+               OR year IN (SELECT max(year) FROM (SELECT DISTINCT year FROM people ORDER BY year LIMIT 3))""",
+        "predictions_through_files": f"{tiered} SELECT target, model, clm_id, {_r('p')}, tier FROM tiers",
+        "summary_through_files": f"""{measured} SELECT target, model, {", ".join(
+            f"printf('%.3f', {c}) AS {c}" for c in ("accuracy", "auc", "f1", "recall", '"precision"'))},
+            printf('%.3f ± 0.000', auc) AS cv_auc FROM metrics""",
+        "results_through_registry": f"""{measured} SELECT target, model, {_r("cutoff")}, n, {_r("f1")}, {_r("auc")}, rows, positives
+            FROM metrics JOIN (SELECT target, model, count(*) AS rows, CAST(sum(label) AS BIGINT) AS positives FROM predictions
+            GROUP BY target, model) USING (target, model)""",
+        "features_from_file": f"""{frame} SELECT clm_id, {", ".join(_r(c) for c in FEATURES)} FROM frame""",
+        "preview_count": "SELECT CAST(20 AS BIGINT) AS n, CAST(20 AS BIGINT) AS claims",
+        "best_model_insight": f"""{measured},{_best("metrics")} SELECT target, model, {_r("auc")} FROM best""",
+        "performance_summary_folds": f"""{measured}, folded AS (
+              SELECT clm_id, {" + ".join(f"(CASE WHEN k > round(n * {i / folds}) THEN 1 ELSE 0 END)" for i in range(1, folds))} AS fold FROM (
+                SELECT *, row_number() OVER (PARTITION BY readmit_30 ORDER BY h) AS k, count(*) OVER (PARTITION BY readmit_30) AS n FROM (
+                  SELECT clm_id, readmit_30, {_hash(43)} AS h FROM labelled))),
+            steps AS (SELECT target, model, fold, p, sum(label) AS positives, sum(1 - label) AS negatives
+                      FROM predictions JOIN folded USING (clm_id) GROUP BY 1, 2, 3, 4),
+            running AS (SELECT *, sum(positives) OVER (PARTITION BY target, model, fold ORDER BY p DESC) - positives AS above FROM steps),
+            fold_aucs AS (SELECT target, model, fold, sum(negatives * (above + positives / 2.0)) /
+                      (CAST(sum(positives) AS DOUBLE) * sum(negatives)) AS auc FROM running GROUP BY 1, 2, 3),
+            cv AS (SELECT target, model, avg(auc) AS cv_mean, stddev_pop(auc) AS cv_std FROM fold_aucs GROUP BY 1, 2)
+            SELECT target, model, printf('%.3f', auc) AS auc, printf('%.3f ± %.3f', cv_mean, cv_std) AS cv_auc
+            FROM metrics JOIN cv USING (target, model)""",
         "registry_latest": """SELECT target, model, version FROM (
               SELECT o_orderpriority AS target, o_orderstatus AS model, o_orderkey AS version,
                      row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus

@@ -54,36 +54,40 @@ def train_horizon(
     prepared = models.prepare(frame, target, fit_on=fit_on, settings=settings, kept=kept, fitted=preparation)
     if not prepared.trainable:
         return None
-    fitted, scored, folds = {}, [], []
-    for name in names:
-        fitted[name] = models.fit_model(name, prepared, settings)
-        scored.append(models.score(fitted[name], prepared.test, target, name))
-        if cross_validation:
-            folds.append(models.cross_validate(name, prepared, settings))
-    metrics = evaluation.model_metrics(registry.save_predictions(union(scored), target))
+    fitted = models.fit_models(names, prepared, settings)
+    scored = [models.score(model, prepared.test, target, name) for name, model in fitted.items()]
+    # all of it becomes visible at once, by the manifest of the version
+    version = registry.version(target)
+    predictions = version.add_results("predictions", union(scored))
+    metrics = evaluation.model_metrics(predictions)
     if cross_validation:
-        metrics = metrics.join(models.cross_validated(union(folds)), ["target", "model"], "left")
+        metrics = metrics.join(models.cross_validated(models.cross_validate(names, prepared, settings)), ["target", "model"], "left")
     else:
         metrics = metrics.withColumns({"cv_mean": F.col("auc"), "cv_std": F.lit(0.0)})
-    registry.save_metrics(metrics)
-    stored_metrics, stored_predictions = registry.load_results(target)
-    aucs = {r.model: r.auc for r in stored_metrics.select("model", "auc").collect()}
+    metrics = version.add_results("metrics", metrics)
+    aucs = {r.model: r.auc for r in metrics.select("model", "auc").collect()}
     for name, model in fitted.items():
-        pipeline = PipelineModel([*prepared.stages, model])
-        registry.save(pipeline, target, name, prepared.names, aucs.get(name))
+        version.add_model(PipelineModel([*prepared.stages, model]), name, prepared.names, aucs.get(name), prepared.types)
+    version.publish(prepared.cuts)
+    stored_metrics, stored_predictions = registry.load_results(target)
     return Trained(target, stored_metrics, stored_predictions, fitted, prepared.names)
 
 
 def evaluate_saved(registry: Registry, frame: DataFrame, target: str, settings: models.Settings = models.Settings()) -> Trained | None:
-    """Load the newest models of a horizon and evaluate them again on the test part."""
+    """Load the newest models of a horizon and evaluate them again on rows they have not seen.
+
+    The split is the one each model was trained with, by its stored hash values, also where the frame has grown.
+    """
     loaded = registry.load_all(target)
     if not loaded:
         return None
-    test = prep.stratified_split(frame, seed=settings.seed).filter("is_test")
-    scored = union([models.score(pipeline, test, target, name) for name, (pipeline, _) in loaded.items()])
-    metrics = evaluation.model_metrics(scored).withColumns({"cv_mean": F.col("auc"), "cv_std": F.lit(0.0)})
-    fitted = {name: pipeline.stages[-1] for name, (pipeline, _) in loaded.items()}
-    return Trained(target, metrics, scored, fitted, next(iter(loaded.values()))[1])
+    scored = []
+    for name, saved in loaded.items():
+        test = prep.stratified_split(frame, seed=settings.seed, cuts=saved.cuts or None).filter("is_test")
+        scored.append(models.score(saved.pipeline, test, target, name))
+    metrics = evaluation.model_metrics(union(scored)).withColumns({"cv_mean": F.col("auc"), "cv_std": F.lit(0.0)})
+    fitted = {name: saved.pipeline.stages[-1] for name, saved in loaded.items()}
+    return Trained(target, metrics, union(scored), fitted, next(iter(loaded.values())).features)
 
 
 def score_file(
@@ -91,13 +95,16 @@ def score_file(
 ) -> tuple[DataFrame, list[str]]:
     """Score a file of feature rows with a saved model and write the result; returns it with the unused columns.
 
-    Missing features fail before anything is scored.
+    The file is read once, with the feature types that are stored with the model. Missing features fail before
+    anything is scored, a text in a column of numbers fails with its column and value.
     """
-    fitted, required = registry.load(target, model)
-    rows = read_features(spark, path)
-    _, unused = models.check_features(rows, required)
-    write_predictions(models.batch_score(fitted, rows, required, keep), output, file_format)
-    written = spark.read.option("header", True).option("inferSchema", True).csv(output) if file_format == "csv" else spark.read.parquet(output)
+    saved = registry.load(target, model)
+    rows = read_features(spark, path, saved.types)
+    _, unused = models.check_features(rows, saved.features)
+    scored = models.batch_score(saved.pipeline, rows, saved.features, keep)
+    write_predictions(scored, output, file_format)
+    reader = spark.read.schema(scored.schema)
+    written = reader.option("header", True).csv(output) if file_format == "csv" else reader.parquet(output)
     return written, [c for c in unused if c not in keep]
 
 
@@ -157,8 +164,8 @@ def run_pipeline(
     fitted, names = first.fitted, first.names
     if not fitted:
         loaded = registry.load_all(first.target)
-        fitted = {name: pipeline.stages[-1] for name, (pipeline, _) in loaded.items()}
-        names = next(iter(loaded.values()))[1] if loaded else []
+        fitted = {name: saved.pipeline.stages[-1] for name, saved in loaded.items()}
+        names = next(iter(loaded.values())).features if loaded else []
     factors = models.high_risk_factors(fitted, names, spark)
     best = evaluation.best_predictions(predictions, evaluation.best_model(metrics))
     summary = insights.executive_summary(beneficiaries, dated, metrics, factors, costs)

@@ -21,11 +21,11 @@ from claimlens.columns import (
 )
 from claimlens.functions.expressions import lenient_amount, lenient_date, strict_date
 from claimlens.operators import claims as claims_ops
-from claimlens.operators import dashboard, evaluation, features, insights, labels, models, prep, profile, progression
+from claimlens.operators import dashboard, evaluation, features, insights, labels, models, modeltables, prep, profile, progression
 from claimlens.plans import pipeline
 from claimlens.plans.tables import Tables
 from claimlens.session import scratch_folder, stored
-from claimlens.sources import readers
+from claimlens.sources import readers, writers
 from claimlens.sources.registry import Registry, latest_versions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -512,8 +512,114 @@ def registry_latest(t: Tables) -> DataFrame:
     return latest_versions(entries).select("target", "model", "version")
 
 
-# Trained models, all with the library's full settings. Their numbers are not determined, so the queries
-# return what is: the held-out rows, and whether probabilities, rates and tiers are in order.
+# Sources, sinks and the registry: tables go through files and come back
+
+
+def _file(t: Tables, name: str) -> str:
+    return f"{scratch_folder(t.spark)}/{name}"
+
+
+@register
+def load_missing_years(t: Tables) -> DataFrame:
+    """Yearly files under their public names, with one year's file missing and one year unknown."""
+    folder, years = scratch_folder(t.spark), t.years[:3]
+    sources = readers.default_sources(folder, years)
+    for year in (years[0], years[2]):
+        t.beneficiaries(conditions=False).filter(F.col("year") == year).drop("year").write.option("header", True).csv(sources.beneficiaries[year])
+    out = readers.load_beneficiaries(t.spark, sources, [*years, 1900])
+    ids = [F.col("desynpuf_id").cast("long").alias("desynpuf_id"), F.col("bene_birth_dt").cast("int").alias("bene_birth_dt")]
+    return out.select(*ids, "year", "bene_race_cd", "sp_state_code")
+
+
+@register
+def predictions_through_files(t: Tables) -> DataFrame:
+    """Predictions written as CSV by all tasks and read again with known types."""
+    path = _file(t, "predictions")
+    scored = insights.risk_tiers(t.predictions()).select("target", "model", "clm_id", "p", "tier")
+    writers.write_predictions(scored, path)
+    return rounded(t.spark.read.schema(scored.schema).option("header", True).csv(path))
+
+
+@register
+def summary_through_files(t: Tables) -> DataFrame:
+    """The performance summary, one folder for each horizon, read again."""
+    path = _file(t, "summary")
+    writers.write_summary(evaluation.performance_summary(evaluation.model_metrics(evaluation.score_counts(t.predictions()))), path)
+    texts = [c for c in ("accuracy", "auc", "f1", "recall", "precision", "cv_auc")]
+    return t.spark.read.option("header", True).csv(path).select("target", "model", *texts)
+
+
+@register
+def results_through_registry(t: Tables) -> DataFrame:
+    """Metrics and predictions of every horizon published as versions; the newest of each model is read back."""
+    registry = Registry(t.spark, scratch_folder(t.spark))
+    predictions = stored(t.predictions())
+    for days in HORIZONS:
+        target = horizon_label(days)
+        mine = predictions.filter(F.col("target") == target)
+        for part in (mine, mine.filter(F.col("model") == "Random Forest")):
+            version = registry.version(target)
+            kept = version.add_results("predictions", part)
+            version.add_results("metrics", evaluation.model_metrics(kept))
+            for name in sorted(r.model for r in kept.select("model").distinct().collect()):
+                version.list_model(name, [])
+            version.publish()
+    usable = [horizon_label(days) for days in HORIZONS if registry.has_results(horizon_label(days))]
+    parts = [registry.load_results(target) for target in usable]
+    metrics, scores = (pipeline.union([p[k] for p in parts]) for k in (0, 1))
+    rows = scores.groupBy("target", "model").agg(F.count("*").alias("rows"), F.sum("label").cast("long").alias("positives"))
+    return rounded(metrics.select("target", "model", "cutoff", "n", "f1", "auc").join(rows, ["target", "model"]))
+
+
+@register
+def features_from_file(t: Tables) -> DataFrame:
+    """Feature rows written as CSV and read with the types of the training frame, in one pass."""
+    path = _file(t, "rows")
+    frame = _frame(t).select("clm_id", *FEATURES)
+    frame.write.option("header", True).csv(path)
+    types = {c: kind for c, kind in frame.dtypes if c in FEATURES}
+    rows = readers.read_features(t.spark, path, types)
+    return rounded(rows.select(F.col("clm_id").cast("long").alias("clm_id"), *[F.col(c).cast("double").alias(c) for c in FEATURES]))
+
+
+@register
+def profile_of_file(t: Tables) -> DataFrame:
+    """A CSV file of persons, typed by its values, and profiled."""
+    path = _file(t, "person")
+    t.person().select("person_id", "gender_source_value", "race_source_value").write.option("header", True).csv(path)
+    return rounded(profile.profile_table(readers.load_profile_table(t.spark, path), bins=5))
+
+
+@register
+def preview_count(t: Tables) -> DataFrame:
+    """A preview has 20 rows of the table, whichever these are."""
+    shown = claims_ops.preview(t.inpatient())
+    known = shown.join(t.inpatient().select("clm_id"), "clm_id", "left_semi")
+    return known.agg(F.count("*").alias("n"), F.count_distinct("clm_id").alias("claims"))
+
+
+@register
+def performance_summary_folds(t: Tables) -> DataFrame:
+    """The summary with mean and deviation of the AUC over five folds of the claims, for the fixed score."""
+    scores = stored(t.predictions())
+    folds = prep.stratified_folds(_labels_only(t)).select("clm_id", "fold")
+    by_fold = scores.join(folds, "clm_id").withColumn("model", F.concat_ws(":", F.col("fold").cast("string"), "model"))
+    place = F.split("model", ":", 2)
+    aucs = evaluation.roc_auc(by_fold).select("target", place[1].alias("model"), place[0].cast("int").alias("fold"), "auc")
+    metrics = evaluation.model_metrics(scores).join(models.cross_validated(aucs), ["target", "model"])
+    return evaluation.performance_summary(metrics).select("target", "model", "auc", "cv_auc")
+
+
+@register
+def best_model_insight(t: Tables) -> DataFrame:
+    """The best model of each horizon and its AUC, where no fitted model ranks features."""
+    metrics = evaluation.model_metrics(evaluation.score_counts(t.predictions()))
+    return rounded(models.best_model_insight(metrics, {}, []))
+
+
+# Trained models, all with the library's full settings. Their numbers are not determined in SQL, so the queries
+# return what is: the held-out rows, whether the model's table gives the same score by plain expressions, the error
+# in the equations that the fit has to satisfy (0), and that its loss is below that of any constant.
 
 
 def _prepared(t: Tables) -> models.Prepared:
@@ -526,8 +632,16 @@ def _probability(column: str = "p") -> Column:
 
 def _scored(t: Tables, name: str) -> DataFrame:
     prepared = _prepared(t)
-    scored = models.score(models.fit_model(name, prepared), prepared.test, "readmit_30", name)
-    return scored.select("target", "model", "desynpuf_id", "clm_id", "label", _probability().alias("p_is_probability"))
+    model = models.fit_model(name, prepared)
+    by_table = models.score_by_table(name, model, prepared.test, prepared.names)
+    scored = models.score(model, prepared.test, "readmit_30", name).join(by_table, list(models.KEYS))
+    error = models.residual(name, model, prepared)
+    return scored.select(
+        "target", "model", "desynpuf_id", "clm_id", "label",
+        (_probability() & F.coalesce(F.abs(F.col("p") - F.col("p_table")) < 1e-9, F.lit(False))).alias("p_from_table"),
+        F.lit(abs(round(error, 5))).alias("residual"),
+        F.lit(models.beats_constant(name, model, prepared)).alias("beats_constant"),
+    )
 
 
 @register
@@ -557,30 +671,43 @@ def model_mlp(t: Tables) -> DataFrame:
 
 @register
 def train_horizon(t: Tables) -> DataFrame:
-    """All four models of the ensemble; their folds are the query cross_validation."""
+    """All four models of the ensemble, published and read back; their folds are the query cross_validation."""
     registry = Registry(t.spark, scratch_folder(t.spark))
-    metrics = pipeline.train_horizon(_frame(t), "readmit_30", registry, force=True, cross_validation=False).metrics
+    trained = pipeline.train_horizon(_frame(t), "readmit_30", registry, force=True, cross_validation=False)
     rates = [_probability(c) for c in ("auc", "accuracy", "precision", "recall", "f1")]
-    return metrics.select("target", "model", "n", functools.reduce(lambda a, b: a & b, rates).alias("rates_in_range"))
+    both = F.col("precision") + F.col("recall")
+    f1 = F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(0.0)
+    positives = trained.predictions.groupBy("target", "model").agg(F.sum("label").cast("long").alias("positives"))
+    return trained.metrics.join(positives, ["target", "model"]).select(
+        "target", "model", "n", "positives",
+        (functools.reduce(lambda a, b: a & b, rates) & (F.abs(F.col("f1") - f1) < 1e-9)).alias("rates_agree"),
+        (F.col("auc") > 0.5).alias("ranks_better_than_chance"),
+    )
 
 
 @register
 def cross_validation(t: Tables) -> DataFrame:
+    """All models and folds at the full settings, fitted at the same time."""
     prepared = _prepared(t)
-    folds = pipeline.union([models.cross_validate(name, prepared) for name in models.ENSEMBLE])
-    return folds.select("target", "model", "fold", _probability("auc").alias("auc_in_range"))
+    folds = models.cross_validate(models.ENSEMBLE, prepared)
+    better = F.avg("auc").over(Window.partitionBy("model")) > 0.5
+    return folds.select("target", "model", "fold", "n", _probability("auc").alias("auc_in_range"), better.alias("mean_beats_chance"))
 
 
 @register
 def feature_importance(t: Tables) -> DataFrame:
+    """The ten most important features, and whether the importances follow from the table of tree nodes."""
     prepared = _prepared(t)
-    fitted = {"Random Forest": models.fit_model("Random Forest", prepared)}
-    factors = models.high_risk_factors(fitted, prepared.names, t.spark)
+    model = models.fit_model("Random Forest", prepared)
+    factors = models.high_risk_factors({"Random Forest": model}, prepared.names, t.spark)
     falling = F.sort_array(F.collect_list(F.struct("rank", "importance")))
+    by_nodes = modeltables.importances(modeltables.tree_nodes(model, t.spark), len(prepared.names), by_tree=True)
+    apart = float(abs(by_nodes - model.featureImportances.toArray()).max())
     return factors.groupBy("model").agg(
         F.count("*").cast("int").alias("factors"),
         (F.transform(falling, lambda x: x["importance"]) == F.sort_array(F.collect_list("importance"), asc=False)).alias("ranked"),
         ((F.sum("importance") > 0) & (F.sum("importance") <= 1.000001)).alias("a_share"),
+        F.lit(abs(round(apart, 6))).alias("residual"),
     )
 
 
@@ -592,5 +719,26 @@ def batch_score(t: Tables) -> DataFrame:
     model = models.fit_model("Logistic Regression", prepared)
     unseen = prep.stratified_split(frame).filter("is_test").drop("is_test", "label")
     scored = models.batch_score(PipelineModel([*prepared.stages, model]), unseen, prepared.names, keep=["clm_id"])
+    features = PipelineModel(prepared.stages).transform(unseen)
+    by_table = models.score_by_table("Logistic Regression", model, features, prepared.names, ["clm_id"])
     agrees = F.col("tier") == F.when(F.col("p") > 0.7, "High").when(F.col("p") > 0.3, "Medium").otherwise("Low")
-    return scored.select("clm_id", _probability().alias("p_is_probability"), agrees.alias("tier_agrees"))
+    from_table = F.coalesce(F.abs(F.col("p") - F.col("p_table")) < 1e-9, F.lit(False))
+    return scored.join(by_table, "clm_id").select("clm_id", (_probability() & from_table).alias("p_from_table"), agrees.alias("tier_agrees"))
+
+
+@register
+def saved_models(t: Tables) -> DataFrame:
+    """A model saved, loaded and evaluated again on a frame that has grown: it meets rows it has not seen only."""
+    registry = Registry(t.spark, scratch_folder(t.spark))
+    frame = stored(_frame(t))
+    old = frame.filter(F.col("clm_id") % 5 > 0)
+    first = pipeline.train_horizon(old, "readmit_30", registry, ["Logistic Regression"], force=True, cross_validation=False)
+    again = pipeline.evaluate_saved(registry, frame, "readmit_30")
+    trained_on = old.join(first.predictions, "clm_id", "left_anti").select("clm_id")
+    seen = again.predictions.join(trained_on, "clm_id", "left_semi").count()
+    unchanged = first.predictions.select("clm_id", "p").join(again.predictions.select("clm_id", F.col("p").alias("_p")), "clm_id")
+    apart = unchanged.agg(F.count("*").alias("n"), F.max(F.abs(F.col("p") - F.col("_p"))).alias("d")).first()
+    return first.metrics.select(
+        "target", "model", "n", (F.col("auc") > 0.5).alias("ranks"), F.lit(apart.n).cast("long").alias("scored_again"),
+        F.lit(apart.d < 1e-12).alias("same_scores"), F.lit(seen).cast("long").alias("seen_before"),
+    )

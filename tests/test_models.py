@@ -1,14 +1,18 @@
 """Training, storing, loading and scoring models."""
 
+import json
 from datetime import datetime
 
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 
-from claimlens.operators import evaluation, models
+from claimlens.operators import evaluation, models, modeltables
+from claimlens.operators.trained import BoostedTrees
 from claimlens.plans.pipeline import evaluate_saved, score_file, train_horizon
+from claimlens.sources.readers import read_features
 from claimlens.sources.registry import Registry
 
 FEW = models.Settings(trees=5, forest_depth=4, boosting_depth=3, regression_iterations=50, perceptron_iterations=15, folds=3, hidden=(16, 8))
@@ -47,11 +51,40 @@ def test_each_model_learns(prepared, name):
     assert evaluation.roc_auc(scored).first().auc > 0.8
 
 
-def test_perceptron_repeats_positives(prepared):
-    rows = models.training_rows("Multilayer Perceptron", prepared).groupBy("label").count().collect()
-    counts = {r.label: r["count"] for r in rows}
-    times = round(prepared.counts[0] / prepared.counts[1])
-    assert counts == {0: prepared.counts[0], 1: times * prepared.counts[1]}
+@pytest.mark.parametrize("name", [*models.ENSEMBLE, "Multilayer Perceptron"])
+def test_scores_follow_from_the_table_and_the_equations_hold(prepared, name):
+    model = models.fit_model(name, prepared, FEW)
+    rows = prepared.test.unionByName(prepared.train.select(prepared.test.columns[0], *prepared.test.columns[1:3], F.lit(False).alias("is_test"), "features"))
+    by_table = models.score_by_table(name, model, rows, prepared.names)
+    both = models.score(model, rows, TARGET, name).join(by_table, list(models.KEYS))
+    assert both.count() == 600 and both.filter(F.abs(F.col("p") - F.col("p_table")) < 1e-9).count() == 600
+    assert models.residual(name, model, prepared, FEW) < 1e-6
+    assert models.beats_constant(name, model, prepared)
+
+
+def test_a_constant_model_fails_the_proof(prepared):
+    trees = models.fit_model("Gradient Boosting", prepared, FEW)
+    held = trees.numbers
+    for t in held["trees"]:
+        t["value"] = [0.0] * len(t["value"])
+    constant = BoostedTrees(state=json.dumps(held))
+    assert not models.beats_constant("Gradient Boosting", constant, prepared)
+    assert models.residual("Gradient Boosting", constant, prepared, FEW) > 1e-3
+
+
+def test_importances_follow_from_the_nodes(spark, prepared):
+    for name, by_tree in (("Random Forest", True), ("Weighted Gradient Boosting", False)):
+        model = models.fit_model(name, prepared, FEW)
+        nodes = modeltables.tree_nodes(model, spark)
+        assert np.allclose(modeltables.importances(nodes, 3, by_tree), model.featureImportances.toArray())
+
+
+def test_boosting_is_as_good_as_the_library_of_spark(prepared):
+    few = models.Settings(trees=30, boosting_depth=3)
+    ours = models.fit_model("Gradient Boosting", prepared, few)
+    other = GBTClassifier(maxIter=30, maxDepth=3, stepSize=0.05, subsamplingRate=0.8, minInstancesPerNode=10, seed=1).fit(prepared.train)
+    aucs = [evaluation.roc_auc(models.score(m, prepared.train, TARGET, "m")).first().auc for m in (ours, other)]
+    assert aucs[0] > aucs[1] - 0.01
 
 
 def test_preparation_on_the_training_part_only(frame):
@@ -68,6 +101,14 @@ def test_cross_validation(prepared):
     assert row.cv_mean == pytest.approx(np.mean(aucs)) and row.cv_std == pytest.approx(np.std(aucs))
 
 
+def test_all_models_and_folds_are_validated_together(prepared):
+    folds = models.cross_validate([*models.ENSEMBLE, "Multilayer Perceptron"], prepared, FEW).collect()
+    assert len(folds) == 15 and {r.fold for r in folds} == {0, 1, 2}
+    for name in models.ENSEMBLE:
+        assert sum(r.n for r in folds if r.model == name) == sum(prepared.counts.values())
+    assert min(r.auc for r in folds) > 0.75
+
+
 def test_importances_rank_the_informative_features(spark, prepared):
     fitted = {"Random Forest": models.fit_model("Random Forest", prepared, FEW)}
     top = models.high_risk_factors(fitted, prepared.names, spark, 2).collect()
@@ -95,7 +136,8 @@ def test_save_load_and_score(spark, prepared, frame, tmp_path):
     registry.save(pipeline, TARGET, "Logistic Regression", prepared.names, 0.8, datetime(2021, 1, 1))
     assert registry.entries().count() == 2
     assert registry.latest().first().auc == 0.8
-    loaded, names = registry.load(TARGET, "Logistic Regression")
+    saved = registry.load(TARGET, "Logistic Regression")
+    loaded, names = saved.pipeline, saved.features
     assert names == prepared.names
     before = models.batch_score(pipeline, frame, names, keep=["clm_id"]).orderBy("clm_id").collect()
     after = models.batch_score(loaded, frame, names, keep=["clm_id"]).orderBy("clm_id").collect()
@@ -133,6 +175,50 @@ def test_horizon_is_trained_stored_and_reused(spark, frame, tmp_path):
     assert evaluate_saved(registry, frame, "readmit_90", FEW) is None
 
 
+@pytest.mark.parametrize("name", ["Weighted Gradient Boosting", "Multilayer Perceptron"])
+def test_own_models_are_saved_and_loaded(spark, prepared, frame, tmp_path, name):
+    registry = Registry(spark, str(tmp_path))
+    pipeline = PipelineModel([*prepared.stages, models.fit_model(name, prepared, FEW)])
+    registry.save(pipeline, TARGET, name, prepared.names, 0.9)
+    before, after = (
+        sorted(models.batch_score(p, frame, prepared.names, keep=["clm_id"]).collect()) for p in (pipeline, registry.load(TARGET, name).pipeline)
+    )
+    assert before == after and len(before) == 600
+
+
+def test_a_save_that_is_stopped_half_way_is_never_seen(spark, prepared, tmp_path):
+    registry = Registry(spark, str(tmp_path))
+    pipeline = PipelineModel([*prepared.stages, models.fit_model("Logistic Regression", prepared, FEW)])
+    old = registry.version(TARGET, datetime(2020, 1, 1))
+    old.add_model(pipeline, "Logistic Regression", prepared.names, 0.9)
+    metrics = spark.createDataFrame([(TARGET, "Logistic Regression", 0.9)], "target string, model string, auc double")
+    old.add_results("metrics", metrics)
+    old.add_results("predictions", metrics)
+    old.publish(prepared.cuts)
+    # the next version dies after its model and predictions, before its manifest
+    new = registry.version(TARGET, datetime(2021, 1, 1))
+    new.add_model(pipeline, "Logistic Regression", prepared.names, 0.1)
+    new.add_results("predictions", metrics.limit(0))
+    with pytest.raises(ZeroDivisionError):
+        new.add_results("metrics", metrics.withColumn("auc", F.lit(1 / 0)))
+    assert [r.version for r in registry.entries().collect()] == [old.name]
+    assert registry.load_results(TARGET)[1].count() == 1 and registry.has_results(TARGET)
+    # a manifest that was being written is no manifest
+    (tmp_path / "manifests" / f"_{TARGET}-{new.name}.json").write_text('{"target": "readm')
+    assert registry.latest().first().auc == 0.9
+
+
+def test_saved_models_meet_rows_they_have_not_seen_in_a_grown_frame(spark, frame, tmp_path):
+    registry = Registry(spark, str(tmp_path))
+    train_horizon(frame, TARGET, registry, ["Logistic Regression"], FEW, cross_validation=False)
+    seen = models.prepare(frame, TARGET, settings=FEW).train.select("clm_id")
+    more = frame.withColumn("clm_id", F.col("clm_id") + 1000)
+    again = evaluate_saved(registry, frame.unionByName(more), TARGET, FEW)
+    assert again.predictions.join(seen, "clm_id").isEmpty()
+    assert again.predictions.filter("clm_id < 1000").count() == 600 - seen.count()
+    assert again.predictions.filter("clm_id >= 1000").count() > 0
+
+
 def test_one_class_is_skipped(spark, frame, tmp_path):
     registry = Registry(spark, str(tmp_path))
     assert train_horizon(frame.withColumn("label", F.lit(0)), TARGET, registry, settings=FEW) is None
@@ -156,7 +242,13 @@ def test_scoring_from_file_to_file(spark, frame, prepared, tmp_path, file_format
     frame.withColumn("extra", F.lit(1)).write.option("header", True).csv(source)
     out, unused = score_file(spark, registry, TARGET, "Logistic Regression", source, str(tmp_path / "out"), ["clm_id"], file_format)
     assert unused == ["desynpuf_id", "extra", "label"]
+    plan = models.batch_score(pipeline, read_features(spark, source, prepared.types), prepared.names)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 1
     assert out.count() == 600 and {"clm_id", "p", "tier"} == set(out.columns)
+    broken = frame.withColumn("a", F.when(F.col("clm_id") == 7, F.lit("much")).otherwise(F.col("a").cast("string")))
+    broken.write.option("header", True).csv(str(tmp_path / "broken.csv"))
+    with pytest.raises(Exception, match="column a holds no double: much"):
+        score_file(spark, registry, TARGET, "Logistic Regression", str(tmp_path / "broken.csv"), str(tmp_path / "y"))
     frame.drop("noise").write.option("header", True).csv(str(tmp_path / "short.csv"))
     with pytest.raises(ValueError, match="missing features: noise"):
         score_file(spark, registry, TARGET, "Logistic Regression", str(tmp_path / "short.csv"), str(tmp_path / "x"))
