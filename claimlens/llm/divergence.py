@@ -36,7 +36,9 @@ UNIT = 1_000_000_000
 #: A task's counters are sent on when they hold so many terms; longer texts are cut into parts of so many bytes.
 HELD_TERMS = 300_000
 PART_BYTES = 4 << 20
-SHARD_POSTINGS = 500_000
+#: A shard has about so many postings, and more where a language has many sources: at least a quarter of its pairs
+#: of sources, so that sums of shards stay few beside the postings, but no more than the second number.
+SHARD_POSTINGS, MOST_POSTINGS = 40_000, 500_000
 BLOCK_ROWS = 1024
 ACCUMULATED = 1 << 22
 SALTS = 16
@@ -205,9 +207,10 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS) -> Da
             "place": F.row_number().over(of_lang.orderBy("source")),
             "peers": F.count("*").over(of_lang),
             "baseline": F.coalesce(share(F.lit(0).cast("long"), F.col("total"), F.col("terms")), F.lit(0).cast("long")),
-            "shards": F.greatest(F.ceil(F.col("postings") / SHARD_POSTINGS), F.lit(1)).cast("long"),
         }
     )
+    shard = F.least(F.lit(MOST_POSTINGS), F.greatest(F.lit(SHARD_POSTINGS), F.col("peers") * F.col("peers") / 4))
+    known = known.withColumn("shards", F.greatest(F.ceil(F.col("postings") / shard), F.lit(1)).cast("long"))
     rows = F.greatest(F.least(F.lit(BLOCK_ROWS), F.expr(f"{ACCUMULATED} div peers")), F.lit(1)).cast("long")
     groups = stored(known.withColumn("rows", rows).withColumn("blocks", F.ceil(F.col("peers") / F.col("rows")).cast("long")))
     valued = stored(

@@ -61,7 +61,7 @@ def test_against_every_pair_and_term(spark):
 
 
 def test_many_shards_blocks_and_parts_agree(spark, monkeypatch):
-    for name, value in (("SHARD_POSTINGS", 100), ("BLOCK_ROWS", 2), ("HELD_TERMS", 20), ("PART_BYTES", 64), ("SALTS", 3)):
+    for name, value in (("SHARD_POSTINGS", 10), ("MOST_POSTINGS", 100), ("BLOCK_ROWS", 2), ("HELD_TERMS", 20), ("PART_BYTES", 64), ("SALTS", 3)):
         monkeypatch.setattr(divergence, name, value)
     rows = texts(120)
     assert result(audit(frame(spark, rows), min_docs=4, top=3)) == brute(rows, 4, 3)
