@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+import threading
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -24,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimlens.llm.texts import trimmed
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """Token bytes and ranks of a rank file (base64 token, blank, rank on each line)."""
@@ -219,6 +222,17 @@ class Transducer:
         return b"".join(out)
 
 
+def public_pattern() -> str | None:
+    """The pattern of the public tokenizers, where they are installed."""
+    try:
+        import public_tokenizers
+    except ModuleNotFoundError as missing:
+        if missing.name != "public_tokenizers":
+            raise
+        return None
+    return public_tokenizers.PATTERN
+
+
 class Remembered(dict):
     """Results by key. When full, all but those of the last generation are dropped; results never change."""
 
@@ -253,10 +267,11 @@ class Pieces(Remembered):
 
 
 class Encoder(Remembered):
-    """Texts to packed ids. Words with the blank before them are remembered.
+    """Texts to packed ids. With the public pattern, words with the blank before them are remembered.
 
-    The public patterns always part a text before a blank that a character other than white space
-    follows, so what stands between two such blanks is matched, and remembered, on its own.
+    That pattern always parts a text before a blank that a character other than white space follows, so what
+    stands between two such blanks is matched, and remembered, on its own. With any other pattern, whole texts
+    are matched and only the matches are remembered.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 250_000):
@@ -264,7 +279,9 @@ class Encoder(Remembered):
         self.pieces = Pieces(Transducer(ranks), most // 4)
         self.matches = regex.compile(pattern).findall
         self.odd = regex.compile(r" (?:\s|$)").search
-        self.regular = self.matches(" abé") == [" abé"] and self.matches(" ab" + MARKS) == [" ab", MARKS]
+        # what the shortcut knows of words holds for this one pattern; others are asked about every word
+        self.known = pattern == public_pattern()
+        self.regular = self.known
 
     def compute(self, word: str) -> bytes:
         letters = word.rstrip(MARKS)
@@ -280,6 +297,8 @@ class Encoder(Remembered):
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if not self.known:
+            return self.plain(text)
         words = text.split(" ")
         if self.odd(text):
             joined = words[:1]
@@ -331,10 +350,15 @@ def decode_text(ids: np.ndarray, tokens: list[bytes], block: int = 1 << 16) -> s
 
 
 _made: dict[tuple[str, str], Encoder] = {}
+_rest: list[threading.Timer] = []
+#: A worker that has had no task for so many seconds gives its states and remembered words back.
+IDLE_SECONDS = 1.5
 
 
 def _encoder(ranks: dict[bytes, int], pattern: str) -> Encoder:
     """The encoder of this worker process; it keeps its states from one task to the next."""
+    while _rest:
+        _rest.pop().cancel()
     key = (hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest(), pattern)
     if key not in _made:
         _made.clear()
@@ -342,31 +366,56 @@ def _encoder(ranks: dict[bytes, int], pattern: str) -> Encoder:
     return _made[key]
 
 
-def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """(doc_id, ids) of every row: ``ids`` are packed little-endian unsigned 32-bit token ids.
+def _forget() -> None:
+    _made.clear()
+    gc.collect()
+    trimmed()
 
-    Whole texts, no special tokens. Null and empty texts have no ids. Every row gives a row, repeated ones
-    too; other columns are not read. ``ranks`` must hold all 256 single bytes, and is broadcast (its size is
-    that of the vocabulary).
-    """
+
+def _task_over() -> None:
+    """Idle workers are small: other operators' tasks share the executor's memory with them."""
+    timer = threading.Timer(IDLE_SECONDS, _forget)
+    timer.daemon = True
+    _rest.append(timer)
+    timer.start()
+
+
+def _mapped(docs: DataFrame, ranks: dict[bytes, int], pattern: str, decode: bool) -> DataFrame:
     if any(bytes([b]) not in ranks for b in range(256)):
         raise ValueError("the ranks lack single bytes")
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (shared._jbroadcast_id if hasattr(shared, "_jbroadcast_id") else id(shared), pattern)
         encoder = _encoder(shared.value, pattern)
+        tokens = [b""] * (max(shared.value.values()) + 1)
+        for token, i in shared.value.items():
+            tokens[i] = token
         gc.disable()  # states form no cycles that are dropped, and searching them for some is slow
         try:
             for batch in batches:
                 ids, texts = batch.column(0), batch.column(1)
                 for a in range(0, len(batch), 256):
                     part = [encoder.encode(t.as_py()) for t in texts.slice(a, 256)]
-                    yield pa.RecordBatch.from_arrays([ids.slice(a, 256), pa.array(part, pa.binary())], names=["doc_id", "ids"])
+                    columns = [ids.slice(a, 256), pa.array(part, pa.binary())]
+                    if decode:
+                        columns.append(pa.array([decode_text(np.frombuffer(x, "<u4"), tokens) for x in part], pa.string()))
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "text"][: len(columns)])
         finally:
             gc.enable()
+            _task_over()
+
+    schema = "doc_id long, ids binary" + (", text string" if decode else "")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, schema)
+
+
+def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """(doc_id, ids) of every row: ``ids`` are packed little-endian unsigned 32-bit token ids.
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, ids binary")
+    Whole texts, no special tokens. Null and empty texts have no ids. Every row gives a row, repeated ones
+    too; other columns are not read. ``ranks`` must hold all 256 single bytes, and is broadcast (its size is
+    that of the vocabulary).
+    """
+    return _mapped(docs, ranks, pattern, decode=False)
 
 
 def decoded(tokens: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -385,9 +434,8 @@ def decoded(tokens: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """Encode and decode every document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    both = decoded(encoded(docs, ranks, pattern), ranks)
-    return both.select(
+    """Encode every document and decode its ids, in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    return _mapped(docs, ranks, pattern, decode=True).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

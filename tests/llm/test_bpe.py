@@ -75,3 +75,22 @@ def test_documents(spark, hard, hard_rows, empty):
     assert bpe.digests(empty, RANKS, PATTERN).count() == 0
     with pytest.raises(ValueError):
         bpe.encoded(hard, {b"a": 0}, PATTERN)
+
+
+@pytest.mark.parametrize("pattern", [r" ?\p{L}{1,5}|[^\p{L}]", r"\p{L}+|\s+|[^\p{L}\s]", r".{1,7}|\n", r" ?[a-z]+[.,]?|[\s\S]"])
+def test_other_patterns(pattern):
+    other = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=RANKS, special_tokens={})
+    encoder = bpe.Encoder(RANKS, pattern)
+    for text in ("the international information", " a  b\nc. The,end", "éß日本 x" * 5, "abé ab.,!?;:%*&$#", ""):
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == other.encode_ordinary(text)
+
+
+def test_an_idle_worker_forgets(monkeypatch):
+    monkeypatch.setattr(bpe, "IDLE_SECONDS", 0.05)
+    ranks = {bytes([b]): b for b in range(256)}
+    encoder = bpe._encoder(ranks, PATTERN)
+    bpe._task_over()
+    assert bpe._encoder(ranks, PATTERN) is encoder  # the next task came in time
+    bpe._task_over()
+    bpe._rest[-1].join(5)
+    assert not bpe._made and bpe._encoder(ranks, PATTERN).encode("ab") == encoder.encode("ab")
