@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from claimlens.llm.texts import grams, slices, words
 
 LEAST = 5
+#: One tile of so many words is a leak by itself.
+LONG_TILE = 13
 BLOCK_BYTES = 8 << 20
 _MODULUS = (1 << 61) - 1
 _BASE = 1_000_003
@@ -122,8 +124,14 @@ def block_of(table: pa.Table) -> Block:
     return Block(np.array(ids), held, seeds[order], items[order], spots[order])
 
 
-def leaks(block: Block, hashes: np.ndarray, seeds: np.ndarray, places: np.ndarray, share: float) -> Iterator[tuple[int, int, int, int]]:
-    """(item index, words of the item, covered words, tiles) for one document.
+def _longest_run(places: np.ndarray) -> int:
+    """Most consecutive numbers in an ascending array."""
+    cuts = np.flatnonzero(np.diff(places, prepend=-9, append=-9) != 1)
+    return int(np.diff(cuts).max(initial=0))
+
+
+def leaks(block: Block, hashes: np.ndarray, seeds: np.ndarray, places: np.ndarray, share: float, long_tile: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(item index, words of the item, covered words, tiles, words of the longest tile) for one document.
 
     ``seeds`` and ``places`` are the document's seeds that occur in the block, and their first words.
     """
@@ -137,13 +145,14 @@ def leaks(block: Block, hashes: np.ndarray, seeds: np.ndarray, places: np.ndarra
     for item in np.unique(items).tolist():
         units = block.words[item]
         # tiles lie inside the words that shared seeds cover
-        if len(np.unique((spots[items == item][:, None] + np.arange(LEAST)).ravel())) < share * len(units):
+        within = np.unique((spots[items == item][:, None] + np.arange(LEAST)).ravel())
+        if len(within) < share * len(units) and _longest_run(within) < long_tile:
             continue
         text = text if text is not None else hashes[covered].tolist()
         found = tiles(units.tolist(), text, breaks)
-        total = sum(k for k, _, _ in found)
-        if total >= share * len(units):
-            yield item, len(units), total, len(found)
+        total, longest = sum(k for k, _, _ in found), max((k for k, _, _ in found), default=0)
+        if found and (total >= share * len(units) or longest >= long_tile):
+            yield item, len(units), total, len(found), longest
 
 
 def blocks_of(benchmark: DataFrame, block_bytes: int) -> Iterator[Block]:
@@ -155,8 +164,8 @@ def blocks_of(benchmark: DataFrame, block_bytes: int) -> Iterator[Block]:
         yield block_of(items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == number).toArrow())
 
 
-def judged(block: Block, batch: pa.RecordBatch, share: float, text: str = "text") -> Iterator[tuple[int, int, int, int, int]]:
-    """(row, item index, words of the item, covered words, tiles) of all leaks into the rows of a batch."""
+def judged(block: Block, batch: pa.RecordBatch, share: float, long_tile: int, text: str = "text") -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(row, item index, words of the item, covered words, tiles, longest tile) of all leaks into the rows of a batch."""
     if not len(block.seeds):
         return
     numbered = pa.RecordBatch.from_arrays([pa.array(np.arange(len(batch))), batch.column(batch.schema.get_field_index(text))], names=["row", "text"])
@@ -168,7 +177,7 @@ def judged(block: Block, batch: pa.RecordBatch, share: float, text: str = "text"
         doc = np.searchsorted(w.offsets, places, "right") - 1
         for k in np.unique(doc):
             first, own = w.offsets[k], places[doc == k]
-            for found in leaks(block, w.hashes[first : w.offsets[k + 1]], h[own], own - first, share):
+            for found in leaks(block, w.hashes[first : w.offsets[k + 1]], h[own], own - first, share, long_tile):
                 yield int(s.ids[k]), *found
 
 
@@ -179,15 +188,17 @@ RESULT = pa.schema(
         ("item_words", pa.int32()),
         ("covered_words", pa.int32()),
         ("n_tiles", pa.int32()),
+        ("longest_tile", pa.int32()),
         ("coverage", pa.float64()),
     ]
 )
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, item_id, item_words, covered_words, n_tiles, coverage) where coverage reaches ``share``.
+def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, block_bytes: int = BLOCK_BYTES, long_tile: int = LONG_TILE) -> DataFrame:
+    """(doc_id, item_id, item_words, covered_words, n_tiles, longest_tile, coverage) of every leak.
 
-    Whole texts; null and empty texts and items leak nothing, nor do items of fewer than ``LEAST`` words.
+    An item leaks where its tiles cover ``share`` of its words, or where one tile alone has ``long_tile`` words,
+    however long the item is. Whole texts; null and empty texts and items leak nothing, nor do items of fewer than ``LEAST`` words.
     Repeated rows are judged one by one and repeat their result; a null id stays null. Other columns are not read.
     """
     out = None
@@ -197,18 +208,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, bloc
         def rows(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
             for batch in batches:
-                found = list(judged(items, batch, share))
+                found = list(judged(items, batch, share, long_tile))
                 ids = batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))
-                columns = [[items.ids[f[1]] for f in found], *[[f[k] for f in found] for k in (2, 3, 4)], [f[3] / f[2] for f in found]]
+                columns = [[items.ids[f[1]] for f in found], *[[f[k] for f in found] for k in (2, 3, 4, 5)], [f[3] / f[2] for f in found]]
                 yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, t) for c, t in zip(columns, RESULT.types[1:], strict=True)]], schema=RESULT)
 
-        schema = "doc_id long, item_id long, item_words int, covered_words int, n_tiles int, coverage double"
+        schema = "doc_id long, item_id long, item_words int, covered_words int, n_tiles int, longest_tile int, coverage double"
         part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, schema)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, block_bytes: int = BLOCK_BYTES, long_tile: int = LONG_TILE) -> DataFrame:
     """The rows of ``docs`` into which no item leaks, with all their columns; rows are judged in place."""
     for block in blocks_of(benchmark, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(block)
@@ -216,7 +227,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, bl
         def rows(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(len(batch), bool)
-                keep[[f[0] for f in judged(shared.value, batch, share)]] = False
+                keep[[f[0] for f in judged(shared.value, batch, share, long_tile)]] = False
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(rows, docs.schema)

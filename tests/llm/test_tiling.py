@@ -39,6 +39,13 @@ def covered(item, text):
     return sum(k for k, _, _ in naive(a, b, tiling.LEAST)) / max(len(a), 1)
 
 
+def leaky_by(item, text, share=0.5):
+    """Whether the item leaks: by the share that its tiles cover, or by one long tile."""
+    plain = lambda t: "".join(c if c.isalnum() or ord(c) > 127 else " " for c in t.lower()).split()
+    longest = max((k for k, _, _ in naive(plain(item), plain(text), tiling.LEAST)), default=0)
+    return covered(item, text) >= share or longest >= tiling.LONG_TILE
+
+
 def test_contamination_matches_brute_force(spark):
     rng = random.Random(3)
     items = [invented(rng, rng.randint(8, 40)) for _ in range(8)] + ["too short", None, ""]
@@ -55,7 +62,7 @@ def test_contamination_matches_brute_force(spark):
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, item_id int")
     benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     want = sorted(
-        ((i, k, round(covered(item, t), 9)) for i, t in rows if t for k, item in enumerate(items) if item and len(item.split()) >= 5 and covered(item, t) >= 0.5),
+        ((i, k, round(covered(item, t), 9)) for i, t in rows if t for k, item in enumerate(items) if item and len(item.split()) >= 5 and leaky_by(item, t)),
         key=repr,
     )
     for block_bytes in (1 << 20, 300):
@@ -63,7 +70,7 @@ def test_contamination_matches_brute_force(spark):
         assert sorted(((r.doc_id, r.item_id, round(r.coverage, 9)) for r in got), key=repr) == want
     clean = tiling.decontaminated(docs, benchmark, block_bytes=300)
     assert clean.columns == docs.columns
-    leaky = lambda t: any(item and len(item.split()) >= 5 and covered(item, t) >= 0.5 for item in items)
+    leaky = lambda t: any(item and len(item.split()) >= 5 and leaky_by(item, t) for item in items)
     assert sorted((r.doc_id for r in clean.collect()), key=repr) == sorted((i for i, t in rows if not t or not leaky(t)), key=repr)
 
 
@@ -73,3 +80,16 @@ def test_empty_tables(spark, empty):
     docs = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
     assert tiling.contaminated(docs, items.limit(0)).count() == 0
     assert tiling.decontaminated(docs, items.limit(0)).count() == 1
+
+
+def test_a_long_passage_of_a_long_item_leaks(spark):
+    rng = random.Random(8)
+    item = invented(rng, 120, 10**6)
+    words = item.split()
+    texts = [" ".join(words[30:85]), " ".join(words[:13]), " ".join(words[:12]), " ".join([*words[:8], "x", *words[20:32]])]
+    texts = [f"{invented(rng, 20, 10**6)} {t} {invented(rng, 20, 10**6)}" for t in texts] + [" ".join([*["filler"] * 60_000, *words[50:63], *["more"] * 60_000])]
+    docs = spark.createDataFrame([(i, t, 5, 0.1) for i, t in enumerate(texts)], "doc_id long, text string, item_id int, coverage double")
+    benchmark = spark.createDataFrame([(1, item, "x", 3)], "item_id long, text string, doc_id string, n_tiles int")
+    found = {r.doc_id: (r.covered_words, r.longest_tile) for r in tiling.contaminated(docs, benchmark).collect()}
+    assert found == {0: (55, 55), 1: (13, 13), 4: (13, 13)}
+    assert sorted(r.doc_id for r in tiling.decontaminated(docs, benchmark).collect()) == [2, 3]
