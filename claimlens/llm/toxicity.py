@@ -9,6 +9,7 @@ of the number of words, gives the score.
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.llm.labelled import remainder, training_rows
+from claimlens.llm.texts import trimmed
 from claimlens.session import stored
 
 # Signs and digits read as letters, and letters of other scripts that look like Latin ones.
@@ -55,6 +57,9 @@ def folded(text: str | None) -> str:
     return " " + "".join(w + " " for w in (text or "").translate(_FOLDING).split())
 
 
+HELD_ITEMS = 100_000
+
+
 @dataclass
 class ToxicityModel:
     """Weights of word beginnings, exception phrases, and the logistic curve."""
@@ -112,34 +117,40 @@ def beginnings(text: str | None, shortest: int, longest: int) -> set[str]:
 
 
 def _counted(docs: DataFrame, of, schema: str) -> DataFrame:
-    """Sum of what ``of`` counts in the texts of each Arrow batch: (item, n)."""
+    """Sum of what ``of`` counts in the texts: (item, n). A task holds ``HELD_ITEMS`` different items or one text's."""
+
+    def sent(counts: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["item", "n"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = Counter()
-            for text in batch.column(0).to_pylist():
-                counts.update(of(text))
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["item", "n"])
+            for text in batch.column(0):
+                counts.update(of(text.as_py()))
+                if len(counts) > HELD_ITEMS:
+                    yield sent(counts)
+                    counts = Counter()
+            yield sent(counts)
+        trimmed()
 
     return docs.select("text").mapInArrow(rows, schema).groupBy("item").agg(F.sum("n").alias("n"))
 
 
-def _gain(a: float, b: float, n1: float, n0: float) -> float:
-    """Log-likelihood gain of splitting n1 toxic and n0 clean texts by an entry found in a and b of them."""
-    p = (a + b) / (n1 + n0)
-    parts = ((a, n1 * p), (b, n0 * p), (n1 - a, n1 * (1 - p)), (n0 - b, n0 * (1 - p)))
-    return 2 * sum(o * np.log(o / e) for o, e in parts if o > 0 and e > 0)
+def _candidates(toxic: DataFrame, clean: DataFrame, n1: int, n0: int) -> DataFrame:
+    """(item, n, odds) of the entries that mark toxic texts, each on its own, best first by gain.
 
-
-def _candidates(toxic: dict[str, int], clean: dict[str, int], n1: int, n0: int, most: int = 20_000) -> dict[str, float]:
-    """Log odds of the entries that mark toxic texts best, each on its own."""
-    ranked, least = [], 15 + 2 * np.log(max(len(toxic), 1))  # more candidates, more chance findings
-    for item, a in toxic.items():
-        b = clean.get(item, 0)
-        odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
-        if odds > 2 and (gain := _gain(a, b, n1, n0)) > least:
-            ranked.append((-gain, -len(item), item, float(odds)))
-    return {item: odds for _, _, item, odds in sorted(ranked)[:most]}
+    Toxic and clean counts are joined in Spark, and none is cut. An entry passes if its log odds exceed 2 and its
+    log-likelihood gain, the gain of splitting the texts by it, exceeds a threshold that rises with the number of
+    entries tested.
+    """
+    least = 15 + 2 * math.log(max(toxic.count(), 1))  # more candidates, more chance findings
+    both = toxic.withColumnRenamed("n", "a").join(clean.withColumnRenamed("n", "b"), "item", "left").na.fill(0, ["b"])
+    a, b, p = F.col("a"), F.col("b"), (F.col("a") + F.col("b")) / F.lit(n1 + n0)
+    odds = F.log((a + 0.5) / (n1 - a + 0.5)) - F.log((b + 0.5) / (n0 - b + 0.5))
+    part = lambda seen, expected: F.when((seen > 0) & (expected > 0), seen * F.log(seen / expected)).otherwise(0.0)
+    gain = 2 * (part(a, n1 * p) + part(b, n0 * p) + part(n1 - a, n1 * (1 - p)) + part(n0 - b, n0 * (1 - p)))
+    judged = both.select("item", a.alias("n"), odds.alias("odds"), gain.alias("gain")).filter((F.col("odds") > 2) & (F.col("gain") > least))
+    return judged.orderBy(F.desc("gain"), F.desc(F.length("item")), "item")
 
 
 def _chosen(odds: dict[str, float], contexts: dict[str, set[str]], toxic: dict[str, int], most: int) -> dict[str, float]:
@@ -173,8 +184,10 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 def fit(docs: DataFrame, labels: DataFrame, held_out, per_class: int = 8000, shortest: int = 4, longest: int = 10, entries: int = 2000) -> ToxicityModel:
     """Learn lexicon, exceptions and curve from ``per_class`` rows of each class at most, outside ``held_out``.
 
-    The bounds on rows and on lexicon entries are the only limits; both are parameters. Without rows of
-    both classes there is no lexicon, and every score is the only label seen, or 0.
+    The bounds on rows (``per_class``) and on lexicon entries and exception phrases (``entries`` of each, the best
+    first) are the only limits. What passes the thresholds on its own is collected: of 2 ``per_class`` texts, a
+    number that these bounds limit. Without rows of both classes there is no lexicon, and every score is the only
+    label seen, or 0.
     """
     sample = stored(training_rows(docs, labels, "toxic", held_out, per_class).select("text", "label"))
     size = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -183,11 +196,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, per_class: int = 8000, sho
         return ToxicityModel({}, prior=1.0 if n1 else 0.0)
     toxic, clean = sample.filter("label = 1"), sample.filter("label = 0")
     least = max(3, n1 // 500)
-    found = _counted(toxic, lambda t: beginnings(t, shortest, longest), "item string, n long").filter(F.col("n") >= least)
-    a = {r.item: r.n for r in found.orderBy(F.desc("n"), "item").limit(200_000).collect()}
-    wanted = sample.sparkSession.sparkContext.broadcast(set(a))
-    b = {r.item: r.n for r in _counted(clean, lambda t: beginnings(t, shortest, longest) & wanted.value, "item string, n long").collect()}
-    odds = _candidates(a, b, n1, n0)
+    of = lambda texts: _counted(texts, lambda t: beginnings(t, shortest, longest), "item string, n long")
+    found = stored(of(toxic).filter(F.col("n") >= least))
+    passed = _candidates(found, of(clean), n1, n0).collect()
+    odds, a = {r.item: r.odds for r in passed}, {r.item: r.n for r in passed}
     asked = sample.sparkSession.sparkContext.broadcast(set(odds))
 
     def met(text: str | None) -> set[str]:
