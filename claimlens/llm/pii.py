@@ -350,13 +350,16 @@ def pseudonymised(docs: DataFrame, key: str, back: bool = False, text: str = "te
     likely = column.rlike("[0-9@]")
     found = F.when(likely, F.regexp_extract_all(column, F.lit(FOUND), 0)).otherwise(F.array().cast("array<string>"))
     moved = F.transform(found, lambda m: F.struct(m.alias("old"), pseudonym(m, key, back).alias("new")))
-    marked = docs.withColumn("__candidates__", F.when(column.isNotNull(), moved))
+    held = "__candidates__"
+    while held.lower() in {c.lower() for c in docs.columns}:  # a caller's column keeps its name
+        held += "_"
+    marked = docs.withColumn(held, F.when(column.isNotNull(), moved))
     pieces = F.split(column, FOUND, -1)
     joined = F.array_join(
-        F.zip_with(pieces, F.col("__candidates__"), lambda p, x: F.concat(p, F.coalesce(x["new"], x["old"], F.lit("")))), ""
+        F.zip_with(pieces, F.col(held), lambda p, x: F.concat(p, F.coalesce(x["new"], x["old"], F.lit("")))), ""
     )
-    new = F.filter("__candidates__", lambda x: x["new"].isNotNull())
+    new = F.filter(held, lambda x: x["new"].isNotNull())
     number = F.transform(new, lambda x: F.when(x["old"].rlike("^(?:" + PATTERNS["card"] + ")$"), _run_values(x["old"])).otherwise(1))
     n = F.coalesce(F.aggregate(number, F.lit(0), lambda a, x: a + x), F.lit(0))
-    changed = marked.withColumns({"n_replaced": F.when(F.col("__candidates__").isNull(), 0).otherwise(n), text: F.when(F.size("__candidates__") > 0, joined).otherwise(column)})
-    return changed.drop("__candidates__")
+    changed = marked.withColumns({"n_replaced": F.when(F.col(held).isNull(), 0).otherwise(n), text: F.when(F.size(held) > 0, joined).otherwise(column)})
+    return changed.drop(held)

@@ -101,3 +101,11 @@ def test_values_beside_short_numbers_and_capital_words(spark):
     assert out[texts.index("4111 1111 1111 1111 5500 0000 0000 0004")].n_replaced == 2
     back = {r.doc_id: r.text for r in pii.pseudonymised(there, "secret", back=True).collect()}
     assert back == dict(enumerate(texts))
+
+
+def test_clashing_columns_survive(spark):
+    docs = spark.createDataFrame([(1, "a@b.example and 4111 1111 1111 1111", "mine", 3)], "doc_id int, text string, __candidates__ string, __Candidates___ int")
+    out = pii.pseudonymised(docs, "secret")
+    assert out.columns == [*docs.columns, "n_replaced"]
+    row = out.first()
+    assert (row["__candidates__"], row["__Candidates___"]) == ("mine", 3) and "4111 1111" not in row.text
