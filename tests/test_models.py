@@ -233,14 +233,14 @@ def test_saved_models_are_evaluated_when_results_are_gone(spark, frame, prepared
     assert registry.entries().count() == 1
 
 
-@pytest.mark.parametrize("file_format", ["csv", "parquet"])
-def test_scoring_from_file_to_file(spark, frame, prepared, tmp_path, file_format):
+@pytest.mark.parametrize(("file_format", "name"), [("csv", "Logistic Regression"), ("parquet", "Multilayer Perceptron")])
+def test_scoring_from_file_to_file(spark, frame, prepared, tmp_path, file_format, name):
     registry = Registry(spark, str(tmp_path / "registry"))
-    pipeline = PipelineModel([*prepared.stages, models.fit_model("Logistic Regression", prepared, FEW)])
-    registry.save(pipeline, TARGET, "Logistic Regression", prepared.names, 0.9, datetime(2020, 1, 1))
+    pipeline = PipelineModel([*prepared.stages, models.fit_model(name, prepared, FEW)])
+    registry.save(pipeline, TARGET, name, prepared.names, 0.9, datetime(2020, 1, 1))
     source = str(tmp_path / "rows.csv")
     frame.withColumn("extra", F.lit(1)).write.option("header", True).csv(source)
-    out, unused = score_file(spark, registry, TARGET, "Logistic Regression", source, str(tmp_path / "out"), ["clm_id"], file_format)
+    out, unused = score_file(spark, registry, TARGET, name, source, str(tmp_path / "out"), ["clm_id"], file_format)
     assert unused == ["desynpuf_id", "extra", "label"]
     plan = models.batch_score(pipeline, read_features(spark, source, prepared.types), prepared.names)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan csv") == 1
@@ -248,7 +248,7 @@ def test_scoring_from_file_to_file(spark, frame, prepared, tmp_path, file_format
     broken = frame.withColumn("a", F.when(F.col("clm_id") == 7, F.lit("much")).otherwise(F.col("a").cast("string")))
     broken.write.option("header", True).csv(str(tmp_path / "broken.csv"))
     with pytest.raises(Exception, match="column a holds no double: much"):
-        score_file(spark, registry, TARGET, "Logistic Regression", str(tmp_path / "broken.csv"), str(tmp_path / "y"))
+        score_file(spark, registry, TARGET, name, str(tmp_path / "broken.csv"), str(tmp_path / "y"))
     frame.drop("noise").write.option("header", True).csv(str(tmp_path / "short.csv"))
     with pytest.raises(ValueError, match="missing features: noise"):
-        score_file(spark, registry, TARGET, "Logistic Regression", str(tmp_path / "short.csv"), str(tmp_path / "x"))
+        score_file(spark, registry, TARGET, name, str(tmp_path / "short.csv"), str(tmp_path / "x"))

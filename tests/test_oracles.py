@@ -1,5 +1,9 @@
 """Every registered query against its oracle SQL, on the smallest given tables."""
 
+import os
+import subprocess
+import sys
+
 import compare
 import pytest
 
@@ -16,7 +20,7 @@ def duck():
 
 # Minutes each at their full settings; tests/test_models.py covers the operators with small ones, and
 # tests/compare.py runs them in full.
-LONG = {"model_gbt", "model_gbt_weighted", "model_mlp", "train_horizon", "cross_validation"}
+LONG = {"model_gbt", "model_gbt_weighted", "model_mlp", "train_horizon", "cross_validation", "saved_models"}
 LLM = {n for n in SQL if n.startswith("op")}
 
 
@@ -43,3 +47,9 @@ def test_known_totals(spark):
     assert (kpi.inpatient_claims, kpi.unique_patients) == (10021, 1500)
     years = {r.year: r.n for r in queries["latest_beneficiary"](spark, folder).groupBy("year").count().withColumnRenamed("count", "n").collect()}
     assert years == {2001: 1500}
+
+
+def test_other_queries_work_without_a_package_of_the_corpus_operators(tmp_path):
+    code = "import sys; sys.modules['ahocorasick'] = None; sys.modules['regex'] = None; import __spark_entry__ as e; print(len(e.queries()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.abspath(entry.__file__)), capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0 and int(done.stdout.split()[-1]) == len([n for n in entry.queries() if not n.startswith("op") and n != "pipeline"])

@@ -101,11 +101,14 @@ def test_pipeline(spark, folder, tmp_path):
     assert sections == {"data", "best_model", "risk_factor", "savings"}
     assert out["costs"].count() == 2 and out["performance"].count() == 9
     assert out["roc"].count() > 9 and out["treatment_plan"].count() == out["tiers"].count() > 0
-    assert out["factors"].count() > 0 and out["importances"].count() > 0
+    assert out["factors"].count() > 0
+    assert {r.target for r in out["importances"].select("target").distinct().collect()} == {"readmit_30", "readmit_90"}
     assert spark.read.option("header", True).csv(f"{tmp_path}/reports/performance").count() == 9
     assert spark.read.option("header", True).csv(f"{tmp_path}/reports/predictions").count() == out["tiers"].count()
-    again = run_pipeline(spark, readers.default_sources(folder), str(tmp_path), FEW, horizons=[30], cross_validation=False)
-    assert {r.section for r in again["summary"].collect()} == sections
+    again = run_pipeline(spark, readers.default_sources(folder), str(tmp_path), FEW, horizons=[30, 90], cross_validation=False, factors_of=90)
+    assert {r.section for r in again["summary"].collect()} == sections and again["factors"].count() > 0
+    with pytest.raises(ValueError, match="readmit_60 was not trained"):
+        run_pipeline(spark, readers.default_sources(folder), str(tmp_path), FEW, horizons=[30], cross_validation=False, factors_of=60)
 
 
 def test_pipeline_without_claims(spark, tmp_path):
