@@ -505,14 +505,14 @@ def all_sql() -> dict[str, str]:
             ]
         },
         "train_horizon": f"""{_with(CLAIMS, LABELLED, _split("readmit_30"))} SELECT 'readmit_30' AS target, model, count(*) AS n,
-            CAST(sum(label) AS BIGINT) AS positives, TRUE AS rates_agree, TRUE AS ranks_better_than_chance
+            CAST(sum(label) AS BIGINT) AS positives, TRUE AS rates_agree, TRUE AS ranks
             FROM split CROSS JOIN (VALUES ('Logistic Regression'), ('Random Forest'), ('Gradient Boosting'),
             ('Weighted Gradient Boosting')) m(model) WHERE is_test GROUP BY model""",
         "cross_validation": f"""{_with(CLAIMS, LABELLED, _split("readmit_30"))}, folded AS (
               SELECT CAST({" + ".join(f"(CASE WHEN k > round(n * {i / folds}) THEN 1 ELSE 0 END)" for i in range(1, folds))} AS INTEGER) AS fold FROM (
                 SELECT *, row_number() OVER (PARTITION BY label ORDER BY h) AS k, count(*) OVER (PARTITION BY label) AS n FROM (
                   SELECT label, {_hash(43)} AS h FROM split WHERE NOT is_test)))
-            SELECT 'readmit_30' AS target, model, fold, count(*) AS n, TRUE AS auc_in_range, TRUE AS mean_beats_chance
+            SELECT 'readmit_30' AS target, model, fold, count(*) AS n, TRUE AS auc_in_range, TRUE AS ranks
             FROM folded CROSS JOIN (VALUES ('Logistic Regression'), ('Random Forest'), ('Gradient Boosting'),
             ('Weighted Gradient Boosting')) m(model) GROUP BY model, fold""",
         "feature_importance": """SELECT 'Random Forest' AS model, 10 AS factors, TRUE AS ranked, TRUE AS a_share, CAST(0 AS DOUBLE) AS residual""",

