@@ -529,6 +529,15 @@ def all_sql() -> dict[str, str]:
             FROM metrics JOIN (SELECT target, model, count(*) AS rows, CAST(sum(label) AS BIGINT) AS positives FROM predictions
             GROUP BY target, model) USING (target, model)""",
         "features_from_file": f"""{frame} SELECT clm_id, {", ".join(_r(c) for c in FEATURES)} FROM frame""",
+        "profile_of_file": """WITH p AS (SELECT c_custkey AS x, CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS sex,
+              c_mktsegment AS race FROM customer),
+            b AS (SELECT CAST(min(x) AS DOUBLE) AS lo, CAST(max(x) AS DOUBLE) AS hi FROM p)
+            SELECT 'gender_source_value' AS variable, 'count' AS statistic, sex AS item, CAST(count(*) AS DOUBLE) AS value FROM p GROUP BY sex
+            UNION ALL SELECT 'race_source_value', 'count', race, CAST(count(*) AS DOUBLE) FROM p GROUP BY race
+            UNION ALL SELECT 'person_id', 'histogram', CAST(i AS VARCHAR), CAST(count(bin) AS DOUBLE) FROM range(5) t(i) LEFT JOIN (
+              SELECT least(CAST(floor((x - lo) / (hi - lo) * 5) AS INTEGER), 4) AS bin FROM p CROSS JOIN b) ON bin = i GROUP BY i
+            UNION ALL SELECT 'person_id', 'mean', '', round(avg(x), 6) FROM p
+            UNION ALL SELECT 'person_id', 'median', '', round(CAST(quantile_cont(x, 0.5) AS DOUBLE), 6) FROM p""",
         "preview_count": "SELECT CAST(20 AS BIGINT) AS n, CAST(20 AS BIGINT) AS claims",
         "best_model_insight": f"""{measured},{_best("metrics")} SELECT target, model, {_r("auc")} FROM best""",
         "performance_summary_folds": f"""{measured}, folded AS (
