@@ -252,3 +252,8 @@ def test_scoring_from_file_to_file(spark, frame, prepared, tmp_path, file_format
     frame.drop("noise").write.option("header", True).csv(str(tmp_path / "short.csv"))
     with pytest.raises(ValueError, match="missing features: noise"):
         score_file(spark, registry, TARGET, name, str(tmp_path / "short.csv"), str(tmp_path / "x"))
+
+
+def test_tasks_of_a_fit_follow_cores_and_then_rows():
+    """Every task of a forest sends its sums of all open nodes, so tasks are not cut at few rows each."""
+    assert [models.fit_tasks(n, 8) for n in (0, 100, 80_000, 1_600_000, 4_800_000)] == [1, 1, 4, 8, 24]
