@@ -137,3 +137,14 @@ def test_null_groups_and_infinite_values(spark):
     rows = [("a", 1.0), ("a", float("inf")), ("a", float("-inf")), (None, 5.0), ("b", None)]
     out = order_statistics(spark.createDataFrame(rows, "g string, v double"), ["v"], {"m": quantile(0.5)}, by=["g"]).collect()
     assert [(r.g, r.n, r.m) for r in out] == [("a", 3, 1.0)]
+
+
+def test_later_rounds_read_only_columns_that_are_not_settled(spark, monkeypatch):
+    seen, holding = [], ordering._holding
+    monkeypatch.setattr(ordering, "_holding", lambda counts, places: (seen.append(counts), holding(counts, places))[1])
+    df = spark.createDataFrame([(1.0, 16 + i / 1000, None) for i in range(101)], "flag double, x double, none double")
+    found = ordering.order_statistics(df, ["flag", "x", "none"], {"m": ordering.quantile(0.5)})
+    assert {r.variable: r.m for r in found.collect()} == {"flag": 1.0, "x": 16.05}
+    plans = [c._jdf.queryExecution().executedPlan().toString() for c in seen]
+    assert len(plans) > 1 and all("_c1" in p for p in plans) and "_c0" in plans[0]
+    assert not any("_c0" in p or "_c2" in p for p in plans[1:])
