@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from claimlens.operators import evaluation, features
@@ -116,6 +117,26 @@ def test_no_task_orders_a_whole_column(spark):
         assert "range" in by
 
 
+def test_shuffle_files_end_with_a_stored_frame(spark):
+    """The table stands for the shuffle, so its files go at once, and the session keeps its own setting."""
+    import time
+
+    from claimlens.session import SHUFFLES_END, stored
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    setting, before = spark.conf.get(SHUFFLES_END), files()
+    kept = stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(SHUFFLES_END) == setting
+    assert kept.count() == 7
+
+
 def test_scratch_is_cleared(spark):
     import os
 
