@@ -276,7 +276,8 @@ class Encoder(Remembered):
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 250_000):
         super().__init__(most)
-        self.pieces = Pieces(Transducer(ranks), most // 4)
+        # as many as words: the same letters come again with other marks behind them
+        self.pieces = Pieces(Transducer(ranks), most)
         self.matches = regex.compile(pattern).findall
         self.odd = regex.compile(r" (?:\s|$)").search
         # what the shortcut knows of words holds for this one pattern; others are asked about every word
@@ -355,11 +356,19 @@ _rest: list[threading.Timer] = []
 IDLE_SECONDS = 1.5
 
 
-def _encoder(ranks: dict[bytes, int], pattern: str) -> Encoder:
-    """The encoder of this worker process; it keeps its states from one task to the next."""
+def _name(ranks: dict[bytes, int]) -> str:
+    """A digest of the vocabulary."""
+    return hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
+
+
+def _encoder(ranks: dict[bytes, int], pattern: str, name: str | None = None) -> Encoder:
+    """The encoder of this worker process; it keeps its states from one task to the next.
+
+    ``name``: the vocabulary's digest, which takes a third of a second to find; tasks get it from the driver.
+    """
     while _rest:
         _rest.pop().cancel()
-    key = (hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest(), pattern)
+    key = (name or _name(ranks), pattern)
     if key not in _made:
         _made.clear()
         _made[key] = Encoder(ranks, pattern)
@@ -383,10 +392,10 @@ def _task_over() -> None:
 def _mapped(docs: DataFrame, ranks: dict[bytes, int], pattern: str, decode: bool) -> DataFrame:
     if any(bytes([b]) not in ranks for b in range(256)):
         raise ValueError("the ranks lack single bytes")
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    shared, name = docs.sparkSession.sparkContext.broadcast(ranks), _name(ranks)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared.value, pattern)
+        encoder = _encoder(shared.value, pattern, name)
         tokens = [b""] * (max(shared.value.values()) + 1)
         for token, i in shared.value.items():
             tokens[i] = token

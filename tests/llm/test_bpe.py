@@ -94,3 +94,23 @@ def test_an_idle_worker_forgets(monkeypatch):
     bpe._task_over()
     bpe._rest[-1].join(5)
     assert not bpe._made and bpe._encoder(ranks, PATTERN).encode("ab") == encoder.encode("ab")
+
+
+def test_letters_are_remembered_for_other_marks(monkeypatch):
+    """As many pieces as words are kept, so letters that come again with another mark are not encoded again."""
+    encoder = bpe.Encoder(RANKS, PATTERN, most=40)
+    words = ["w" + "abcdefghij"[k % 10] + "klmnopqrst"[k // 10] * 3 for k in range(36)]
+    encoder.encode("x " + " ".join(words))
+    asked = []
+    encode = encoder.pieces.transducer.encode
+    monkeypatch.setattr(encoder.pieces.transducer, "encode", lambda piece: asked.append(piece) or encode(piece))
+    text = "x " + " ".join(w + "." for w in words)
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == OTHER.encode_ordinary(text)
+    assert asked == [b"."]
+
+
+def test_tasks_do_not_name_the_vocabulary(monkeypatch):
+    monkeypatch.setattr(bpe, "_name", lambda ranks: pytest.fail("a task found the digest again"))
+    ranks = {bytes([b]): b for b in range(256)}
+    assert bpe._encoder(ranks, PATTERN, "own") is bpe._encoder(ranks, PATTERN, "own")
+    bpe._made.clear()
