@@ -8,7 +8,7 @@ are added, and an adaptive map refines the mixed probability by what came true a
 Every context has counts of its own. Orders 0 to 2 have a table with a place for each of their 65,536
 contexts at most, which is broadcast. The counts of orders 3 to 5 are the six-byte strings of the training texts
 themselves: they grow with the corpus, lie in buckets by the three bytes before the last, and the different
-strings of each block of texts come to them and return as bits.
+strings of each block of texts come to them and return with their bits.
 
 Learning is online over the training documents. One part of them fills the predictors' counts; the other
 part then passes by in small steps, each predicting first and then moving the weights of its gate, in
@@ -119,6 +119,31 @@ def byte_grams(s: Slice) -> tuple[np.ndarray, np.ndarray]:
     return gram, at
 
 
+def table_slots(x: np.ndarray, bits: int) -> np.ndarray:
+    """Places of 64-bit numbers in a table of 2**bits."""
+    return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+class Places:
+    """Where numbers stand in an array of different ones that has them all."""
+
+    def __init__(self, values: np.ndarray):
+        self.values, self.bits = values, max(10, (3 * len(values)).bit_length())
+        slot, every = table_slots(values, self.bits), np.arange(len(values), dtype=np.int32)
+        self.table = np.zeros(1 << self.bits, np.int32)
+        self.table[slot] = every
+        self.lost_at = np.flatnonzero(self.table[slot] != every)
+        self.lost_at = self.lost_at[np.argsort(values[self.lost_at])]
+        self.lost = values[self.lost_at]
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        at = self.table[table_slots(x, self.bits)]
+        wrong = np.flatnonzero(self.values[at] != x)
+        if len(wrong):
+            at[wrong] = self.lost_at[np.searchsorted(self.lost, x[wrong])]
+        return at
+
+
 def gram_buckets(gram: np.ndarray, buckets: int) -> np.ndarray:
     """Buckets in which strings with the same three bytes before the last meet."""
     return (mixed((gram >> np.uint64(8)) & np.uint64(0xFFFFFF)) % np.uint64(buckets)).astype(np.int64)
@@ -353,11 +378,11 @@ def block_grams(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.
     trimmed()
 
 
-BITS = "block long, bucket long, bits binary"
+BITS = "block long, bucket long, grams binary, bits binary"
 
 
 def block_bits(known: pa.Table, wanted: pa.Table, mixer: Mixer) -> pa.Table:
-    """For each block, the bits of its different strings of one bucket in the order of the strings."""
+    """For each block, its different strings of one bucket and their bits."""
     counts = None
     for gram, counted, mix in _blobs(known.to_batches()):
         counts = Counts(gram, counted + mix)
@@ -365,15 +390,16 @@ def block_bits(known: pa.Table, wanted: pa.Table, mixer: Mixer) -> pa.Table:
     found = [np.frombuffer(x, "<u8") for x in wanted.column("wanted").to_pylist()]
     gram = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]))
     bits = np.concatenate([np.zeros(0), *[mixer.bits(gram[a : a + PART], counts) for a in range(0, len(gram), PART)]])
-    blocks, bucket, blobs = np.unique(block), wanted.column("bucket").to_pylist(), []
+    blocks, bucket, blobs, strings = np.unique(block), wanted.column("bucket").to_pylist(), [], []
     order = np.argsort(block, kind="stable")
     starts = np.append(np.searchsorted(block[order], blocks), len(block))
     for a, b in zip(starts, starts[1:], strict=False):
         # a block may come in two parts
         own = found[order[a]] if b - a == 1 else np.unique(np.concatenate([found[i] for i in order[a:b]]))
+        strings.append(own.tobytes())
         blobs.append(bits[np.searchsorted(gram, own)].astype("<f4").tobytes())
     trimmed()
-    return pa.table([pa.array(blocks, pa.int64()), pa.array(bucket[: len(blocks)], pa.int64()), pa.array(blobs, pa.binary())], names=["block", "bucket", "bits"])
+    return pa.table([pa.array(blocks, pa.int64()), pa.array(bucket[: len(blocks)], pa.int64()), pa.array(strings, pa.binary()), pa.array(blobs, pa.binary())], names=["block", "bucket", "grams", "bits"])
 
 
 def learned(docs: DataFrame, role: str, buckets: int, epochs: int = 2, batch: int = 4096) -> tuple[Mixer, DataFrame]:
@@ -464,27 +490,25 @@ def scored(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
         vocabulary = [np.zeros(0, np.uint64)]
         for s in slices(iter(batches)):
             vocabulary.append(np.unique(words(s, lower=True).hashes))
-        strings = np.unique(np.concatenate([np.zeros(0, np.uint64), *[np.unique(byte_grams(s)[0]) for s in slices(iter(batches), SLICE)]]))
-        string_bucket = gram_buckets(strings, many)
-        order = np.argsort(string_bucket, kind="stable")
-        string_bucket, cost = string_bucket[order], np.zeros(len(strings))
         known = np.unique(np.concatenate(vocabulary))
         number = (known % np.uint64(buckets)).astype(np.int64)
         corpus = np.zeros(len(known), np.int64)
-        for bucket, blob, bits in zip(*[c.column(x).to_pylist() for x in ("bucket", "counts", "bits")], strict=True):
+        strings, cost = [np.zeros(0, np.uint64)], [np.zeros(0)]
+        for bucket, blob, own, bits in zip(*[c.column(x).to_pylist() for x in ("bucket", "counts", "grams", "bits")], strict=True):
             if blob is not None:
                 corpus[number == bucket] = np.frombuffer(blob, "<u4")
             if bits is not None:
-                first, last = np.searchsorted(string_bucket, [bucket, bucket + 1])
-                cost[order[first:last]] = np.frombuffer(bits, "<f4")
+                strings.append(np.frombuffer(own, "<u8"))
+                cost.append(np.frombuffer(bits, "<f4").astype(np.float64))
         logs = np.log10(corpus + 1.0)
+        places, costs = Places(np.concatenate(strings)), np.concatenate(cost)
         columns: list[list] = [[] for _ in range(6)]
         for s in slices(iter(batches), SLICE):
             w = words(s, lower=True)
             at = np.searchsorted(known, w.hashes)
             doc, n = w.document(), len(s)
             gram, starts = byte_grams(s)
-            bits = cost[np.searchsorted(strings, gram)]
+            bits = costs[places.of(gram)]
             values = (
                 s.ids,
                 np.diff(w.offsets) + 1,

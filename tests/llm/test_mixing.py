@@ -122,3 +122,29 @@ def test_texts_of_the_mix_are_known(spark):
     rows.append((next(i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 == 2), passage))
     out = mixing.scored(spark.createDataFrame(rows, "doc_id long, text string"))
     assert out.filter("held_out").first().bits_per_byte < 3
+
+
+def test_places_of_strings_in_any_order():
+    """A table finds every string's place, also of those that lost theirs in the table to another."""
+    rng = np.random.default_rng(7)
+    values = np.unique(rng.integers(0, 1 << 48, 60_000, dtype=np.uint64))
+    rng.shuffle(values)
+    places = mixing.Places(values)
+    assert len(places.lost) > 0
+    asked = rng.integers(0, len(values), 300_000)
+    assert (places.of(values[asked]) == asked).all()
+    assert mixing.Places(values[:0]).of(values[:0]).size == 0
+
+
+def test_strings_return_with_their_bits():
+    """The blocks need not find their different strings again: each comes back beside what it costs."""
+    import pyarrow as pa
+
+    own = [np.unique(np.random.default_rng(k).integers(0, 1 << 48, 50, dtype=np.uint64)) for k in range(3)]
+    wanted = pa.table({"bucket": [4, 4, 4], "block": [9, 2, 9], "wanted": pa.array([x.tobytes() for x in own], pa.binary())})
+    known = pa.table({c: pa.array([], pa.binary()) for c in ("grams", "counted", "mixed")})
+    model = mixing.Mixer.fresh([np.zeros(1 << b, np.int16) for b in (8, 16, 24)])
+    out = {r["block"]: r for r in mixing.block_bits(known, wanted, model).to_pylist()}
+    for block, want in ((2, own[1]), (9, np.union1d(own[0], own[2]))):
+        assert (np.frombuffer(out[block]["grams"], "<u8") == want).all()
+        assert np.allclose(np.frombuffer(out[block]["bits"], "<f4"), model.bits(want))
