@@ -66,7 +66,9 @@ class DigestIndex:
         fresh = groups.hint("merge").join(self.entries().select("digest"), "digest", "left_anti")
         (
             fresh.select("digest", "keep_id", F.col("keep_points").alias("n_points"))
-            .repartition(self.buckets, "digest")  # one file for each bucket, not one for each task and bucket
+            # dealt by the number of the bucket, whatever the number of tasks: one file for each bucket, not one for
+            # each task and bucket; with as many tasks as buckets, some would get several
+            .repartition(4 * self.buckets, F.pmod(F.hash("digest"), F.lit(self.buckets)))
             .write.format("parquet")
             .mode("append")
             .option("path", self.folder)

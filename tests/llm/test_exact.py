@@ -35,6 +35,16 @@ def test_index_persists_and_later_copies_go(spark, tmp_path, hard, hard_rows):
     assert index.entries().count() == len({x[4] for x in first}) + 1
 
 
+def test_one_file_for_each_bucket_with_more_tasks(spark, tmp_path, monkeypatch):
+    frame = type(spark.range(0))
+    plain = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *by: plain(self, max(n, 40) if by else n, *by))
+    index = exact.DigestIndex(spark, str(tmp_path / "index"), buckets=8)
+    out = index.append(spark.range(2000).selectExpr("id as doc_id", "concat('text ', id) as text"))
+    assert out.filter("kept").count() == index.entries().count() == 2000
+    assert len(list((tmp_path / "index").glob("*.parquet"))) == 8
+
+
 def test_index_join_reads_buckets_without_shuffling_them(spark, tmp_path):
     index = exact.DigestIndex(spark, str(tmp_path / "index"), buckets=4)
     docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
