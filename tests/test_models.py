@@ -257,3 +257,25 @@ def test_scoring_from_file_to_file(spark, frame, prepared, tmp_path, file_format
 def test_tasks_of_a_fit_follow_cores_and_then_rows():
     """Every task of a forest sends its sums of all open nodes, so tasks are not cut at few rows each."""
     assert [models.fit_tasks(n, 8) for n in (0, 100, 80_000, 1_600_000, 4_800_000)] == [1, 1, 4, 8, 24]
+
+
+def test_model_tables_are_followed_once_for_each_row(prepared):
+    """No row is repeated for each tree, and no layer is an interpreted expression."""
+    for name, dear in (("Random Forest", "Generate"), ("Gradient Boosting", "Generate"), ("Multilayer Perceptron", "lambdafunction")):
+        scored = models.score_by_table(name, models.fit_model(name, prepared, FEW), prepared.train, prepared.names)
+        assert dear not in scored._jdf.queryExecution().optimizedPlan().toString(), name
+
+
+def test_copies_of_a_key_are_scored_together(prepared):
+    forest = models.fit_model("Random Forest", prepared, FEW)
+    rows = prepared.train.limit(20)
+    once, twice = (models.score_by_table("Random Forest", forest, r, prepared.names) for r in (rows, rows.unionAll(rows)))
+    assert twice.count() == 20
+    assert once.withColumnRenamed("p_table", "p").join(twice, list(models.KEYS)).filter(F.abs(F.col("p") - F.col("p_table")) < 1e-12).count() == 20
+
+
+def test_a_forest_remembers_nodes_and_gives_the_same_trees(prepared):
+    estimator = models.estimator("Random Forest", prepared, FEW)
+    assert estimator.getCacheNodeIds()
+    plain = estimator.copy({estimator.cacheNodeIds: False})
+    assert estimator.fit(prepared.train).toDebugString.split("\n")[1:] == plain.fit(prepared.train).toDebugString.split("\n")[1:]
